@@ -36,39 +36,17 @@ def _long_form(df: DataFrame, cols, group_cols) -> DataFrame:
     return out.filter(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), method: str = "exact"):
-    """Return ``{(group_tuple, column, prob): value}`` (None for empty groups)."""
-    cols, probs, group_cols = list(cols), list(probs), list(group_cols)
-    if method == "approx":
-        aggs = [F.percentile_approx(c, probs, 100000).alias(f"q{i}") for i, c in enumerate(cols)]
-        res = {}
-        rows = (df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)).collect()
-        for r in rows:
-            g = tuple(r[x] for x in group_cols)
-            for i, c in enumerate(cols):
-                vals = r[f"q{i}"] or [None] * len(probs)
-                for q, v in zip(probs, vals):
-                    res[(g, c, q)] = v
-        return res
+def _locate(long: DataFrame, keys, stats, wanted):
+    """Find the values at the requested 0-based ranks: ``{(key, rank): value}``.
 
-    long = _long_form(df, cols, group_cols)
-    keys = group_cols + ["cid"]
-    stats = long.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-
-    # target ranks per (group, cid)
-    targets = {}  # tid -> dict(key, rank, L, H, below)
-    found = {}    # (key, rank) -> value
+    ``long`` has columns ``keys + ["v"]``; ``stats`` rows carry ``n, lo, hi`` per key.
+    """
+    targets = {}
+    found = {}
     for r in stats:
         key = tuple(r[k] for k in keys)
         n, lo, hi = r["n"], r["lo"], r["hi"]
-        ranks = set()
-        for q in probs:
-            h = (n - 1) * q
-            r0 = int(math.floor(h))
-            ranks.add(r0)
-            if h > r0 and r0 + 1 < n:
-                ranks.add(r0 + 1)
-        for rk in ranks:
+        for rk in wanted.get(key, ()):
             if lo == hi or rk == 0:
                 found[(key, rk)] = lo
             elif rk == n - 1:
@@ -76,7 +54,7 @@ def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), method: str = "ex
             else:
                 targets[len(targets)] = {"key": key, "rank": rk, "L": math.nextafter(lo, -math.inf), "H": hi, "below": 0}
 
-    spark = df.sparkSession
+    spark = long.sparkSession
     while targets:
         tdf = spark.createDataFrame(
             [t["key"] + (tid, t["L"], t["H"]) for tid, t in targets.items()],
@@ -98,11 +76,10 @@ def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), method: str = "ex
         fetch = []
         nxt = {}
         for tid, t in targets.items():
-            rows = sorted(per[tid])
             acc = t["below"]
             L, H = t["L"], t["H"]
             wd = (H - L) / float(BUCKETS)
-            for bi, c, mn, mx in rows:
+            for bi, c, mn, mx in sorted(per[tid]):
                 if acc + c > t["rank"]:
                     if mn == mx:
                         found[(t["key"], t["rank"])] = mn
@@ -126,7 +103,60 @@ def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), method: str = "ex
             for i, f in enumerate(fetch):
                 found[(f["key"], f["rank"])] = got[i][f["rank"] - f["below"]]
         targets = nxt
+    return found
+
+
+def values_at_ranks(df: DataFrame, value_col: str, group_cols, ranks_of_count):
+    """``{(group_tuple, rank): value}`` for the ranks ``ranks_of_count(n)`` of each group.
+
+    Ranks are 0-based in ascending order of ``value_col`` (cast to double; values up to
+    2**53 are exact).  Used for exact stratified splits without a per-class window.
+    """
+    group_cols = list(group_cols)
+    long = df.select(*group_cols, F.col(value_col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    stats = long.groupBy(*group_cols).agg(F.count("*").alias("n"), F.min("v").alias("lo"),
+                                          F.max("v").alias("hi")).collect()
+    wanted = {tuple(r[k] for k in group_cols): set(ranks_of_count(r["n"])) for r in stats}
+    counts = {tuple(r[k] for k in group_cols): r["n"] for r in stats}
+    if not group_cols:
+        long = long.withColumn("_g", F.lit(0))
+        stats = [dict(n=r["n"], lo=r["lo"], hi=r["hi"], _g=0) for r in stats]
+        wanted = {(0,): v for v in wanted.values()}
+        found = _locate(long, ["_g"], stats, wanted)
+        return {((), rk): v for ((_, ), rk), v in found.items()}, {(): n for n in counts.values()}
+    return _locate(long, group_cols, stats, wanted), counts
+
 
+def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), method: str = "exact"):
+    """Return ``{(group_tuple, column, prob): value}`` (None for empty groups)."""
+    cols, probs, group_cols = list(cols), list(probs), list(group_cols)
+    if method == "approx":
+        aggs = [F.percentile_approx(c, probs, 100000).alias(f"q{i}") for i, c in enumerate(cols)]
+        res = {}
+        rows = (df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)).collect()
+        for r in rows:
+            g = tuple(r[x] for x in group_cols)
+            for i, c in enumerate(cols):
+                vals = r[f"q{i}"] or [None] * len(probs)
+                for q, v in zip(probs, vals):
+                    res[(g, c, q)] = v
+        return res
+
+    long = _long_form(df, cols, group_cols)
+    keys = group_cols + ["cid"]
+    stats = long.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    wanted = {}
+    for r in stats:
+        n = r["n"]
+        ranks = set()
+        for q in probs:
+            h = (n - 1) * q
+            r0 = int(math.floor(h))
+            ranks.add(r0)
+            if h > r0 and r0 + 1 < n:
+                ranks.add(r0 + 1)
+        wanted[tuple(r[k] for k in keys)] = ranks
+    found = _locate(long, keys, stats, wanted)
     out = {}
     for r in stats:
         key = tuple(r[k] for k in keys)

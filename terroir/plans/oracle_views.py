@@ -130,9 +130,24 @@ polygon_edges AS (
   FROM polygon_vertices a JOIN polygon_vertices b ON a.feature_order = b.feature_order AND b.i = a.i + 1
 )"""
 
+# exact stratified 70/15/15 split: rank by md5(id#42) within the class
+VIEWS["samples_split"] = """
+samples_ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY crop ORDER BY md5(concat_ws('#', sample_id, '42'))) - 1 AS split_rank,
+         count(*) OVER (PARTITION BY crop) AS class_n
+  FROM samples
+),
+samples_split AS (
+  SELECT * EXCLUDE (split_rank, class_n),
+         CASE WHEN split_rank < class_n * 70 // 100 THEN 'train'
+              WHEN split_rank < class_n * 85 // 100 THEN 'val' ELSE 'test' END AS split
+  FROM samples_ranked
+)"""
+
 VIEW_DEPS = {
     "samples_dirty": ["samples"],
     "predictions": ["samples"],
+    "samples_split": ["samples"],
 }
 
 
