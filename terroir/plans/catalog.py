@@ -37,6 +37,7 @@ MODULES = (
     "terroir.plans.q_time",
     "terroir.plans.q_registry",
     "terroir.plans.q_ml",
+    "terroir.plans.q_stream",
 )
 
 

@@ -126,7 +126,7 @@ polygon_vertices AS (
   FROM polygons CROSS JOIN range(0, 5) r(i)
 ),
 polygon_edges AS (
-  SELECT a.feature_order, a.state, a.district, a.vx AS ax, a.vy AS ay, b.vx AS bx, b.vy AS by
+  SELECT a.feature_order, a.state, a.district, a.vx AS x1, a.vy AS y1, b.vx AS x2, b.vy AS y2
   FROM polygon_vertices a JOIN polygon_vertices b ON a.feature_order = b.feature_order AND b.i = a.i + 1
 )"""
 
@@ -144,7 +144,40 @@ samples_split AS (
   FROM samples_ranked
 )"""
 
+def _pick_sql(options, idx):
+    return "[" + ", ".join(f"'{o}'" for o in options) + f"][{idx} + 1]"
+
+
+_SCORE_TERMS = [f"(CASE WHEN {c} = pred_code THEN cast(0.5 as double) + cast(noise as double) * cast(0.04 as double) "
+                f"ELSE cast(({c} * 7 + crop_code * 3 + noise) % 13 as double) / cast(40 as double) END)" for c in range(22)]
+
+VIEWS["field_requests"] = f"""
+fr_base AS (
+  SELECT *, cast(CASE WHEN noise < 2 THEN (crop_code + 1) % 22 ELSE crop_code END as int) AS pred_code FROM samples
+),
+fr_scores AS (
+  SELECT *, [{', '.join(_SCORE_TERMS)}] AS scores,
+         {' + '.join(['cast(0 as double)'] + _SCORE_TERMS)} AS score_total FROM fr_base
+),
+field_requests AS (
+  SELECT sample_id, N, P, K, ph, moisture, temperature, humidity, rainfall, state, region, crop, noise,
+    season AS seasonal_context, {CROPS_LIST}[pred_code + 1] AS predicted_crop,
+    cast(0.5 as double) + cast(noise as double) * cast(0.04 as double) AS confidence,
+    list_transform(scores, lambda x: x / score_total) AS prob_list,
+    {_pick_sql(['Low', 'Medium', 'High'], 'noise % 3')} AS fertility_pred,
+    CASE WHEN N < 40 THEN 'Nitrogen deficient' WHEN P < 20 THEN 'Phosphorus deficient'
+         WHEN K < 30 THEN 'Potassium deficient' ELSE 'Balanced' END AS deficiency_pred,
+    {_pick_sql(['rain-fed', 'canal irrigation', 'borewell', 'drip irrigation'], '(crop_code + noise) % 4')} AS irrigation_type,
+    {_pick_sql(['clay', 'loamy', 'sandy', 'black soil', 'red soil', 'clay loamy'], 'crop_code % 6')} AS soil_texture,
+    {_pick_sql(['coastal', 'delta_region', 'arid', 'semi_arid', 'dry_plains', 'Delta Region', 'Semi-Arid Plains'], '(crop_code + noise) % 7')} AS agro_climatic_zone,
+    {_pick_sql(['coastal', '', 'humid_coastal'], 'noise % 3')} AS region_zone,
+    CASE WHEN noise % 4 = 0 THEN 'Thanjavur' WHEN noise % 4 = 1 THEN 'Coimbatore' ELSE region END AS district,
+    CASE WHEN noise % 5 = 0 THEN concat('Taluk-', cast(crop_code as varchar)) END AS taluk
+  FROM fr_scores
+)"""
+
 VIEW_DEPS = {
+    "field_requests": ["samples"],
     "samples_dirty": ["samples"],
     "predictions": ["samples"],
     "samples_split": ["samples"],

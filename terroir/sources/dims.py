@@ -41,29 +41,34 @@ def crop_profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(profile_rows()), PROFILE_SCHEMA)
 
 
-def profile_structs() -> Column:
-    """The 22 profiles as one literal ``array<struct>`` column, in profile order.
-
-    Used to evaluate every sample against every profile inside the row (a Generate /
-    higher-order-function step) instead of a join: no shuffle and no nested-loop join.
-    """
+def profile_struct_list() -> list:
+    """One literal struct per profile (bounds, seasons, class index, bound texts)."""
+    from . import knowledge as K
     items = []
     for (crop, i, rl, rh, tl, th, hl, hh, pl, ph, seasons, dur) in profile_rows():
         src = K.CROP_PROFILES[i]
         items.append(F.struct(
             F.lit(crop).alias("crop"), F.lit(i).alias("profile_order"),
+            F.lit(K.CROP_CLASSES.index(crop)).alias("class_idx"),
             F.lit(rl).alias("rain_lo"), F.lit(rh).alias("rain_hi"),
             F.lit(tl).alias("temp_lo"), F.lit(th).alias("temp_hi"),
             F.lit(hl).alias("hum_lo"), F.lit(hh).alias("hum_hi"),
             F.lit(pl).alias("ph_lo"), F.lit(ph).alias("ph_hi"),
             F.array(*[F.lit(s) for s in seasons]).alias("seasons"),
-            F.lit(dur).alias("duration"),
-            # bounds as printed in texts ("1200", "5.0")
-            F.lit(_num(src[1])).alias("rain_lo_txt"),
+            F.lit("perennial" in seasons).alias("perennial"),
+            F.lit(_num(src[1])).alias("rain_lo_txt"), F.lit(_num(src[2])).alias("rain_hi_txt"),
             F.lit(_num(src[3])).alias("temp_lo_txt"), F.lit(_num(src[4])).alias("temp_hi_txt"),
             F.lit(_num(src[7])).alias("ph_lo_txt"), F.lit(_num(src[8])).alias("ph_hi_txt"),
         ))
-    return F.array(*items)
+    return items
+
+
+def profile_structs() -> Column:
+    """The 22 profiles as one literal ``array<struct>`` column, in profile order.
+
+    Exploding it gives one row per (sample, profile) without a join (a Generate step).
+    """
+    return F.array(*profile_struct_list())
 
 
 def crop_class_array() -> Column:

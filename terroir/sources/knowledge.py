@@ -262,3 +262,47 @@ WEATHER_TTL_SECONDS = 1800
 TELEMETRY_DEFAULTS = {"N": 50.0, "P": 40.0, "K": 40.0, "temperature": 25.0, "humidity": 50.0, "rainfall": 100.0}
 HISTORY_CAPACITY = 10
 LATENCY_WINDOW = 100
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES - decision-support narratives, actions and hybrid-score reasons
+# ---------------------------------------------------------------------------
+NARRATIVE_TEXT = {
+    "ph_acidic": "Soil acidity is elevated (pH {ph}), which restricts optimal uptake of vital macronutrients like nitrogen and phosphorus.",
+    "ph_alkaline": "Soil is moderately alkaline (pH {ph}), potentially binding iron and manganese, rendering them unavailable for crop root systems.",
+    "ph_neutral": "Soil pH is balanced in the neutral optimal range (pH {ph}), facilitating efficient root bioavailability and nutrient transport.",
+    "rain_ok": "Atmospheric inputs are exceptional: Rainfall of {rain} mm meets water-budget targets for {Crop}.",
+    "rain_off": "Rainfall levels ({rain} mm) diverge from ideal targets ({lo}-{hi} mm) for water-sensitive {Crop}.",
+    "hum_ok": "Relative humidity ({hum}%) matches {Crop}'s optimal transpiration requirements.",
+    "generic": "Atmospheric and temperature factors are compatible with general agricultural practices.",
+    "low_nutrients": "Chemical analysis highlights suboptimal levels of {low}, requiring strategic fertilizer top-offs to avoid nutrient deficiency stunted growth.",
+    "rich_nutrients": "Macro-nutrient concentrations (N-P-K) are rich, providing excellent metabolic fuel for high-yield cycles.",
+}
+ACTION_TEXT = {
+    "lime": "Apply agricultural lime (calcium carbonate) to buffer highly acidic soil (neutralize toxic aluminum/iron).",
+    "sulfur": "Incorporate elemental sulfur or gypsum to reduce soil alkalinity and unlock bound micro-elements.",
+    "humus": "Incorporate rich organic humus, compost, or animal manure to rebuild soil organic carbon (SOC) levels.",
+    "nitrogen": "Apply fast-release Nitrogen fertilizer (e.g., Urea or Ammonium Sulfate) to correct severe foliage chlorosis.",
+    "phosphorus": "Supplement soil with water-soluble Phosphate (e.g., Diammonium Phosphate - DAP or Triple Super Phosphate).",
+    "potassium": "Distribute Muriate of Potash (MOP) or Potassium Sulfate to buffer drought and disease resistance.",
+    "maintenance": "Execute standard N-P-K maintenance routine. Monitor micro-nutrient ratios.",
+    "green_manure": "Integrate dynamic green manure cover crops (e.g., alfalfa) to naturally elevate nitrogen levels.",
+    "aeration": "Introduce systematic soil aeration to promote friendly aerobic microbial colonies.",
+    "drip": "Implement localized drip irrigation to regulate root zone hydration and prevent fertilizer washing/runoff.",
+    "rotation": "Consider rotational pulse farming (e.g., chickpea/lentils) next cycle to naturally restore nitrogen reserves.",
+    "cover": "Introduce cover cropping to protect soil top layers from summer wind erosion.",
+    "routine": "Continue routine weekly soil telemetry scans. No critical soil correctors required.",
+    "diagnostic": "Conduct a professional deep-core soil diagnostic before the next sowing season.",
+}
+ROTATION_CROPS = ["rice", "jute", "cotton"]
+HYBRID_REASON_TEXT = {
+    "conf_high": "High neural model prediction agreement elevated baseline certainty.",
+    "conf_low": "Slight model variance in secondary crop candidates reduced confidence.",
+    "ph_ok": "Perfect soil pH balance highly optimized nutrient solubility.",
+    "ph_off": "Suboptimal soil pH slightly lowered general nutrient absorption efficiency.",
+}
+TIER_TEXT = {
+    "critical": "WARNING: The ML model suggested {Pred}, but environmental physics show a CRITICAL MISMATCH (Suitability: {suit}%). We highly recommend sowing seasonal winter/Rabi crops instead.",
+    "high": "{Pred} strongly matches both neural predictions and seasonal environment physics.",
+    "moderate": "The field partially supports {pred} cultivation, but seasonal factors suggest some yield volatility.",
+    "low": "Current field conditions are weakly aligned with {pred} cultivation. Exercise caution.",
+}

@@ -223,3 +223,45 @@ def hierarchy_levels(spark: SparkSession, sf_dir: str):
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).read("embeddings", "vec_id", "embedding", "label")
+
+
+# --- decision inputs: one scoring request per sample ------------------------------------
+IRRIGATION_TYPES = ["rain-fed", "canal irrigation", "borewell", "drip irrigation"]
+SOIL_TEXTURES = ["clay", "loamy", "sandy", "black soil", "red soil", "clay loamy"]
+AGRO_ZONES = ["coastal", "delta_region", "arid", "semi_arid", "dry_plains", "Delta Region", "Semi-Arid Plains"]
+REGION_ZONES = ["coastal", "", "humid_coastal"]
+
+
+def _pick(options, idx: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(o) for o in options]), (idx + 1).cast("int"))
+
+
+def field_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples as scoring requests with model outputs and field context.
+
+    ``probs[c]`` is the normalised model score of class code ``c``; ``confidence`` is
+    the predicted class's raw score (0.5-0.86).
+    """
+    s = samples(spark, sf_dir)
+    code, noise = F.col("crop_code"), F.col("noise")
+    pred_code = F.when(noise < 2, (code + 1) % 22).otherwise(code).cast("int")
+    scores = [class_score(code, pred_code, noise, c) for c in range(22)]
+    total = F.lit(0.0)
+    for sc in scores:
+        total = total + sc
+    return s.select(
+        "sample_id", "N", "P", "K", "ph", "moisture", "temperature", "humidity", "rainfall", "state", "region",
+        "crop", "noise", F.col("season").alias("seasonal_context"),
+        dims.crop_name(pred_code).alias("predicted_crop"),
+        class_score(code, pred_code, noise, pred_code).alias("confidence"),
+        F.array(*[sc / total for sc in scores]).alias("probs"),   # indexed by class code
+        _pick(["Low", "Medium", "High"], noise % 3).alias("fertility_pred"),
+        deficiency_label(F.col("N"), F.col("P"), F.col("K")).alias("deficiency_pred"),
+        _pick(IRRIGATION_TYPES, (code + noise) % 4).alias("irrigation_type"),
+        _pick(SOIL_TEXTURES, code % 6).alias("soil_texture"),
+        _pick(AGRO_ZONES, (code + noise) % 7).alias("agro_climatic_zone"),
+        _pick(REGION_ZONES, noise % 3).alias("region_zone"),
+        F.when(noise % 4 == 0, F.lit("Thanjavur")).when(noise % 4 == 1, F.lit("Coimbatore"))
+         .otherwise(F.col("region")).alias("district"),
+        F.when(noise % 5 == 0, F.concat(F.lit("Taluk-"), code.cast("string"))).alias("taluk"),
+    )

@@ -81,7 +81,7 @@ def compare(spark_rows, duck_rows, rel_tol=0.0):
     return True, "ok"
 
 
-def run(spark, sf_dir, prefixes=()):
+def run(spark, sf_dir, prefixes=(), verbose=False):
     from terroir.plans import catalog
     entries = catalog.load_all()
     con = duck(sf_dir)
@@ -89,6 +89,9 @@ def run(spark, sf_dir, prefixes=()):
     for name, e in entries.items():
         if prefixes and not any(name.startswith(p) for p in prefixes):
             continue
+        if verbose and results:
+            last = list(results)[-1]
+            _report(last, results[last])
         t0 = time.time()
         try:
             df = e.fn(spark, sf_dir)
@@ -113,13 +116,18 @@ def run(spark, sf_dir, prefixes=()):
     return results
 
 
+def _report(name, res):
+    ok, msg = res
+    print(("PASS " if ok else "FAIL ") + name + ": " + msg, flush=True)
+
+
 if __name__ == "__main__":
     from terroir.session import local_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session()
-    res = run(spark, sf, tuple(sys.argv[2:]))
-    bad = 0
-    for k, (ok, msg) in res.items():
-        print(("PASS " if ok else "FAIL ") + k + ": " + msg, flush=True)
-        bad += 0 if ok else 1
+    res = run(spark, sf, tuple(sys.argv[2:]), verbose=True)
+    if res:
+        last = list(res)[-1]
+        _report(last, res[last])
+    bad = sum(0 if ok else 1 for ok, _ in res.values())
     print(f"{len(res) - bad}/{len(res)} passed")
