@@ -35,7 +35,7 @@ MODULES = (
     "terroir.plans.q_rules",
     "terroir.plans.q_spatial",
     "terroir.plans.q_time",
-    "terroir.plans.q_registry",
+    "terroir.plans.q_more",
     "terroir.plans.q_ml",
     "terroir.plans.q_stream",
 )

@@ -196,6 +196,8 @@ def with_views(sql: str, *views: str) -> str:
 
     for v in views:
         add(v)
+    if not order:
+        return sql.strip()
     ctes = ",\n".join(VIEWS[v].strip() for v in order)
     body = sql.strip()
     if body.upper().startswith("WITH "):

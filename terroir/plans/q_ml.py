@@ -79,7 +79,7 @@ def m06_grid_search_cv(spark, sf):
     m = ML.evaluate_predictions(best.transform(d.filter(F.col("split") == "test")))
     d.unpersist()
     return spark.createDataFrame([("cv_logistic_regression", float(best.getRegParam()), float(best.getElasticNetParam()),
-                                   max(cv.avgMetrics), m["accuracy"])],
+                                   float(max(cv.avgMetrics)), float(m["accuracy"]))],
                                  "model string, reg_param double, elastic_net double, cv_accuracy double, test_accuracy double")
 
 
@@ -123,7 +123,7 @@ def m10_trainability(spark, sf):
         try:
             m = est.fit(v.filter(F.col("split") == "train"))
             acc = ML.evaluate_predictions(m.transform(v.filter(F.col("split") == "test")))["accuracy"]
-            rows.append((name, "OK", acc))
+            rows.append((name, "OK", float(acc)))
         except Exception:  # noqa: BLE001 - a failed fit is a reported status
             rows.append((name, "FAIL", None))
     return spark.createDataFrame(rows, "model string, status string, accuracy double")

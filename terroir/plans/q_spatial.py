@@ -191,7 +191,7 @@ def r06_spatial_adjustment_df(spark, sf):
         return F.struct(x["crop"].alias("crop"), x["score"].alias("suitability_score"),
                         t["advantages"].alias("advantages"), t["risks"].alias("risks"))
 
-    adj = SP.adjust_top_crops(F.transform(top, with_texts), tags, F.col("district"))
+    adj = SP.adjust_top_crops(F.array(*[with_texts(top[i]) for i in range(3)]), tags, F.col("district"))
     return d.select("sample_id", "district", F.explode(adj).alias("c")).select("sample_id", "district", "c.*")
 
 
