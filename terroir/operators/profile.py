@@ -146,8 +146,8 @@ def target_quality(df: DataFrame, target: str, target_code: str, features) -> Da
     one = df.agg(F.count_if(F.col(target).isNull()).cast("bigint").alias("null_labels"),
                  F.count_distinct(target).cast("bigint").alias("distinct_labels"),
                  *[F.corr(c, target_code).alias(f"c{i}") for i, c in enumerate(features)])
-    leak = F.concat_ws(",", F.filter(F.array(*[F.when(F.abs(F.col(f"c{i}")) > 0.99, F.lit(c))
-                                                for i, c in enumerate(features)]), lambda x: x.isNotNull()))
+    leak = F.concat_ws(",", F.array_compact(F.array(*[F.when(F.abs(F.col(f"c{i}")) > 0.99, F.lit(c))
+                                                for i, c in enumerate(features)])))
     return one.select("null_labels", "distinct_labels", leak.alias("leaking_features"),
                       F.lit(target in features).alias("target_in_features"))
 

@@ -219,7 +219,7 @@ def region_intelligence(state: Column, district: Column, taluk: Column, agro_zon
         if salinity == "high":
             risks.append(F.when(hit, F.lit(ST["district_salinity"])))
         context.append(F.when(hit, F.lit(f"Rainfall zone: {rain_zone.replace('_', ' ').capitalize()}.")))
-    norm = lambda items: F.array_sort(F.array_distinct(F.filter(F.array(*items), lambda x: x.isNotNull())))
+    norm = lambda items: F.array_sort(F.array_distinct(F.array_compact(F.array(*items))))
     return F.struct(title.alias("title"), norm(context).alias("environmental_context"),
                     norm(risks).alias("environmental_risks"), assess.alias("irrigation_assessment"))
 
@@ -227,9 +227,8 @@ def region_intelligence(state: Column, district: Column, taluk: Column, agro_zon
 def spatial_narrative(intel: Column) -> Column:
     """Text appended to the decision narrative: context sentences, then the irrigation assessment."""
     ctx = F.array_join(intel["environmental_context"], " ")
-    parts = F.filter(F.array(F.when(F.size(intel["environmental_context"]) > 0, ctx),
-                             F.when(intel["irrigation_assessment"] != "", intel["irrigation_assessment"])),
-                     lambda x: x.isNotNull())
+    parts = F.array_compact(F.array(F.when(F.size(intel["environmental_context"]) > 0, ctx),
+                                    F.when(intel["irrigation_assessment"] != "", intel["irrigation_assessment"])))
     return F.array_join(parts, " ")
 
 

@@ -109,13 +109,12 @@ def compatibility(user_temp: Column, user_hum: Column, user_rain: Column, irriga
     flood = F.when((lr > 20.0) | (p7 > 120.0), "High").when((lr > 5.0) | (p7 > 60.0), "Medium").otherwise("Low")
     heat = F.when(lt > 40.0, "High").when(lt > 34.0, "Medium").otherwise("Low")
     badge = F.when(lh > 75.0, "Humid/Wet Zone").when(lh < 40.0, "Dry/Arid Zone").otherwise("Optimal Vapor Profile")
-    warn = F.filter(F.array(
+    warn = F.array_compact(F.array(
         F.when(tier == "CRITICAL ANOMALY", F.lit("User inputs differ significantly from current local environmental conditions.")),
         F.when(F.abs(ut - lt) > 12.0, F.format_string("Temperature anomaly: Local sensors read %.1f°C but manual input is %.1f°C.", lt, ut)),
         F.when(F.abs(uh - lh) > 35.0, F.format_string("Humidity divergence: Local relative humidity is %.1f%% vs manual %.1f%%.", lh, uh)),
         F.when((ur > 1200.0) & (p7 < 10.0) & (lr == 0), F.lit(
-            "Water budget mismatch: Heavy rain context specified but local forecast is dry (<10mm next 7 days)."))),
-        lambda x: x.isNotNull())
+            "Water budget mismatch: Heavy rain context specified but local forecast is dry (<10mm next 7 days)."))))
     live = F.struct(align.alias("alignment_score"), tier.alias("realism_confidence"), drought.alias("drought_risk"),
                     flood.alias("flood_sensitivity"), heat.alias("heat_stress"), water.alias("water_stress"),
                     badge.alias("climate_badge"), warn.alias("consistency_warnings"))

@@ -75,7 +75,7 @@ def row_errors(df: DataFrame, bounds=K.ROW_BOUNDS, seasons=K.SEASONS) -> DataFra
         s = F.col("season")
         bad = s.isNotNull() & (s != "") & ~s.isin(*seasons)
         msgs.append(F.when(bad, F.concat(F.lit(f"season: must be one of {seasons} (got '"), s, F.lit("')"))))
-    errors = F.filter(F.array(*msgs), lambda x: x.isNotNull()) if msgs else F.array().cast("array<string>")
+    errors = F.array_compact(F.array(*msgs)) if msgs else F.array().cast("array<string>")
     return df.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
 
 
@@ -111,7 +111,7 @@ def violation_sample(df: DataFrame, id_col: str, hard=K.HARD_BOUNDS, soft=K.SOFT
     items = [F.when((F.col(c) < lo) | (F.col(c) > hi),
                     F.struct(F.lit(c).alias("column"), F.lit(f"{c}: out of range [{float(lo)}, {float(hi)}]").alias("message")))
              for c, lo, hi in checks]
-    long = (df.select(id_col, F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e"))
+    long = (df.select(id_col, F.explode(F.array_compact(F.array(*items))).alias("e"))
             .select(id_col, "e.column", "e.message"))
     return top_k_per_group(long, ["column"], [F.col(id_col)], max_rows)
 

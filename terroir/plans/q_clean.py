@@ -180,3 +180,14 @@ def p15_clip_values(spark, sf):
     sp, bounds = _train_bounds(spark, sf)
     clipped = C.clip_to_bounds(sp, bounds)
     return clipped.groupBy("split").agg(*[R6(F.avg(c)).alias(f"avg_{c}") for c in FEATURES])
+
+
+# --- X4: exact blocked KNN imputation (rows-only: brute force in SQL is the quadratic case) -------
+@register("x04_knn_impute")
+def x04_knn_impute(spark, sf):
+    """Gaps of samples_dirty filled with the mean of the 5 nearest donors (grid on P, K)."""
+    from ..operators.impute import knn_impute
+    d = P.samples_dirty(spark, sf).dropDuplicates(["sample_id"])
+    out = knn_impute(d, "sample_id", FEATURES, ("P", "K"), k=5)
+    return out.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in FEATURES],
+                   *[R6(F.avg(c)).alias(f"avg_{c}") for c in ("N", "ph", "rainfall")])

@@ -43,24 +43,23 @@ def s02_table_summary(spark, sf):
 # --- P16 / P17: defaults for missing values ------------------------------------------------------------
 @register("p16_default_missing", with_views("""
 SELECT round(sum(coalesce(N, 0.0)), 6) AS sum_N, round(sum(coalesce(ph, 0.0)), 6) AS sum_ph,
-       round(sum(coalesce(rainfall, 0.0)), 6) AS sum_rainfall,
+       round(avg(coalesce(rainfall, 0.0)), 6) AS avg_rainfall,
        count_if(N IS NULL OR ph IS NULL OR rainfall IS NULL) AS rows_defaulted FROM samples_dirty""", "samples_dirty"))
 def p16_default_missing(spark, sf):
     d = P.samples_dirty(spark, sf)
-    missing = F.size(F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in ("N", "ph", "rainfall")]),
-                              lambda x: x.isNotNull()))
+    missing = F.size(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in ("N", "ph", "rainfall")])))
     filled = d.withColumn("missing_n", missing).withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("N", "ph", "rainfall")})
-    return filled.agg(R6(F.sum("N")).alias("sum_N"), R6(F.sum("ph")).alias("sum_ph"), R6(F.sum("rainfall")).alias("sum_rainfall"),
+    return filled.agg(R6(F.sum("N")).alias("sum_N"), R6(F.sum("ph")).alias("sum_ph"), R6(F.avg("rainfall")).alias("avg_rainfall"),
                       F.count_if(F.col("missing_n") > 0).alias("rows_defaulted"))
 
 
 @register("p17_telemetry_defaults", with_views(f"""
 SELECT round(sum(coalesce(N, {K.TELEMETRY_DEFAULTS['N']})), 6) AS sum_N,
-       round(sum(coalesce(rainfall, {K.TELEMETRY_DEFAULTS['rainfall']})), 6) AS sum_rainfall, count(*) AS n
+       round(avg(coalesce(rainfall, {K.TELEMETRY_DEFAULTS['rainfall']})), 6) AS avg_rainfall, count(*) AS n
 FROM samples_dirty""", "samples_dirty"))
 def p17_telemetry_defaults(spark, sf):
     d = P.samples_dirty(spark, sf).na.fill({k: v for k, v in K.TELEMETRY_DEFAULTS.items()})
-    return d.agg(R6(F.sum("N")).alias("sum_N"), R6(F.sum("rainfall")).alias("sum_rainfall"), F.count("*").alias("n"))
+    return d.agg(R6(F.sum("N")).alias("sum_N"), R6(F.avg("rainfall")).alias("avg_rainfall"), F.count("*").alias("n"))
 
 
 # --- J10: raw <-> processed alignment by key ------------------------------------------------------------

@@ -180,18 +180,20 @@ def r07_region_intelligence(spark, sf):
 
 
 def r06_spatial_adjustment_df(spark, sf):
-    from .q_rules import _with_scores
-    d = _with_scores(spark, sf)
-    top, _ = RU.ranked(F.col("sc"))
+    from .q_rules import _with_ranked
+    d = _with_ranked(spark, sf)
+    d = d.withColumns({f"_p{i}": RU.profile_lookup_full()[F.col("_top")[i]["crop"]] for i in range(3)})
     tags = SP.spatial_tags(F.col("region_zone"), F.col("agro_climatic_zone"), F.col("irrigation_type"),
                            F.col("soil_texture"), F.col("seasonal_context"))
 
-    def with_texts(x):
-        t = RU.texts(RU.profile_lookup_full()[x["crop"]])
+    def with_texts(i):
+        t = RU.texts(F.col(f"_p{i}"))
+        x = F.col("_top")[i]
         return F.struct(x["crop"].alias("crop"), x["score"].alias("suitability_score"),
                         t["advantages"].alias("advantages"), t["risks"].alias("risks"))
 
-    adj = SP.adjust_top_crops(F.array(*[with_texts(top[i]) for i in range(3)]), tags, F.col("district"))
+    d = d.withColumn("_top3", F.array(*[with_texts(i) for i in range(3)]))
+    adj = SP.adjust_top_crops(F.col("_top3"), tags, F.col("district"))
     return d.select("sample_id", "district", F.explode(adj).alias("c")).select("sample_id", "district", "c.*")
 
 

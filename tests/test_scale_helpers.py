@@ -69,3 +69,31 @@ def test_prefix_sum(spark):
     ref = g.withColumn("ref", F.coalesce(F.sum("v").over(w), F.lit(0.0)))
     j = got.join(ref, ["k", "id"])
     assert j.filter(F.abs(F.col("prefix") - F.col("ref")) > 1e-6).count() == 0
+
+
+def test_knn_impute_matches_brute_force(spark):
+    import math
+    from terroir.operators.impute import knn_impute
+    rng = np.random.default_rng(3)
+    n = 400
+    rows = []
+    for i in range(n):
+        g1, g2 = float(rng.integers(0, 50)), float(rng.integers(0, 50))
+        a = None if rng.random() < 0.15 else float(np.round(rng.normal(10, 3), 2))
+        b = None if rng.random() < 0.15 else float(np.round(rng.normal(5, 2), 2))
+        rows.append((i, g1, g2, a, b))
+    df = spark.createDataFrame(rows, "id long, g1 double, g2 double, a double, b double")
+    cols = ["g1", "g2", "a", "b"]
+    got = {r["id"]: (r["a"], r["b"]) for r in knn_impute(df, "id", cols, ("g1", "g2"), k=5, per_cell=8).collect()}
+
+    def dist(x, y):
+        sh = [(u - v) ** 2 for u, v in zip(x[1:], y[1:]) if u is not None and v is not None]
+        return math.sqrt(len(cols) / len(sh) * sum(sh)) if sh else None
+
+    for col in (3, 4):
+        for x in rows:
+            if x[col] is not None:
+                continue
+            cands = sorted((dist(x, y), y[0], y[col]) for y in rows if y[col] is not None and dist(x, y) is not None)
+            want = sum(v for _, _, v in cands[:5]) / 5
+            assert abs(got[x[0]][col - 3] - want) < 1e-9
