@@ -1,20 +1,23 @@
 """K-nearest-neighbour imputation (mean of the k nearest donors), exact and blocked.
 
 Distance is NaN-aware Euclidean: over the coordinates present in both rows,
-``d = sqrt(w * sum (x_j - y_j)^2)`` with ``w = #columns / #shared columns``.  For each
-column with gaps, donors are the rows that have it.
-
-No all-pairs join: two always-present columns (``grid``) define a grid.  Because those
-two coordinates are shared by every pair and ``w >= 1``, ``d >= max(|dg1|, |dg2|)``.
-
-1. pass 1 joins each recipient with the donors of its own cell and takes the k-th
-   smallest distance ``r`` (infinite if the cell has fewer than k donors);
-2. pass 2 joins the recipient with every cell intersecting the square of half-width
-   ``r`` around it - any donor closer than ``r`` lies there - and keeps the k nearest
-   by (distance, id).
-
-Recipients whose own cell is short of donors are expanded ring by ring until k donors
-are seen, so the result equals brute force.  Columns with no donors keep their gaps.
+``d = sqrt(w * sum (x_j - y_j)^2)`` with ``w = #columns / #shared columns >= 1``.
+For each column ``c`` with gaps, donors are the rows that have ``c``.
+
+No all-pairs join.  For column ``c`` two grid columns are chosen among the others
+(by default the two with the widest range, so the bound below is tight), each with
+its own cell width.  For a pair where both rows have both grid values,
+``d >= max(|dg1|, |dg2|)``:
+
+1. pass 1 joins each recipient with the donors of its own cell - expanding ring by
+   ring until k donors are seen, keeping only the k best per ring - and takes the
+   k-th smallest distance ``r``, an upper bound of the true k-th distance;
+2. pass 2 joins the recipient with every cell within ``r`` on each axis - any donor
+   closer than ``r`` lies there - and keeps the k nearest by (distance, id).
+
+Rows lacking a value of the main grid are searched on a second grid made of two
+columns without gaps (donors within the radius found on the main grid; recipients with
+their own ring search), so the result equals brute force with no all-pairs join.
 """
 
 from __future__ import annotations
@@ -35,77 +38,115 @@ def nan_euclidean(a: dict, b: dict, cols) -> Column:
     return F.when(shared > 0, F.sqrt(F.lit(float(len(cols))) / shared * total))
 
 
-def knn_impute(df: DataFrame, id_col: str, cols, grid: tuple[str, str], k: int = 5, per_cell: int = 64) -> DataFrame:
+def knn_impute(df: DataFrame, id_col: str, cols, grid: tuple[str, str] | None = None, k: int = 5,
+               per_cell: int = 64) -> DataFrame:
     """Fill the gaps of ``cols`` with the mean of the ``k`` nearest donors (exact)."""
     cols = list(cols)
-    g1, g2 = grid
-    st = df.agg(F.count("*").alias("n"), F.min(g1).alias("a0"), F.max(g1).alias("a1"), F.min(g2).alias("b0"),
-                F.max(g2).alias("b1"), F.count_if(F.col(g1).isNull() | F.col(g2).isNull()).alias("bad"),
-                *[F.count_if(F.col(c).isNull()).alias(f"m_{c}") for c in cols]).first()
-    if st["bad"]:
-        raise ValueError("grid columns must have no missing values")
-    span = max(st["a1"] - st["a0"], st["b1"] - st["b0"], 1e-9)
-    cells_per_axis = max(1, int(math.sqrt(max(st["n"], 1) / per_cell)))
-    width = span / cells_per_axis
-    max_ring = cells_per_axis + 2   # enough rings to cover the whole grid: always exact
-    base = df.select(id_col, *cols).withColumns({"_cx": F.floor(F.col(g1) / width).cast("long"),
-                                                 "_cy": F.floor(F.col(g2) / width).cast("long")})
+    st = df.agg(F.count("*").alias("n"),
+                *[F.struct(F.min(c).cast("double"), F.max(c).cast("double"), F.count_if(F.col(c).isNull()))
+                  .alias(f"s_{c}") for c in cols]).first()
+    rng = {c: (st[f"s_{c}"][0], st[f"s_{c}"][1]) for c in cols}
+    missing = {c: st[f"s_{c}"][2] for c in cols}
+    cpa = max(1, int(math.sqrt(max(st["n"], 1) / per_cell)))
+    span = lambda x: max(rng[x][1] - rng[x][0], 1e-9)
+    complete = sorted((x for x in cols if not missing[x] and rng[x][0] is not None), key=lambda x: -span(x))
+    if len(complete) < 2:
+        raise ValueError("knn_impute needs two columns without gaps for the fallback grid")
+    base = df.select(id_col, *cols)
     filled = base
     for c in cols:
-        if not st[f"m_{c}"]:
+        if not missing[c]:
             continue
-        filled = filled.join(_impute_column(base, id_col, cols, c, k, width, max_ring), id_col, "left").withColumn(
-            c, F.coalesce(F.col(c), F.col("_imputed"))).drop("_imputed")
-    return df.drop(*cols).join(filled.drop("_cx", "_cy"), id_col)
-
-
-def _pairs(rec: DataFrame, don: DataFrame, id_col, cols, on) -> DataFrame:
+        if grid is not None:
+            g = list(grid)
+        else:
+            g = sorted((x for x in cols if x != c and rng[x][0] is not None), key=lambda x: -span(x))[:2]
+        g_safe = [x for x in complete if x != c][:2]
+        grids = {"main": (g, [span(x) / cpa for x in g]), "safe": (g_safe, [span(x) / cpa for x in g_safe])}
+        imp = _impute_column(base, id_col, cols, c, k, grids, cpa + 2)
+        filled = filled.join(imp, id_col, "left").withColumn(c, F.coalesce(F.col(c), F.col("_imputed"))).drop("_imputed")
+    return df.drop(*cols).join(filled, id_col)
+
+
+def _dist_pairs(rec: DataFrame, don: DataFrame, cols, on) -> DataFrame:
     r = {x: F.col(f"r_{x}") for x in cols}
     d = {x: F.col(f"d_{x}") for x in cols}
-    j = rec.join(don, on)
-    return j.withColumn("_dist", nan_euclidean(r, d, cols)).filter(F.col("_dist").isNotNull())
-
-
-def _impute_column(base, id_col, cols, c, k, width, max_ring) -> DataFrame:
-    rec = base.filter(F.col(c).isNull()).select(F.col(id_col).alias("_rid"), "_cx", "_cy",
-                                                *[F.col(x).alias(f"r_{x}") for x in cols])
-    don = base.filter(F.col(c).isNotNull()).select(F.col(id_col).alias("_did"), F.col("_cx").alias("_dx"),
-                                                   F.col("_cy").alias("_dy"), *[F.col(x).alias(f"d_{x}") for x in cols])
-    # pass 1: own cell -> k-th distance bound (ring expansion while the bound is unknown)
-    radius = None
-    pending = rec.select("_rid", "_cx", "_cy")
-    ring = 0
-    bounds = []
+    return rec.join(don, on).withColumn("_dist", nan_euclidean(r, d, cols)).filter(F.col("_dist").isNotNull())
+
+
+def _best(cand: DataFrame, k: int) -> DataFrame:
+    return top_k_per_group(cand.select("_rid", "_did", "_dist", "_v"), ["_rid"], [F.col("_dist"), F.col("_did")], k).drop("rank")
+
+
+def _cells(df: DataFrame, grid, prefix: str) -> DataFrame:
+    (g1, g2), (w1, w2) = grid
+    return df.withColumns({f"{prefix}x": F.floor(F.col(g1) / w1).cast("long"),
+                           f"{prefix}y": F.floor(F.col(g2) / w2).cast("long")})
+
+
+def _radius(rec, don, cols, k, max_ring) -> DataFrame:
+    """Pass 1: per recipient, the k-th distance among the donors of the nearest rings."""
+    same = (F.col("_px") == F.col("_dx")) & (F.col("_py") == F.col("_dy"))
+    radius, pending, kept, ring = None, rec.select("_rid", "_cx", "_cy"), None, 0
     while ring <= max_ring:
         offs = F.sequence(F.lit(-ring), F.lit(ring))
-        probe = pending.withColumn("_ox", F.explode(offs)).withColumn("_oy", F.explode(offs)).filter(
-            (F.abs("_ox") == ring) | (F.abs("_oy") == ring) if ring else F.lit(True))
+        probe = pending.withColumn("_ox", F.explode(offs)).withColumn("_oy", F.explode(offs))
+        if ring:
+            probe = probe.filter((F.abs("_ox") == ring) | (F.abs("_oy") == ring))
         probe = probe.withColumns({"_px": F.col("_cx") + F.col("_ox"), "_py": F.col("_cy") + F.col("_oy")})
-        cand = _pairs(probe.join(rec.drop("_cx", "_cy"), "_rid"), don,
-                      id_col, cols, (F.col("_px") == F.col("_dx")) & (F.col("_py") == F.col("_dy")))
-        # keep only the k best candidates per recipient (salted top-k: bounded per task)
-        bounds.append(top_k_per_group(cand.select("_rid", "_did", "_dist"), ["_rid"], [F.col("_dist"), F.col("_did")], k)
-                      .drop("rank"))
-        acc = bounds[0]
-        for b in bounds[1:]:
-            acc = acc.unionByName(b)
-        tot = acc.groupBy("_rid").agg(F.count("*").alias("_n"), F.max("_dist").alias("_maxd"),
-                                      F.sort_array(F.collect_list("_dist")).alias("_ds"))
-        done = tot.filter(F.col("_n") >= k).select("_rid", F.element_at("_ds", k).alias("_r"), F.lit(ring).alias("_ring"))
+        best = _best(_dist_pairs(probe.join(rec.drop("_cx", "_cy"), "_rid"), don, cols, same), k)
+        kept = best if kept is None else _best(kept.unionByName(best), k)
+        if ring >= 2:
+            kept = kept.checkpoint(eager=True)   # cut the lineage of long ring loops (shared folder)
+        tot = kept.groupBy("_rid").agg(F.count("*").alias("_n"), F.max("_dist").alias("_r"))
+        done = tot.filter(F.col("_n") >= k).select("_rid", "_r")
         radius = done if radius is None else radius.unionByName(done.join(radius.select("_rid"), "_rid", "left_anti"))
-        pending = pending.join(radius.select("_rid"), "_rid", "left_anti")
+        pending = pending.join(done.select("_rid"), "_rid", "left_anti")
         if pending.limit(1).count() == 0:
             break
         ring += 1
-    # each ring keeps at most k candidates per recipient, so the lists above stay bounded.
-    # pass 2: every cell within the square of half-width r
-    reach = radius.withColumn("_w", F.ceil(F.col("_r") / F.lit(width)).cast("long"))
-    r2 = rec.join(reach, "_rid")
-    offs = F.sequence(-F.col("_w"), F.col("_w"))
-    probe = r2.withColumn("_ox", F.explode(offs)).withColumn("_oy", F.explode(offs)).withColumns(
-        {"_px": F.col("_cx") + F.col("_ox"), "_py": F.col("_cy") + F.col("_oy")})
-    cand = _pairs(probe, don, id_col, cols, (F.col("_px") == F.col("_dx")) & (F.col("_py") == F.col("_dy")))
-    cand = cand.filter(F.col("_dist") <= F.col("_r"))
-    best = top_k_per_group(cand.select("_rid", "_did", "_dist", F.col(f"d_{c}").alias("_v")), ["_rid"],
-                           [F.col("_dist"), F.col("_did")], k)
+    return radius
+
+
+def _within(rec, don, cols, radius, widths) -> DataFrame:
+    """Pass 2: the donors in every cell within the recipient's radius on each axis."""
+    w1, w2 = widths
+    reach = radius.withColumns({"_wx": F.ceil(F.col("_r") / F.lit(w1)).cast("long"),
+                                "_wy": F.ceil(F.col("_r") / F.lit(w2)).cast("long")})
+    probe = rec.join(reach, "_rid")
+    probe = probe.withColumn("_ox", F.explode(F.sequence(-F.col("_wx"), F.col("_wx")))).withColumn(
+        "_oy", F.explode(F.sequence(-F.col("_wy"), F.col("_wy"))))
+    probe = probe.withColumns({"_px": F.col("_cx") + F.col("_ox"), "_py": F.col("_cy") + F.col("_oy")})
+    same = (F.col("_px") == F.col("_dx")) & (F.col("_py") == F.col("_dy"))
+    return _dist_pairs(probe, don, cols, same).filter(F.col("_dist") <= F.col("_r")).select("_rid", "_did", "_dist", "_v")
+
+
+def _impute_column(base, id_col, cols, c, k, grids, max_ring) -> DataFrame:
+    def sides(grid):
+        (g1, g2), _ = grid
+        on = F.col(g1).isNotNull() & F.col(g2).isNotNull()
+        rec = _cells(base.filter(F.col(c).isNull()), grid, "_c").select(
+            F.col(id_col).alias("_rid"), "_cx", "_cy", *[F.col(x).alias(f"r_{x}") for x in cols], on.alias("_on"))
+        don = _cells(base.filter(F.col(c).isNotNull()), grid, "_d").select(
+            F.col(id_col).alias("_did"), "_dx", "_dy", F.col(c).alias("_v"),
+            *[F.col(x).alias(f"d_{x}") for x in cols], on.alias("_on"))
+        return rec, don
+
+    main, safe = grids["main"], grids["safe"]
+    rec_m, don_m = sides(main)
+    rec_s, don_s = sides(safe)
+    # A: on-grid recipients x on-grid donors (main grid: tight bound from the widest columns)
+    rec_a, don_a = rec_m.filter("_on").drop("_on"), don_m.filter("_on").drop("_on")
+    r_a = _radius(rec_a, don_a, cols, k, max_ring)
+    cand = _within(rec_a, don_a, cols, r_a, main[1])
+    # B: the same recipients x donors missing a main-grid value, within the radius found in A
+    don_b = don_s.join(don_m.filter(~F.col("_on")).select("_did"), "_did").drop("_on")
+    rec_b = rec_s.join(r_a.select("_rid"), "_rid").drop("_on")
+    cand = cand.unionByName(_within(rec_b, don_b, cols, r_a, safe[1]))
+    # C: recipients missing a main-grid value x all donors, on the safe grid (no gaps there)
+    rec_c = rec_s.join(rec_m.filter(~F.col("_on")).select("_rid"), "_rid").drop("_on")
+    don_c = don_s.drop("_on")
+    r_c = _radius(rec_c, don_c, cols, k, max_ring)
+    cand = cand.unionByName(_within(rec_c, don_c, cols, r_c, safe[1]))
+    best = _best(cand, k)
     return best.groupBy("_rid").agg(F.avg("_v").alias("_imputed")).withColumnRenamed("_rid", id_col)
