@@ -13,9 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import capitalize
 from ..sources import knowledge as K
-from .transform import _lookup
 
 NEAREST_LIMIT = 2.0
 
@@ -230,7 +228,3 @@ def spatial_narrative(intel: Column) -> Column:
     parts = F.array_compact(F.array(F.when(F.size(intel["environmental_context"]) > 0, ctx),
                                     F.when(intel["irrigation_assessment"] != "", intel["irrigation_assessment"])))
     return F.array_join(parts, " ")
-
-
-def unused_capitalize(c: Column) -> Column:  # kept for API symmetry with rules
-    return capitalize(c)
