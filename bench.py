@@ -53,6 +53,7 @@ def main() -> None:
         out = entries[name].fn(spark, sf_dir).collect()
         times[name] = round(time.perf_counter() - t0, 3)
         rows[name] = len(out)
+        print(f"{name}: {times[name]}s", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "rows": rows, "sf": sf, "cpus": int(cpus)}))

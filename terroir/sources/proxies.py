@@ -6,9 +6,9 @@ per line item, ``telemetry`` one field reading per event, and so on.  The same v
 are written independently in SQL for the oracle (``plans/oracle_views.py``).
 
 Join strategy: ``nation`` and ``region`` have a fixed size (25 and 5 rows), so they
-are broadcast explicitly.  ``supplier`` grows with the data, so its join is left to
-the planner: AQE turns it into a broadcast join only when the measured size is under
-``spark.sql.autoBroadcastJoinThreshold`` and keeps a shuffle join otherwise.
+are broadcast explicitly.  ``supplier`` grows with the data: it is broadcast only after
+a row count shows it is under ``BROADCAST_ROWS``; above that the planner keeps a
+shuffle join with the line items as the streamed side.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dims
-from .tables import Tables
+from .tables import Tables, spread
 
 D = F.lit  # shorthand for literals; doubles are written as Python floats
+BROADCAST_ROWS = 1_000_000   # data-sized dimension tables are broadcast only up to this many rows
 
 
 def _dbl(c: Column) -> Column:
@@ -37,10 +38,14 @@ def nation_region(t: Tables) -> DataFrame:
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One soil sample per line item (see FIXTURES for the column meanings)."""
     t = Tables(spark, sf_dir)
-    li = t.read("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    li = spread(t.read("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                       "l_extendedprice", "l_discount", "l_tax", "l_shipdate"))
     sup = t.read("supplier", "s_suppkey", "s_nationkey")
     geo = sup.join(F.broadcast(nation_region(t)), sup.s_nationkey == F.col("n_nationkey"))
+    # supplier grows with the data: broadcast it only behind a row-count check, so the
+    # line items stay the streamed side; above the limit the planner keeps a shuffle join
+    if sup.count() <= BROADCAST_ROWS:
+        geo = F.broadcast(geo)
     j = li.join(geo, li.l_suppkey == geo.s_suppkey)
     month = F.month("l_shipdate")
     crop_code = ((F.col("l_partkey") * 3 + F.col("l_linenumber")) % 22).cast("int")
@@ -108,7 +113,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with ``ts_us`` (epoch microseconds, time-zone independent) and ``ts`` as TIMESTAMP."""
-    ev = Tables(spark, sf_dir).read("events", "event_id", "ts", "user_id", "event_type", "value")
+    ev = spread(Tables(spark, sf_dir).read("events", "event_id", "ts", "user_id", "event_type", "value"))
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     return ev.withColumn("ts_us", us).withColumn("ts", F.timestamp_micros(F.col("ts_us")))
 

@@ -27,6 +27,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core before CPU-heavy per-row work.
+
+    A small table stored as one Parquet row group is scanned by a single task; the
+    round-robin repartition only happens then (partitions < default parallelism), so
+    large inputs - already split into many more partitions than cores - pass through
+    without an extra shuffle.  The count comes from the file listing (no job runs).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 class Tables:
     """Lazy accessor: ``Tables(spark, sf_dir).lineitem`` is a DataFrame."""
 
