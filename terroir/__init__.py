@@ -15,3 +15,10 @@ work is planned by Catalyst and distributed by Spark.  Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel by value, so executors need no copy of the package.
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
