@@ -6,10 +6,15 @@ or partition size (a single longer text is one slice).
 
 from __future__ import annotations
 
+import pickle
+import sys
+import types
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -50,14 +55,39 @@ def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
         i = j
 
 
+class Shared:
+    """A broadcast object of a class of this package.  Workers need no copy of the package, and a worker
+    process unpacks the object once and keeps it (with what it caches) for its later tasks."""
+
+    def __init__(self, spark, value) -> None:
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.name = f"{type(value).__name__}-{uuid.uuid4().hex}"
+
+    @property
+    def value(self):
+        kept = sys.modules.setdefault("_terroir_shared", types.ModuleType("_terroir_shared")).__dict__
+        if self.name not in kept:
+            for old in [k for k in kept if k.startswith(self.name.split("-")[0] + "-")]:
+                del kept[old]
+            kept[self.name] = pickle.loads(self.packed.value)
+        return kept[self.name]
+
+
 def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, made longer until no column of ``taken`` has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def per_text(docs: DataFrame, keys: list[str], text: str, fields: list[StructField],
              fn: Callable[[np.ndarray, np.ndarray], list[pa.Array]], limit: int = SLICE_BYTES) -> DataFrame:
     """``keys`` and the columns that ``fn(bytes, offsets)`` gives for each slice of rows."""
-    source = docs.select(*[quoted(k) for k in keys], quoted(text).cast("string"))
+    source = docs.select(*[quoted(k) for k in keys], quoted(text).cast("string").alias(fresh("body", keys)))
     schema = StructType([source.schema.fields[i] for i in range(len(keys))] + fields)
     names = [f.name for f in schema.fields]
 

@@ -25,9 +25,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField
+from pyspark.sql.types import BinaryType, LongType, StructField
 
 from . import _arrow as A
 from .components import connected_components
@@ -114,7 +114,7 @@ def _sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def _tokens(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """``(token, n, a)``; equal sets of a slice of rows give their tokens once."""
+    """``(token, a)``; equal sets of a slice of rows give their tokens once."""
     shingler = Shingler(width)
     source = docs.select(A.quoted(text).cast("string"))
 
@@ -155,10 +155,9 @@ def _tokens(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
                     content = total[running + shift] - total[running - count + shift]
                     segment = (np.arange(len(owner)) - base[owner]).astype(A.U)
                     token = A.mix(content + A.mix(segment * A.U(0x9E3779B97F4A7C15) + level[owner].astype(A.U) * A.U(0xD1B54A32D192ED03) + A.U(1)))
-                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(sizes[rows][owner].astype(np.int32)),
-                                                      pa.array(ids[rows][owner])], names=["token", "n", "a"])
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[rows][owner])], names=["token", "a"])
 
-    return source.mapInArrow(run, "token long, n int, a long")
+    return source.mapInArrow(run, "token long, a long")
 
 
 def block_links(members: list[np.ndarray], queries: list[np.ndarray], percent: int) -> list[np.ndarray]:
@@ -233,15 +232,14 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     rows = _documents(docs, key, text, width).withColumnRenamed(key, "id").checkpoint()
     classes = rows.filter("n > 0").groupBy("n", "a").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("id"))
     # tokens that two classes share, with the smallest class of each
-    tokens = _tokens(docs, text, width, percent).groupBy("token", "n", "a").agg(F.lit(1).alias("x")).drop("x")
-    bounds = tokens.groupBy("token").agg(F.min("a").alias("hub"), F.max("a").alias("last")).filter("hub <> last").select("token", "hub")
-    shared = tokens.join(bounds, "token").checkpoint()
+    same = Window.partitionBy("token")
+    shared = (_tokens(docs, text, width, percent).select("token", "a", F.min("a").over(same).alias("hub"), F.max("a").over(same).alias("last"))
+              .filter("hub <> last").select("token", "a", "hub").distinct().checkpoint())
     # partition and matrix
-    grouped = shared.groupBy("n", "a").agg(F.min("hub").alias("g"))
-    members = grouped.join(classes, ["n", "a"]).checkpoint()
-    matrix = shared.join(members.select("n", "a", "g"), ["n", "a"]).select("token", "g").distinct()
+    members = shared.groupBy("a").agg(F.min("hub").alias("g")).join(classes, "a").checkpoint()
+    matrix = shared.join(members.select("a", "g").distinct(), "a").select("token", "g").distinct()
     # bound: cells in which a class has a token of the union
-    cells = shared.join(matrix, "token").select("n", "a", "g").distinct()
+    cells = shared.join(matrix, "token").select("a", "g").distinct().join(members.select("a", "n"), "a").select("n", "a", "g")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     member_blocks = members.groupBy("g").agg(F.count(F.lit(1)).alias("c")).select("g", blocks.alias("mb"))
     cells = cells.checkpoint()

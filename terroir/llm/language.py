@@ -22,6 +22,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField
 from . import _arrow as A
 
 UNKNOWN = "und"
+NO_LETTER = 0xFFFF
 
 
 def held_out(key) -> "F.Column":
@@ -121,8 +122,8 @@ class Model:
             rows.append(part)
             base += len(auto.next)
         self.table = np.concatenate(rows).ravel()
-        # code point -> symbol; 255 is no letter
-        self.symbols = np.full(0x110000, 255, np.uint8 if self.width < 255 else np.uint16)
+        # code point -> symbol
+        self.symbols = np.full(0x110000, NO_LETTER, np.uint16)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
@@ -132,7 +133,7 @@ class Model:
         """Symbols, letters and, for each language, phrases of every text."""
         n = len(offsets) - 1
         sym = self.symbols[code_points]
-        blank = sym == 255
+        blank = sym == NO_LETTER
         letters = A.per_row(~blank, offsets)
         keep = np.ones(len(sym), bool)
         keep[1:] = ~(blank[1:] & blank[:-1])
@@ -168,14 +169,14 @@ class Model:
         return sizes, letters, total
 
 
-def language_id(docs: DataFrame, sample: list[tuple[str, str]], key: str = "doc_id", text: str = "text", block: int = 512) -> DataFrame:
-    """``key``, ``lang_pred``, ``score`` and ``phrase_rate`` of every text.
+def language_id(docs: DataFrame, sample: list[tuple[str, str]], keys: list[str] = ["doc_id"], text: str = "text", block: int = 512) -> DataFrame:
+    """``keys``, ``lang_pred``, ``score`` and ``phrase_rate`` of every text.
 
     ``phrase_rate`` is the winner's phrases per symbol; ``score`` is 1 minus its ratio to the
     runner-up's (to 1 if there is one language only), from 0 for a tie upwards.
     """
     model = Model(sample)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    shared = A.Shared(docs.sparkSession, model)  # bounded by the sample
     fields = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("phrase_rate", DoubleType())]
 
     def predict(buf: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
@@ -195,9 +196,9 @@ def language_id(docs: DataFrame, sample: list[tuple[str, str]], key: str = "doc_
         return [pa.array([m.languages[b] if k else UNKNOWN for b, k in zip(best, known)], pa.string()),
                 pa.array(score, pa.float64()), pa.array(np.where(known, ranked[0], 1.0), pa.float64())]
 
-    return A.per_text(docs, [key], text, fields, predict, limit=4 << 20)
+    return A.per_text(docs, keys, text, fields, predict, limit=4 << 20)
 
 
 def with_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Learn from the documents that are not held out and predict all of them."""
-    return language_id(docs, labelled_sample(docs.filter(~held_out(A.quoted(key)) & A.quoted(key).isNotNull()), text, lang), key, text)
+    return language_id(docs, labelled_sample(docs.filter(~held_out(A.quoted(key)) & A.quoted(key).isNotNull()), text, lang), [key], text)

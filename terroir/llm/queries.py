@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, language, lines, quality, secrets, sentences
+from . import decontaminate, html_text, jaccard, language, lines, order, pieces, quality, secrets, sentences
+
+#: Vocabulary of the SentencePiece operator; read on the driver only.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +42,14 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), pieces.PieceModel(PIECE_MODEL))
+
+
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.materialise(order.sequences_of_texts(_table(spark, sf_dir, "documents")), seed=20260101)
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -52,5 +63,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_language_id, op3_line_dedup, op4_quality_rules, op5_secret_scan,
-    op6_ngram_jaccard, op9_html_text, op10_decontaminate)}
+    op6_ngram_jaccard, op7_sentencepiece, op8_training_order, op9_html_text, op10_decontaminate)}
 ORACLES = {"op1_substring_dedup": sentences.ORACLE, "op3_line_dedup": lines.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
