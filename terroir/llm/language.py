@@ -36,8 +36,10 @@ def labelled_sample(docs: DataFrame, text: str = "text", lang: str = "lang", row
     table's size.  Copies of a text count once."""
     base = docs.select(A.quoted(lang).cast("string").alias("lang"), A.quoted(text).alias("text")).filter("lang is not null and text is not null")
     hashed = base.withColumn("h", F.xxhash64("text"))
-    best = (hashed.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= rows))
+    # the smallest of every 32nd part of a language's hashes, then the smallest of those
+    best = hashed.groupBy("lang", F.pmod("h", F.lit(32)).alias("part"), "h").agg(F.count(F.lit(1)).alias("n"))
+    for by in (["lang", "part"], ["lang"]):
+        best = best.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("r") <= rows)
     start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - excerpt, F.lit(1))).cast("int") + 1
     found = (hashed.join(F.broadcast(best.select("lang", "h")), ["lang", "h"])
              .groupBy("lang", "h").agg(F.min(F.substring("text", start, F.lit(excerpt))).alias("t")).collect())
