@@ -7,7 +7,7 @@ Parquet and read again.  All but the last return the columns of ``documents``.
    winner needs as many phrases as random letters do); ``lang`` becomes the prediction.
 2. line_dedup: boilerplate lines of a source are cut out of the texts.
 3. near_duplicates: of documents linked by a Jaccard similarity of 0.8 or more over shingles of five
-   words, the one with the smallest id stays.
+   words, the one with the smallest id (then text hash; a null id is the smallest) stays.
 4. decontaminate: documents with a benchmark passage go.
 5. sentencepiece: token ids of the texts.
 
@@ -49,12 +49,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    links = jaccard.jaccard_join(docs, width=5, percent=80)
-    kept = links.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    # rows that repeat an id: the one with the smallest text
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", *[F.col(f"r.{c}") for c in COLUMNS[1:]])
+    # a row is its id and its text's hash: ids may be null or repeat
+    rows = docs.select(*COLUMNS).withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("version")))
+    links = jaccard.jaccard_join(rows, key="row", width=5, percent=80)
+    kept = links.filter(F.col("row").eqNullSafe(F.col("component_id"))).select("row").distinct()
+    first = rows.join(kept.withColumnRenamed("row", "_row"), F.col("row").eqNullSafe(F.col("_row")), "left_semi")
+    return first.groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("r")).select(*[F.col(f"r.{c}") for c in COLUMNS])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
