@@ -2,7 +2,7 @@
 
 Markup is stripped to lines, one for each block element.  Parts that are marked as something else
 than the article (scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments) leave a gap of empty lines.  Text lengths are summed over a sliding window of
+reader comments) leave a gap of empty lines; adverts leave one, which is no dive.  Text lengths are summed over a sliding window of
 lines; a region begins where the sum surges and ends where it dives to nothing, at a gap.  Text
 between surge and dive is kept: if the page has an article or main element, of the lines
 inside it (where gaps don't cut); else of the region with the most text and of every other region
@@ -42,6 +42,8 @@ nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer mast
 cookie cookies consent gdpr notice popup modal overlay alert newsletter subscribe subscription signup login search
 share sharing social related recommended recommendations comment comments disqus respond replies reply discussion
 pagination pager widget complementary contentinfo""".split())
+#: Of these, words of parts that stand within an article's text and do not end it.
+WITHIN = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion share sharing widget".split())
 COMMENTS = frozenset("comment comments disqus respond replies reply discussion".split())
 
 
@@ -52,11 +54,11 @@ def _marks(attributes: str) -> set[str]:
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
-    """Lines of a page as (text, zone): zone 1 inside an article, 0 outside, -1 a gap."""
+    """Lines of a page as (text, zone): zone 1 inside an article, 0 outside, -1 a gap, -2 a part cut out within the text."""
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
     depth = 0             # open article elements
-    skip, skipped = "", 0  # element being skipped, and its open count
+    skip, skipped, gap = "", 0, -1  # element being skipped, its open count, and what it leaves
 
     def close() -> None:
         if parts:
@@ -89,22 +91,23 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         if skip:
             if article:  # a wrapper, or an element that was never closed
                 skip = ""
-                lines.append(("", -1))
+                lines.append(("", gap))
             else:
                 if name == skip:
                     skipped += -1 if ending else 1
                     if skipped == 0:
                         skip = ""
-                        lines.append(("", -1))
+                        lines.append(("", gap))
                 continue
         if name == "br":
             parts.append(" ")
             continue
         if not ending and name not in VOID and not article:
-            marked = name not in ("html", "body") and bool(_marks(tag[3]) & MARKS)
+            marked = _marks(tag[3]) & MARKS if name not in ("html", "body") else None
             if marked or name in OTHER or name == "header" and not depth:
                 close()
                 skip, skipped = name, 1
+                gap = -2 if marked and marked <= WITHIN and name not in OTHER else -1
                 continue
         if name not in INLINE:
             close()
@@ -142,7 +145,7 @@ def main_text(page: str, window: int = 3, surge: int = 120) -> str:
     else:
         spread = []
         for text, zone in lines:
-            spread += [""] * window if zone < 0 else [text]
+            spread += [""] * window if zone == -1 else [text]
     return "\n".join(t for s, e in line_blocks([len(t) for t in spread], window, surge) for t in spread[s:e] if t)
 
 

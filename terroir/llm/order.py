@@ -172,6 +172,7 @@ def read_from(shards: DataFrame, slot: int = 0, width: int = 1) -> DataFrame:
     schema = shards.select(F.col("first_slot").alias("slot")).schema.add("key", of).add("part", IntegerType()).add("last", BooleanType()).add("ids", ArrayType(IntegerType()))
 
     def run(batches):
+        arrow = to_arrow_schema(schema)
         for batch in batches:
             for row in batch.to_pylist():
                 out = []
@@ -182,8 +183,7 @@ def read_from(shards: DataFrame, slot: int = 0, width: int = 1) -> DataFrame:
                     out.append((row["first_slot"] + k, row["keys"][k], row["parts"][k], bool(head & LAST),
                                 np.frombuffer(record, kind, count, 4).astype(np.int32)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if i < 4 else pa.array(c, pa.list_(pa.int32())) for i, c in enumerate(zip(*out))],
-                                                     names=[f.name for f in schema.fields])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     kept = shards.filter(F.col("first_slot") + F.col("n_sequences") > slot).select("first_slot", "n_sequences", "stride", "payload", "keys", "parts")
     return kept.mapInArrow(run, schema)

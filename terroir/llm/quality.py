@@ -23,9 +23,9 @@ from . import _arrow as A
 SYMBOLS = b"#*$%&|<>"
 
 #: (bytes below, least ratio, largest ratio) for whole texts, by length.
-WHOLE_BANDS = ((256, 0.0, 3.0), (1024, 1.0, 3.5), (8192, 1.25, 4.0), (65536, 1.35, 5.0), (None, 1.4, 6.0))
+WHOLE_BANDS = ((256, 0.0, 3.0), (1024, 1.0, 3.5), (8192, 1.4, 4.0), (65536, 1.5, 5.0), (None, 1.5, 6.0))
 #: The same for one chunk; a last chunk may be short.
-CHUNK_BANDS = ((256, 0.0, 8.0), (1024, 0.8, 10.0), (None, 1.2, 12.0))
+CHUNK_BANDS = ((256, 0.0, 8.0), (1024, 0.8, 10.0), (None, 1.4, 12.0))
 
 
 def _in_band(size: int, packed: int, bands) -> bool:

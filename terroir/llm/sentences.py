@@ -9,7 +9,7 @@ passage of one or two long sentences is found as well.
 
 Hot runs: the aggregation is partial before the shuffle, and the join back is an equi-join that
 adaptive execution splits.  Null texts stay null, empty ones empty.  Rows with the same key are
-the same document: their equal runs are one occurrence.  An empty table gives an empty result.
+the same document: their equal runs are one occurrence.  A null key is the smallest.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
