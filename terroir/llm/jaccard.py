@@ -1,16 +1,19 @@
 """N-gram Jaccard self-join with a token-group matrix.
 
 Documents are sets of distinct word shingles; equal sets are one class.  A class is described by
-set tokens: at a size level, the hash space is cut into one segment more than the sets of a
-linked pair can differ in, so a linked pair has at least one segment in common; the hash of a
-segment's content is a token.  A class has the tokens of its own size level and of the level
-below, which covers all sizes a link allows.
+set tokens: at a size level, the hash space is cut into m segments, more than the d elements that
+the sets of a linked pair can differ in, so a linked pair has at least m - d segments in common;
+the hash of a segment's content is a token.  Of these, at most as many as the class has empty
+segments are empty; the rest are tokens that the pair shares.  Empty segments are tokens
+only of classes with m - d of them or more (then both sides of a pair that needs them have them).
+A class has the tokens of its own size level and of the level below, which covers all sizes a
+link allows.
 
 * Partition: classes that share tokens are put into groups around the smallest class that
   they share one with.  Every class is in exactly one group.
 * Matrix: the union of its members' tokens is stored for each group.
-* Bound: a class has no link into a group whose union has none of its tokens.  Only the other
-  (class, group) cells are opened.
+* Bound: a class with a link into a group has m - d tokens, less its empty segments, in the
+  group's union.  Only (class, group) cells with so many are opened.
 * Opening: members and queries of a group meet in blocks of bounded size, where exact
   intersections are counted with an inverted list.  A block gives a spanning forest of its links
   and each query's number of links, never all pairs.
@@ -36,7 +39,7 @@ BLOCK = 512
 
 
 def size_levels(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """First size of every level, and its number of segments.
+    """First size of every level, and the elements a linked pair can differ in.
 
     A linked pair of sizes a <= b has b <= 100 a / percent and differs in at most
     a (100 - percent) / percent elements: if a is in level j, b is in j or j + 1.
@@ -45,7 +48,38 @@ def size_levels(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
     while starts[-1] <= largest:
         starts.append(starts[-1] * 100 // percent + 1)
     first = np.array(starts, np.int64)
-    return first[:-1], (first[1:] - 1) * (100 - percent) // percent + 1
+    return first[:-1], (first[1:] - 1) * (100 - percent) // percent
+
+
+def set_tokens(hashes: np.ndarray, at: np.ndarray, percent: int):
+    """For both levels of the (non-empty) sets: rows, their needed tokens, and of each token its
+    row and value."""
+    sizes = np.diff(at)
+    first_size, differ = size_levels(percent, int(sizes.max(initial=1)))
+    own = np.searchsorted(first_size, sizes, "right") - 1
+    total = np.zeros(len(hashes) + 1, A.U)
+    np.cumsum(A.mix(hashes), out=total[1:])
+    for below in (0, 1):
+        rows = np.flatnonzero(own >= below)
+        level = own[rows] - below
+        spare = 1 + differ[level] // 8
+        m = differ[level] + spare
+        n_own = sizes[rows]
+        base = np.cumsum(m) - m
+        inside = hashes[np.repeat(own >= below, sizes)]
+        place = np.repeat(base, n_own) + (((inside >> A.U(32)) * np.repeat(m, n_own).astype(A.U)) >> A.U(32)).astype(np.int64)
+        count = np.bincount(place, minlength=int(m.sum()))
+        owner = np.repeat(np.arange(len(rows)), m)
+        empty = np.bincount(owner[count == 0], minlength=len(rows))
+        need = np.maximum(spare - empty, 1)
+        # segments of a set are successive ranges of its sorted hashes
+        running = np.cumsum(count)
+        shift = (at[rows] - (np.cumsum(n_own) - n_own))[owner]
+        content = total[running + shift] - total[running - count + shift]
+        segment = (np.arange(len(owner)) - base[owner]).astype(A.U)
+        token = A.mix(content + A.mix(segment * A.U(0x9E3779B97F4A7C15) + level[owner].astype(A.U) * A.U(0xD1B54A32D192ED03) + A.U(1)))
+        kept = (count > 0) | (empty >= spare)[owner]
+        yield rows, need, rows[owner[kept]], token[kept]
 
 
 class Shingler:
@@ -90,14 +124,22 @@ def _set_ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return A.mix(_sums(A.mix(hashes + A.U(0x5851F42D4C957F2D)), offsets) + np.diff(offsets).astype(A.U)).view(np.int64)
 
 
-def _documents(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+def _documents(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """``key``, size ``n``, set id ``a`` and the tokens ``need`` ed in a group, of every row."""
     shingler = Shingler(width)
 
     def measure(buf, offsets):
         hashes, at = shingler.sets(buf, offsets)
-        return [pa.array(np.diff(at), pa.int64()), pa.array(_set_ids(hashes, at), pa.int64())]
+        sizes = np.diff(at)
+        some = np.flatnonzero(sizes)
+        need = np.full(len(some), 1 << 30)
+        for rows, least, _, _ in set_tokens(hashes, np.concatenate([[0], np.cumsum(sizes[some])]), percent):
+            need[rows] = np.minimum(need[rows], least)
+        every = np.zeros(len(sizes), np.int64)
+        every[some] = need
+        return [pa.array(sizes, pa.int64()), pa.array(_set_ids(hashes, at), pa.int64()), pa.array(every, pa.int64())]
 
-    return A.per_text(docs, [key], text, [StructField("n", LongType()), StructField("a", LongType())], measure)
+    return A.per_text(docs, [key], text, [StructField("n", LongType()), StructField("a", LongType()), StructField("need", LongType())], measure)
 
 
 def _sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -132,30 +174,8 @@ def _tokens(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
                     continue
                 hashes = hashes[np.repeat(chosen, sizes)]
                 ids, sizes = ids[chosen], sizes[chosen]
-                at = np.concatenate([[0], np.cumsum(sizes)])
-                first_size, segments = size_levels(percent, int(sizes.max()))
-                own = np.searchsorted(first_size, sizes, "right") - 1
-                total = np.zeros(len(hashes) + 1, A.U)
-                np.cumsum(A.mix(hashes), out=total[1:])
-                for below in (0, 1):
-                    rows = np.flatnonzero(own >= below)
-                    if not len(rows):
-                        continue
-                    level = own[rows] - below
-                    m = segments[level]
-                    inside = np.repeat(own >= below, sizes)
-                    base = np.cumsum(m) - m
-                    n_own = sizes[rows]
-                    place = np.repeat(base, n_own) + (((hashes[inside] >> A.U(32)) * np.repeat(m, n_own).astype(A.U)) >> A.U(32)).astype(np.int64)
-                    count = np.bincount(place, minlength=int(m.sum()))
-                    # segments of a set are successive ranges of its sorted hashes
-                    owner = np.repeat(np.arange(len(rows)), m)
-                    running = np.cumsum(count)
-                    shift = (at[rows] - (np.cumsum(n_own) - n_own))[owner]
-                    content = total[running + shift] - total[running - count + shift]
-                    segment = (np.arange(len(owner)) - base[owner]).astype(A.U)
-                    token = A.mix(content + A.mix(segment * A.U(0x9E3779B97F4A7C15) + level[owner].astype(A.U) * A.U(0xD1B54A32D192ED03) + A.U(1)))
-                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[rows][owner])], names=["token", "a"])
+                for _, _, owner, token in set_tokens(hashes, np.concatenate([[0], np.cumsum(sizes)]), percent):
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[owner])], names=["token", "a"])
 
     return source.mapInArrow(run, "token long, a long")
 
@@ -229,17 +249,19 @@ def _open_blocks(percent: int):
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``n_links`` (linked
     documents) of every row."""
-    rows = _documents(docs, key, text, width).withColumnRenamed(key, "id").checkpoint()
-    classes = rows.filter("n > 0").groupBy("n", "a").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("id"))
+    rows = _documents(docs, key, text, width, percent).withColumnRenamed(key, "id").checkpoint()
+    classes = rows.filter("n > 0").groupBy("n", "a", "need").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("id"))
     # tokens that two classes share, with the smallest class of each
     same = Window.partitionBy("token")
     shared = (_tokens(docs, text, width, percent).select("token", "a", F.min("a").over(same).alias("hub"), F.max("a").over(same).alias("last"))
               .filter("hub <> last").select("token", "a", "hub").distinct().checkpoint())
     # partition and matrix
-    members = shared.groupBy("a").agg(F.min("hub").alias("g")).join(classes, "a").checkpoint()
+    members = (shared.groupBy("a").agg(F.min("hub").alias("g"), F.count(F.lit(1)).alias("c")).join(classes, "a")
+               .filter("c >= need").drop("c").checkpoint())
     matrix = shared.join(members.select("a", "g").distinct(), "a").select("token", "g").distinct()
     # bound: cells in which a class has a token of the union
-    cells = shared.join(matrix, "token").select("a", "g").distinct().join(members.select("a", "n"), "a").select("n", "a", "g")
+    cells = (shared.join(matrix, "token").groupBy("a", "g").agg(F.count(F.lit(1)).alias("c"))
+             .join(members.select("a", "n", "need"), "a").filter("c >= need").select("n", "a", "g"))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     member_blocks = members.groupBy("g").agg(F.count(F.lit(1)).alias("c")).select("g", blocks.alias("mb"))
     cells = cells.checkpoint()
