@@ -26,8 +26,9 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 
 from . import _arrow as A
 
-CACHE_UNITS = 1_000_000
-CACHE_PAIRS = 1 << 20
+CACHE_UNITS = 200_000
+CACHE_PAIRS = 1 << 21
+SLICE_BYTES = 1 << 21
 SPACE = "▁"
 NONE = 0xFFFF
 FALLBACK = 0xFFFE
@@ -67,7 +68,6 @@ class PieceModel:
             table[int(self.byte_ids[b])] = bytes([b])
         self.table = np.frombuffer(b"".join(table), np.uint8)
         self.table_at = np.concatenate([[0], np.cumsum([len(b) for b in table])]).astype(np.int64)
-        self.known_pairs: dict[int, bool] = {}
         self.pair_key = np.full(CACHE_PAIRS, -1, np.int64)
         self.pair_value = np.zeros(CACHE_PAIRS, bool)
 
@@ -86,15 +86,9 @@ class PieceModel:
         return parts
 
     def _fits(self, key: int) -> bool:
-        known = self.known_pairs.get(key)
-        if known is None:
-            a, b = key >> 16, key & 0xFFFF
-            right = self.text[b]
-            known = self.bpe(right) == [right] if a == START else self.bpe(self.text[a] + right) == [self.text[a], right]
-            if len(self.known_pairs) >= 4 * CACHE_PAIRS:
-                self.known_pairs.clear()
-            self.known_pairs[key] = known
-        return known
+        a, b = key >> 16, key & 0xFFFF
+        right = self.text[b]
+        return self.bpe(right) == [right] if a == START else self.bpe(self.text[a] + right) == [self.text[a], right]
 
     def fits(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether each piece may follow each last piece."""
@@ -265,7 +259,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
             column = batch.column(len(own))
             missing = np.asarray(column.is_null())
             buf, offsets = A.text_bytes(column)
-            for i, j in A.row_slices(offsets, 4 << 20):
+            for i, j in A.row_slices(offsets, SLICE_BYTES):
                 data = buf[offsets[i]:offsets[j]].tobytes()
                 base = offsets[i]
                 texts = [data[offsets[k] - base:offsets[k + 1] - base] for k in range(i, j)]
@@ -320,7 +314,7 @@ def round_trip(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: st
         for batch in batches:
             missing = np.asarray(batch.column(1).is_null())
             buf, offsets = A.text_bytes(batch.column(1))
-            for i, j in A.row_slices(offsets, 4 << 20):
+            for i, j in A.row_slices(offsets, SLICE_BYTES):
                 data, base = buf[offsets[i]:offsets[j]].tobytes(), offsets[i]
                 texts = [data[offsets[k] - base:offsets[k + 1] - base] for k in range(i, j)]
                 ids, at = encoder.encode(texts)
