@@ -171,7 +171,7 @@ def m14_permutation_importance(spark, sf):
     d = ML.prepare_vectors(raw).join(raw.select("vec_id", "embedding"), "vec_id")
     model = ML.logistic_regression().fit(d.filter(F.col("split") == "train"))
     test = d.filter(F.col("split") == "test")
-    drops = ML.permutation_importance(model, test, [0, 1, 2, 3, 4])
+    drops = ML.permutation_importance(model, test, list(range(model.numFeatures)))
     return spark.createDataFrame([(f"dim_{i}", float(x)) for i, x in drops], "feature string, accuracy_drop double")
 
 

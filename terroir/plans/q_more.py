@@ -15,7 +15,8 @@ from ..sources.tables import read_table
 from .catalog import register
 from .oracle_views import with_views
 
-SCANNED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+SCANNED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 R6 = lambda c: F.round(c, 6)
 
 

@@ -17,6 +17,7 @@ tests check twin equality.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,7 +41,7 @@ EVENT_SCHEMA = T.StructType([
 
 def replay_events(spark: SparkSession, sf_dir: str, name: str = "replay") -> str:
     """Write ``events`` as one file per day (ts as UTC TIMESTAMP) under the shared folder."""
-    path = shared_path(spark, f"terroir-stream/{name}/{os.path.basename(sf_dir.rstrip('/'))}")
+    path = shared_path(spark, f"terroir-stream/{name}-{uuid.uuid4().hex}/{os.path.basename(sf_dir.rstrip('/'))}")
     ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     ev = ev.withColumn("ts", F.timestamp_micros(us)).withColumn("day", F.to_date("ts"))
@@ -48,8 +49,13 @@ def replay_events(spark: SparkSession, sf_dir: str, name: str = "replay") -> str
     return path
 
 
-def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The replay as a stream.  The file source orders files by their time of writing, not by day, so by
+    default all files are one trigger: no row can fall behind the watermark of an earlier one."""
+    reader = spark.readStream.schema(EVENT_SCHEMA)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
 
 
 def _telemetry_cols(ev: DataFrame) -> DataFrame:
@@ -169,8 +175,9 @@ def validation_input(events: DataFrame) -> DataFrame:
 
 def run_to_completion(df: DataFrame, name: str, spark: SparkSession, mode: str = "append") -> DataFrame:
     """Run a streaming query over all available input into a Parquet table; return it as a batch frame."""
-    out = shared_path(spark, f"terroir-stream/out/{name}")
-    ckpt = shared_path(spark, f"terroir-stream/ckpt/{name}")
+    run = uuid.uuid4().hex  # a run reads its own replay: nothing of an earlier run is read again
+    out = shared_path(spark, f"terroir-stream/out/{name}-{run}")
+    ckpt = shared_path(spark, f"terroir-stream/ckpt/{name}-{run}")
     q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -178,6 +185,6 @@ def run_to_completion(df: DataFrame, name: str, spark: SparkSession, mode: str =
 
 
 def run_foreach_batch(df: DataFrame, name: str, spark: SparkSession, writer) -> None:
-    ckpt = shared_path(spark, f"terroir-stream/ckpt/{name}")
+    ckpt = shared_path(spark, f"terroir-stream/ckpt/{name}-{uuid.uuid4().hex}")
     q = df.writeStream.foreachBatch(writer).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
