@@ -6,15 +6,10 @@ or partition size (a single longer text is one slice).
 
 from __future__ import annotations
 
-import pickle
-import sys
-import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -56,21 +51,18 @@ def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
 
 
 class Shared:
-    """A broadcast object of a class of this package.  Workers need no copy of the package, and a worker
-    process unpacks the object once and keeps it (with what it caches) for its later tasks."""
+    """A broadcast object of a class of this package.  Its plain state is broadcast, so workers need no copy
+    of the package; a worker unpacks it once, keeps it (with what it caches) for the tasks of a
+    stage, and frees it when it gets a task of another."""
 
     def __init__(self, spark, value) -> None:
-        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-        self.name = f"{type(value).__name__}-{uuid.uuid4().hex}"
+        self.kind, self.state = type(value), spark.sparkContext.broadcast(vars(value))
 
     @property
     def value(self):
-        kept = sys.modules.setdefault("_terroir_shared", types.ModuleType("_terroir_shared")).__dict__
-        if self.name not in kept:
-            for old in [k for k in kept if k.startswith(self.name.split("-")[0] + "-")]:
-                del kept[old]
-            kept[self.name] = pickle.loads(self.packed.value)
-        return kept[self.name]
+        out = object.__new__(self.kind)
+        out.__dict__ = self.state.value
+        return out
 
 
 def quoted(name: str):

@@ -198,7 +198,7 @@ def language_id(docs: DataFrame, sample: list[tuple[str, str]], keys: list[str]
         return [pa.array([m.languages[b] if k else UNKNOWN for b, k in zip(best, known)], pa.string()),
                 pa.array(score, pa.float64()), pa.array(np.where(known, ranked[0], 1.0), pa.float64())]
 
-    return A.per_text(docs, keys, text, fields, predict, limit=2 << 20)
+    return A.per_text(docs, keys, text, fields, predict)
 
 
 def with_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

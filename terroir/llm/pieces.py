@@ -13,7 +13,7 @@ path found is the BPE encoding (a sequence of pieces is one if all its neighbour
 Characters without a piece become byte pieces.
 
 A null text has null ids, an empty one none.  Texts are read whole; the memory of a task is bounded
-by its slice and by ``CACHE_UNITS``.  Rows are independent; other columns are not read.
+by its slice, by ``GROUP_BYTES`` of new units at a time and by ``CACHE_UNITS``.  Rows are independent; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from . import _arrow as A
 
 CACHE_UNITS = 200_000
 CACHE_PAIRS = 1 << 21
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+GROUP_BYTES = 1 << 18
 SPACE = "▁"
 NONE = 0xFFFF
 FALLBACK = 0xFFFE
@@ -68,8 +69,7 @@ class PieceModel:
             table[int(self.byte_ids[b])] = bytes([b])
         self.table = np.frombuffer(b"".join(table), np.uint8)
         self.table_at = np.concatenate([[0], np.cumsum([len(b) for b in table])]).astype(np.int64)
-        self.pair_key = np.full(CACHE_PAIRS, -1, np.int64)
-        self.pair_value = np.zeros(CACHE_PAIRS, bool)
+        self.pair_key = self.pair_value = None  # a worker's cache
 
     def bpe(self, text: str) -> list[str]:
         """Merges of the best-scored neighbours, the first of equals."""
@@ -95,6 +95,8 @@ class PieceModel:
         out = (last == FALLBACK) & (piece != FALLBACK)
         first = out | (last == START)
         key = np.where(first, START, last).astype(np.int64) << 16 | piece
+        if self.pair_key is None:
+            self.pair_key, self.pair_value = np.full(CACHE_PAIRS, -1, np.int64), np.zeros(CACHE_PAIRS, bool)
         slot = (A.mix(key.astype(A.U)) & A.U(CACHE_PAIRS - 1)).astype(np.int64)
         out = self.pair_value[slot]
         miss = np.flatnonzero((self.pair_key[slot] != key) & (piece != FALLBACK))
@@ -226,14 +228,16 @@ class Encoder:
         hashes, first, which = np.unique(A.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
         if len(self.hashes) > CACHE_UNITS:
             self._clear()
-        new = ~np.isin(hashes, self.hashes, assume_unique=True)
-        if new.any():
-            ids, at = self.model.encode_units(buf, starts[first[new]], ends[first[new]])
+        new = np.flatnonzero(~np.isin(hashes, self.hashes, assume_unique=True))
+        if len(new):
+            group = np.cumsum((ends - starts)[first[new]]) // GROUP_BYTES
+            done = [self.model.encode_units(buf, starts[first[g]], ends[first[g]]) for g in np.split(new, np.flatnonzero(np.diff(group)) + 1)]
+            count = np.concatenate([np.diff(at) for _, at in done])
             joined = np.concatenate([self.hashes, hashes[new]])
             order = np.argsort(joined)
-            self.at = np.concatenate([self.at, at[:-1] + len(self.ids)])[order]
-            self.count = np.concatenate([self.count, np.diff(at)])[order]
-            self.hashes, self.ids = joined[order], np.concatenate([self.ids, ids])
+            self.at = np.concatenate([self.at, np.cumsum(count) - count + len(self.ids)])[order]
+            self.count = np.concatenate([self.count, count])[order]
+            self.hashes, self.ids = joined[order], np.concatenate([self.ids, *[ids for ids, _ in done]])
         place = np.searchsorted(self.hashes, hashes)[which]
         count = self.count[place]
         ids = self.ids[np.repeat(self.at[place] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
