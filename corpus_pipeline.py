@@ -53,8 +53,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.select(*COLUMNS).withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("version")))
     links = jaccard.jaccard_join(rows, key="row", width=5, percent=80)
     kept = links.filter(F.col("row").eqNullSafe(F.col("component_id"))).select("row").distinct()
-    first = rows.join(kept.withColumnRenamed("row", "_row"), F.col("row").eqNullSafe(F.col("_row")), "left_semi")
-    return first.groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("r")).select(*[F.col(f"r.{c}") for c in COLUMNS])
+    # a struct is never null itself and its null fields are equal; join and grouping share one shuffle of the texts
+    return rows.join(kept, "row", "left_semi").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("r")).select(*[F.col(f"r.{c}") for c in COLUMNS])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
