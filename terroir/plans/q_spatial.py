@@ -182,7 +182,7 @@ def r07_region_intelligence(spark, sf):
 def r06_spatial_adjustment_df(spark, sf):
     from .q_rules import _with_ranked
     d = _with_ranked(spark, sf)
-    d = d.withColumns({f"_p{i}": RU.profile_lookup_full()[F.col("_top")[i]["crop"]] for i in range(3)})
+    d = d.withColumns({f"_p{i}": RU.profile_at(F.col("_top")[i]["o"]) for i in range(3)})
     tags = SP.spatial_tags(F.col("region_zone"), F.col("agro_climatic_zone"), F.col("irrigation_type"),
                            F.col("soil_texture"), F.col("seasonal_context"))
 

@@ -245,24 +245,21 @@ def field_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples as scoring requests with model outputs and field context.
 
     ``probs[c]`` is the normalised model score of class code ``c``; ``confidence`` is
-    the predicted class's raw score (0.5-0.86).  The class scores and their total are
-    separate columns, so later expressions reference them instead of re-inlining them.
+    the predicted class's raw score (0.5-0.86).
     """
     s = samples(spark, sf_dir)
     code, noise = F.col("crop_code"), F.col("noise")
     s = s.withColumn("_pred", F.when(noise < 2, (code + 1) % 22).otherwise(code).cast("int"))
     pred = F.col("_pred")
-    s = s.select("*", *[class_score(code, pred, noise, c).alias(f"_s{c}") for c in range(22)])
-    total = F.lit(0.0)
-    for c in range(22):
-        total = total + F.col(f"_s{c}")
-    s = s.withColumn("_tot", total)
+    # one expression over the class codes: 22 written-out copies exceed what one generated method may hold
+    s = s.withColumn("_scores", F.transform(F.array(*[F.lit(c) for c in range(22)]), lambda c: class_score(code, pred, noise, c)))
     return s.select(
         "sample_id", "N", "P", "K", "ph", "moisture", "temperature", "humidity", "rainfall", "state", "region",
         "crop", "noise", F.col("season").alias("seasonal_context"),
         dims.crop_name(pred).alias("predicted_crop"),
         class_score(code, pred, noise, pred).alias("confidence"),
-        F.array(*[F.col(f"_s{c}") / F.col("_tot") for c in range(22)]).alias("probs"),   # indexed by class code
+        F.aggregate("_scores", F.lit(0.0), lambda total, x: total + x,
+                    lambda total: F.transform("_scores", lambda x: x / total)).alias("probs"),   # indexed by class code
         _pick(["Low", "Medium", "High"], noise % 3).alias("fertility_pred"),
         deficiency_label(F.col("N"), F.col("P"), F.col("K")).alias("deficiency_pred"),
         _pick(IRRIGATION_TYPES, (code + noise) % 4).alias("irrigation_type"),
