@@ -10,9 +10,9 @@ the answer is found by histogram refinement instead:
    one distributed ``groupBy`` (output: targets x buckets rows);
 3. the bucket holding the rank becomes the new interval.  A bucket whose min equals
    its max settles the rank at once (so a value shared by a third of all rows costs
-   nothing); a bucket with at most ``FINAL_ROWS`` rows is fetched and sorted.
+   nothing); otherwise its min and max bound the next interval.
 
-The driver only sees per-bucket counts - never the data.  Each pass narrows by about
+Infinities are the first and last ranks and take no part in the intervals.  The driver only sees per-bucket counts - never the data.  Each pass narrows by about
 ``BUCKETS``x, so 10^12 rows take 4-5 passes.  ``method='approx'`` uses
 ``percentile_approx`` instead (one pass, bounded error).
 """
@@ -26,7 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
-FINAL_ROWS = 20000
+
+
+def _stats(long: DataFrame, keys):
+    """Per key: rows, rows at either infinity, and the range of the finite values."""
+    v = F.col("v")
+    finite = F.when(F.abs(v) < math.inf, v)
+    return long.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(v == -math.inf).alias("below"), F.count_if(v == math.inf).alias("above"),
+                                   F.min(finite).alias("lo"), F.max(finite).alias("hi")).collect()
 
 
 def _long_form(df: DataFrame, cols, group_cols) -> DataFrame:
@@ -39,7 +46,7 @@ def _long_form(df: DataFrame, cols, group_cols) -> DataFrame:
 def _locate(long: DataFrame, keys, stats, wanted):
     """Find the values at the requested 0-based ranks: ``{(key, rank): value}``.
 
-    ``long`` has columns ``keys + ["v"]``; ``stats`` rows carry ``n, lo, hi`` per key.
+    ``long`` has columns ``keys + ["v"]``; ``stats`` are the rows of ``_stats``.
     """
     targets = {}
     found = {}
@@ -47,12 +54,16 @@ def _locate(long: DataFrame, keys, stats, wanted):
         key = tuple(r[k] for k in keys)
         n, lo, hi = r["n"], r["lo"], r["hi"]
         for rk in wanted.get(key, ()):
-            if lo == hi or rk == 0:
+            if rk < r["below"]:
+                found[(key, rk)] = -math.inf
+            elif rk >= n - r["above"]:
+                found[(key, rk)] = math.inf
+            elif lo == hi or rk == r["below"]:
                 found[(key, rk)] = lo
-            elif rk == n - 1:
+            elif rk == n - r["above"] - 1:
                 found[(key, rk)] = hi
             else:
-                targets[len(targets)] = {"key": key, "rank": rk, "L": math.nextafter(lo, -math.inf), "H": hi, "below": 0}
+                targets[len(targets)] = {"key": key, "rank": rk, "L": math.nextafter(lo, -math.inf), "H": hi, "below": r["below"]}
 
     spark = long.sparkSession
     while targets:
@@ -73,35 +84,17 @@ def _locate(long: DataFrame, keys, stats, wanted):
         per = defaultdict(list)
         for r in hist:
             per[r["tid"]].append((r["b"], r["c"], r["mn"], r["mx"]))
-        fetch = []
         nxt = {}
         for tid, t in targets.items():
             acc = t["below"]
-            L, H = t["L"], t["H"]
-            wd = (H - L) / float(BUCKETS)
-            for bi, c, mn, mx in sorted(per[tid]):
+            for _, c, mn, mx in sorted(per[tid]):
                 if acc + c > t["rank"]:
                     if mn == mx:
                         found[(t["key"], t["rank"])] = mn
                     else:
-                        lo_b = L + bi * wd
-                        hi_b = H if bi + 1 >= BUCKETS else L + (bi + 1) * wd
-                        nt = {"key": t["key"], "rank": t["rank"], "L": lo_b, "H": hi_b, "below": acc}
-                        if c <= FINAL_ROWS or not lo_b < hi_b:
-                            fetch.append(nt)   # small enough (or no longer divisible): sort it
-                        else:
-                            nxt[len(nxt)] = nt
+                        nxt[len(nxt)] = {"key": t["key"], "rank": t["rank"], "L": math.nextafter(mn, -math.inf), "H": mx, "below": acc}
                     break
                 acc += c
-        if fetch:
-            fdf = spark.createDataFrame([f["key"] + (i, f["L"], f["H"]) for i, f in enumerate(fetch)],
-                                        [*keys, "fid", "L", "H"])
-            vals = (long.join(F.broadcast(fdf), on=keys)
-                    .filter((F.col("v") > F.col("L")) & (F.col("v") <= F.col("H")))
-                    .groupBy("fid").agg(F.sort_array(F.collect_list("v")).alias("vs")).collect())
-            got = {r["fid"]: r["vs"] for r in vals}
-            for i, f in enumerate(fetch):
-                found[(f["key"], f["rank"])] = got[i][f["rank"] - f["below"]]
         targets = nxt
     return found
 
@@ -114,13 +107,12 @@ def values_at_ranks(df: DataFrame, value_col: str, group_cols, ranks_of_count):
     """
     group_cols = list(group_cols)
     long = df.select(*group_cols, F.col(value_col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    stats = long.groupBy(*group_cols).agg(F.count("*").alias("n"), F.min("v").alias("lo"),
-                                          F.max("v").alias("hi")).collect()
+    stats = _stats(long, group_cols)
     wanted = {tuple(r[k] for k in group_cols): set(ranks_of_count(r["n"])) for r in stats}
     counts = {tuple(r[k] for k in group_cols): r["n"] for r in stats}
     if not group_cols:
         long = long.withColumn("_g", F.lit(0))
-        stats = [dict(n=r["n"], lo=r["lo"], hi=r["hi"], _g=0) for r in stats]
+        stats = [r.asDict() | {"_g": 0} for r in stats]
         wanted = {(0,): v for v in wanted.values()}
         found = _locate(long, ["_g"], stats, wanted)
         return {((), rk): v for ((_, ), rk), v in found.items()}, {(): n for n in counts.values()}
@@ -144,7 +136,7 @@ def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), method: str = "ex
 
     long = _long_form(df, cols, group_cols)
     keys = group_cols + ["cid"]
-    stats = long.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    stats = _stats(long, keys)
     wanted = {}
     for r in stats:
         n = r["n"]
@@ -167,7 +159,7 @@ def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), method: str = "ex
             v0 = found[(key, r0)]
             if h > r0 and r0 + 1 < n:
                 v1 = found[(key, r0 + 1)]
-                v = v0 + (h - r0) * (v1 - v0)
+                v = v0 if v0 == v1 else v0 + (h - r0) * (v1 - v0)
             else:
                 v = v0
             out[(key[:-1], cols[key[-1]], q)] = v

@@ -9,7 +9,7 @@ the previous bucket, which holds every observation within the TTL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,23 +75,39 @@ def payload_from_observation(obs: DataFrame) -> DataFrame:
 
 
 # --- J12 ----------------------------------------------------------------------------------------
-def asof_weather(requests: DataFrame, observations: DataFrame, ttl_us: int = TTL_US, req_id: str = "req_id") -> DataFrame:
-    """Each request gets the latest observation of its grid cell at most ``ttl`` old.
+ASOF_CHUNKS = 30   # parts of a ttl; one task reads the rows of a cell in one part
 
-    Equi-join on (cell, bucket) with bucket = floor(ts / ttl); a request probes its own
-    and the previous bucket.  Requests without an observation keep nulls (left join).
+
+def asof_weather(requests: DataFrame, observations: DataFrame, ttl_us: int = TTL_US) -> DataFrame:
+    """Each request gets the latest observation of its grid cell at most ``ttl`` old (ties: largest ``obs_id``).
+
+    No pairs are formed: requests and observations of a (cell, chunk) are read in time order and the last
+    observation is kept; a request that has none in its chunk takes the last one of the earlier chunks of its
+    ttl-wide bucket, else that of the previous bucket.  Requests without an observation keep nulls; those
+    without a time or a position meet none.
     """
-    obs = observations.select(
-        FX.grid_key().alias("cell"), F.floor(F.col("ts_us") / ttl_us).alias("bucket"), F.col("ts_us").alias("obs_ts"),
+    placed = observations.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("ts_us").isNotNull())
+    obs = placed.select(
+        FX.grid_key().alias("cell"), F.col("ts_us").alias("_ts"),
         F.struct("obs_id", F.col("ts_us").alias("obs_ts_us"), F.col("temperature").alias("live_temp"),
                  F.col("humidity").alias("live_hum"), F.col("rainfall").alias("live_rain"), "wind_speed",
                  F.col("precip_7d").alias("precip_7d")).alias("obs"))
-    req = requests.withColumn("cell", FX.grid_key()).withColumn(
-        "bucket", F.explode(F.array(F.floor(F.col("ts_us") / ttl_us), F.floor(F.col("ts_us") / ttl_us) - 1)))
-    m = (req.select(req_id, "cell", "bucket", F.col("ts_us").alias("_rts")).join(obs, ["cell", "bucket"])
-         .filter((F.col("obs_ts") <= F.col("_rts")) & (F.col("obs_ts") >= F.col("_rts") - ttl_us)))
-    best = m.groupBy(req_id).agg(F.max_by("obs", F.struct("obs_ts", F.col("obs.obs_id"))).alias("obs"))
-    return requests.withColumn("cell", FX.grid_key()).join(best, req_id, "left")
+    req = requests.select(FX.grid_key().alias("cell"), F.col("ts_us").alias("_ts"),
+                          F.struct(*[c for c in requests.columns if c != "cell"]).alias("r"))
+    rows = obs.unionByName(req, allowMissingColumns=True).withColumns(
+        {"_bucket": F.floor(F.col("_ts") / ttl_us), "_chunk": F.floor(F.col("_ts") * ASOF_CHUNKS / ttl_us)})
+    bucket, chunk = ["cell", "_bucket"], ["cell", "_bucket", "_chunk"]
+    age = lambda o: F.when(F.col(o).isNotNull(), F.struct(F.col(o)["obs_ts_us"], F.col(o)["obs_id"]))
+    in_chunk = (Window.partitionBy(*chunk).orderBy("_ts", F.col("r").isNotNull(), F.col("obs.obs_id"))
+                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    own = rows.withColumn("_own", F.last("obs", ignorenulls=True).over(in_chunk)).filter(F.col("r").isNotNull())
+    last = rows.groupBy(*chunk).agg(F.max_by("obs", age("obs")).alias("_last"))
+    earlier = Window.partitionBy(*bucket).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = last.select(*chunk, F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    previous = last.groupBy(*bucket).agg(F.max_by("_last", age("_last")).alias("_previous")).withColumn("_bucket", F.col("_bucket") + 1)
+    found = F.coalesce("_own", "_before", "_previous")
+    return own.join(before, chunk, "left").join(previous, bucket, "left").select(
+        "r.*", "cell", F.when(found["obs_ts_us"] >= F.col("_ts") - ttl_us, found).alias("obs"))
 
 
 # --- R8 / R9 ------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ Each query returns a small result frame built from Spark jobs over the whole tab
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
@@ -201,12 +202,13 @@ def m16_registry_benchmark(spark, sf):
         results.append({"model_name": name, "task": "vectors", "training_timestamp": ts, "artifact_path": path,
                         "metrics": {k: v for k, v in r.items() if not k.startswith("_") and k != "model"}})
     d.unpersist()
-    new = RG.entries(spark, results)
-    reg_path = shared_path(spark, "terroir-registry/registry.json")
-    RG.write_json(new, reg_path)
-    reg = RG.read_json(spark, reg_path)
-    merged = RG.merge_new(reg, new)
-    RG.append_log(merged.select("model_name", "task", "metrics"), shared_path(spark, "terroir-registry/log"))
+    # a first batch of one model, then a batch with that model again and a new one
+    base = shared_path(spark, f"terroir-registry-{uuid.uuid4().hex}")
+    merged = RG.read_json(spark, f"{base}/0")
+    for i, batch in enumerate((results[:1], results), 1):
+        RG.write_json(RG.merge_new(merged, RG.entries(spark, batch)), f"{base}/{i}")
+        merged = RG.read_json(spark, f"{base}/{i}")
+    RG.append_log(merged.select("model_name", "task", "metrics"), f"{base}/log")
     assert RG.load_artifact(LogisticRegressionModel, results[0]["artifact_path"]) is not None
     best = RG.best_model(merged, "vectors").select(F.col("model_name").alias("best_model"))
     table = RG.benchmark_table(merged)

@@ -4,6 +4,8 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from terroir.operators import registry as RG
+from terroir.operators import timeops as TO
 from terroir.operators.quantiles import exact_quantiles, values_at_ranks
 from terroir.operators.windows import bounded_history, prefix_sum, top_k_per_group
 
@@ -33,6 +35,48 @@ def test_grouped_quantiles(spark):
         assert abs(got[((k,), "v", 0.5)] - float(np.quantile(v[key == k], 0.5))) < 1e-9
 
 
+def test_quantiles_with_infinities(spark):
+    v = [float("-inf"), 1.0, 2.0, 2.0, 5.0, float("inf"), float("inf")]
+    df = spark.createDataFrame([(x,) for x in v + [None, float("nan")]], "v double")
+    got = exact_quantiles(df, ["v"], [0.0, 0.25, 0.5, 0.7, 1.0])
+    assert [got[((), "v", q)] for q in (0.0, 0.5, 1.0)] == [v[0], 2.0, v[-1]]
+    assert got[((), "v", 0.25)] == 1.5 and got[((), "v", 0.7)] == float("inf")
+    only = exact_quantiles(df.filter("v = double('inf')"), ["v"], [0.5])
+    assert only[((), "v", 0.5)] == float("inf")
+
+
+def test_asof_matches_brute_force_in_one_cell(spark):
+    rng = np.random.default_rng(3)
+    half = TO.TTL_US
+    obs = [(i, int(t), 8.0, 76.0, float(i)) for i, t in enumerate(rng.integers(0, 6 * half, 60))]
+    obs += [(100, obs[0][1], 8.0, 76.0, 1.0), (101, None, 8.0, 76.0, 1.0), (102, 5, None, 76.0, 1.0)]
+    req = [(i, int(t), 8.0, 76.0) for i, t in enumerate(rng.integers(0, 8 * half, 400))]
+    req += [(400, obs[0][1], 8.0, 76.0), (401, None, 8.0, 76.0), (402, 5, None, 76.0), (403, 5, 9.0, 76.0)]
+    o = spark.createDataFrame(obs, "obs_id long, ts_us long, lat double, lon double, temperature double").selectExpr(
+        "*", "0D AS humidity", "0D AS rainfall", "0D AS wind_speed", "0D AS precip_7d")
+    r = spark.createDataFrame(req, "req_id long, ts_us long, lat double, lon double")
+    got = {x["req_id"]: x["obs"] and x["obs"]["obs_id"] for x in TO.asof_weather(r, o).collect()}
+    assert len(got) == len(req)
+    for rid, t, lat, _ in req:
+        seen = [(ot, oid) for oid, ot, olat, _, _ in obs if None not in (t, ot, lat, olat) and olat == lat and t - half <= ot <= t]
+        assert got[rid] == (max(seen)[1] if seen else None), rid
+
+
+def test_registry_keeps_order_and_first_maximum(spark, tmp_path):
+    def entry(name, acc):
+        return {"model_name": name, "task": "crop", "training_timestamp": "2024-01-01", "metrics": {"test_accuracy": acc}}
+
+    reg = RG.read_json(spark, str(tmp_path / "absent"))
+    assert reg.count() == 0
+    reg = RG.merge_new(reg, RG.entries(spark, [entry("z", 0.9), entry("m", 0.5)]))
+    RG.write_json(reg, str(tmp_path / "reg"))
+    reg = RG.merge_new(RG.read_json(spark, str(tmp_path / "reg")), RG.entries(spark, [entry("z", 0.1), entry("a", 0.9)]))
+    assert [(r["model_name"], r["position"]) for r in reg.orderBy("position").collect()] == [("z", 0), ("m", 1), ("a", 3)]
+    assert RG.best_model(reg, "crop").first()["model_name"] == "z"
+    assert RG.best_model(reg, "crop", "m").first()["model_name"] == "m"
+    assert {r["model_name"]: r["rank"] for r in RG.benchmark_table(reg).collect()} == {"z": 1, "a": 2, "m": 3}
+
+
 def test_values_at_ranks(spark):
     df, _, _, v = _frame(spark)
     found, counts = values_at_ranks(df, "v", [], lambda n: [0, n // 3, n - 1])
