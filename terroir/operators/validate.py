@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources import knowledge as K
 from .windows import top_k_per_group
@@ -171,5 +172,43 @@ def state_filter(features: DataFrame, state: str) -> DataFrame:
     return features.filter(F.lower(F.col("state")) == F.lower(F.lit(state)))
 
 
-def numeric_schema(df: DataFrame, exclude=()) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
+def range_status(df: DataFrame, features, target: str, ranges=K.HARD_BOUNDS | K.SOFT_BOUNDS, tolerance: float = 0.01) -> DataFrame:
+    """One row per feature and target of a processed table with its range status.
+
+    MISSING (no such column), PASS (min and max within the range, give or take ``tolerance``; also a column
+    without a range or without values), else CLIP/FAIL.  The target has no range.
+    """
+    wanted = list(dict.fromkeys([*features, *ranges, target]))
+    here = [c for c in wanted if c in df.columns]
+    one = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(here)],
+                 *[F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(f"r{i}")
+                   if c in ranges else F.lit(None).cast("struct<lo: double, hi: double>").alias(f"r{i}") for i, c in enumerate(here)])
+    items = []
+    for c in wanted:
+        if c in here:
+            i = here.index(c)
+            lo, hi, nulls = F.col(f"r{i}.lo"), F.col(f"r{i}.hi"), F.col(f"n{i}")
+            bad = (lo < ranges[c][0] - tolerance) | (hi > ranges[c][1] + tolerance) if c in ranges else F.lit(False)
+            status = F.when(bad, "CLIP/FAIL").otherwise("PASS")
+        else:
+            lo = hi = F.lit(None).cast("double")
+            nulls, status = F.lit(None).cast("bigint"), F.lit("MISSING")
+        items.append(F.struct(F.lit(c).alias("feature"), F.lit("target" if c == target else "feature").alias("role"), lo.alias("min"),
+                              hi.alias("max"), nulls.cast("bigint").alias("nulls"), status.alias("status")))
+    return one.select(F.inline(F.array(*items)))
+
+
+def pipeline_gate(frames: dict[str, tuple[DataFrame, str, list[str]]]) -> DataFrame:
+    """Per data set ``(table, target, required columns)`` whether the pipeline goes on.
+
+    A CRITICAL severity (P8) or a missing target skips it; one row per data set.
+    """
+    rows = []
+    for name, (df, target, required) in frames.items():
+        lacks = target not in df.columns
+        sev = severity(range_violations(df), missing_columns(df, required))
+        critical = F.col("severity") == "CRITICAL"
+        rows.append(sev.select(
+            F.lit(name).alias("dataset"), "severity", F.when(critical | F.lit(lacks), "skipped").otherwise("processed").alias("status"),
+            F.when(~critical & F.lit(lacks), F.lit(f"Missing target column: {target}")).alias("error")))
+    return reduce(lambda a, b: a.unionByName(b), rows)

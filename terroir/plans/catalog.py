@@ -36,6 +36,7 @@ MODULES = (
     "terroir.plans.q_spatial",
     "terroir.plans.q_time",
     "terroir.plans.q_more",
+    "terroir.plans.q_scoring",
     "terroir.plans.q_ml",
     "terroir.plans.q_stream",
 )
