@@ -5,7 +5,8 @@ Parquet and read again.  All but the last return the columns of ``documents``.
 
 1. language_id: documents in none of the learned languages go (no text or letter, or a text whose
    winner needs as many phrases as random letters do); ``lang`` becomes the prediction.
-2. line_dedup: boilerplate lines of a source are cut out of the texts.
+2. line_dedup: boilerplate lines of a source are cut out of the texts.  Documents that stage 3's measure
+   links as they come in are one page: a group of copies makes no line boilerplate by its size.
 3. near_duplicates: of documents linked by a Jaccard similarity of 0.8 or more over shingles of five
    words, the one with the smallest id (then text hash; a null id is the smallest) stays.
 4. decontaminate: documents with a benchmark passage go.
@@ -43,14 +44,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    # a row is its id and its text's hash: ids may be null or repeat
+    return docs.select(*COLUMNS).withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("version")))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = lines.line_dedup(docs.select(*COLUMNS))
+    rows = _rows(docs)
+    links = jaccard.jaccard_join(rows, key="row", width=5, percent=80)
+    pages = links.select(F.col("row").alias("key"), F.col("component_id").alias("page")).distinct()
+    cleaned = lines.line_dedup(rows, key="row", pages=pages)
     return cleaned.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # a row is its id and its text's hash: ids may be null or repeat
-    rows = docs.select(*COLUMNS).withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("version")))
+    rows = _rows(docs)
     links = jaccard.jaccard_join(rows, key="row", width=5, percent=80)
     kept = links.filter(F.col("row").eqNullSafe(F.col("component_id"))).select("row").distinct()
     # a struct is never null itself and its null fields are equal; join and grouping share one shuffle of the texts

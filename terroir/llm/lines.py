@@ -6,7 +6,8 @@ blanks; blank lines are never dropped.  Each page counts a line once, before any
 shuffled; counting is a two-stage aggregation, so a hot host or line is no task of its own.
 
 A null host is the host ``''``.  A null text stays null and holds no line; an empty one stays
-empty.  Repeated rows count as pages of their own.  An empty table gives an empty result.
+empty.  Repeated rows count as pages of their own, unless ``pages`` says which rows are copies of
+one page.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,20 +25,28 @@ def _trimmed(line: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
-               ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+               ratio: float = 0.1, min_pages: int = 5, pages: DataFrame | None = None) -> DataFrame:
     """``docs`` with boilerplate lines dropped from ``text``, and ``n_lines``, ``n_dropped``.
 
     A line is boilerplate if more than ``ratio`` of its host's pages, and at least ``min_pages`` of
-    them, contain it.  Columns of ``docs`` keep their names and order; of columns that clash with
+    them, contain it.  ``pages`` has a row ``(key, page)`` for each key: rows of one page and host count
+    once, and a line counts if any of them contains it.  Columns of ``docs`` keep their names and order; of columns that clash with
     the two counts, the counts win.
     """
     rows = docs.withColumn("_host", F.coalesce(quoted(host).cast("string"), F.lit(""))).withColumn("_key", quoted(key))
     lines = F.split(quoted(text), "\n")
     hashes = F.transform(F.filter(F.transform(lines, _trimmed), lambda x: x != ""), lambda x: F.xxhash64(x))
     page_lines = rows.select("_host", "_key", F.explode(F.array_distinct(hashes)).alias("_line"))
-    pages = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
-    frequent = (page_lines.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_with"))
-                .filter(F.col("_with") >= min_pages).join(pages, "_host")
+    if pages is None:
+        total = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
+        counted = page_lines
+    else:
+        of = pages.select(quoted("key").alias("_k"), F.xxhash64("page").alias("_page"))
+        same = F.col("_key").eqNullSafe(F.col("_k"))
+        total = rows.select("_host", "_key").join(of, same).select("_host", "_page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
+        counted = page_lines.join(of, same).select("_host", "_line", "_page").distinct()
+    frequent = (counted.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_with"))
+                .filter(F.col("_with") >= min_pages).join(total, "_host")
                 .filter(F.col("_with") > F.lit(float(ratio)) * F.col("_pages")).select("_host", "_line"))
     hits = (page_lines.join(frequent, ["_host", "_line"]).groupBy("_host", "_key")
             .agg(F.collect_set("_line").alias("_drop")).withColumnsRenamed({"_host": "_h", "_key": "_k"}))

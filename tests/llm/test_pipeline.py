@@ -64,3 +64,20 @@ def test_near_duplicates_keep_rows_with_null_ids(spark):
     rows = [(None, f"{w} " + " ".join(f"{w}{i}" for i in range(30)), None, None, 0) for w in "abc"] + [(1, None, None, None, 0), (2, "", None, None, 0)]
     out = P.near_duplicates(spark, spark.createDataFrame(rows + rows[:1], "doc_id long, text string, lang string, source string, n_chars long"), H.SF)
     assert sorted(str(r.text)[:1] for r in out.collect()) == ["", "N", "a", "b", "c"]
+
+
+def test_line_dedup_counts_copies_once(spark):
+    def text(name):
+        return "\n".join(" ".join(f"{name}{k}x{j}" for j in range(12)) for k in range(5))
+
+    copied = text("copy")
+    near = [copied.replace(f"copy{k % 5}x5 ", f"other{k} ") for k in range(6)]
+    texts = [copied] * 6 + near + [text(f"own{i}x") for i in range(20)]
+    docs = spark.createDataFrame([(i, "common header line\n" + t, "en", "s", 0) for i, t in enumerate(texts)], docs_schema)
+    cleaned = P.line_dedup(spark, docs, H.SF)
+    assert {r.doc_id: r.text for r in cleaned.collect()} == dict(enumerate(texts))
+    kept = P.near_duplicates(spark, cleaned, H.SF)
+    assert {r.doc_id for r in kept.collect()} == {0, *range(12, 32)}
+
+
+docs_schema = "doc_id long, text string, lang string, source string, n_chars long"
