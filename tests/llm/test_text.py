@@ -199,6 +199,19 @@ def test_html_extraction():
     assert html_text.main_text('<p title="a>b">x</p><div class="ad">never closed <article><p>kept</article>') == "kept"
 
 
+BODY = "A long sentence of the body text goes on and on. " * 5
+
+
+def test_html_marks_are_evidence_only():
+    body = BODY.strip()
+    for start in ("<div id=page class='has-sidebar'>", "<div class='content menu-open'>", "<div class=sidebar>", "<form>"):
+        assert html_text.main_text(f"{start}<p>{BODY}</p></{start[1:5].strip()}>") == body
+    parts = f"<p>{BODY}<section id=discussion><p>{BODY}</section><div class=related-work>{BODY}</div><h2 id=notice>Notice</h2><p>{BODY}"
+    assert html_text.main_text(f"<article>{parts}</article>") == "\n".join([body, body, body, "Notice", body])
+    assert html_text.main_text(f"<article><p class=ad>buy<p>{BODY}<ul><li class=share>share<li>kept</ul><p>{BODY}</article>") == "\n".join([body, "kept", body])
+    assert html_text.main_text("<nav>" * 2000 + "<div class=ad>" * 2000 + "x") == ""
+
+
 def test_line_blocks():
     assert html_text.line_blocks([0, 5, 6, 0, 0, 0, 200, 3, 0, 0, 0, 4], 3, 100) == [(6, 8)]
     assert html_text.line_blocks([150, 0, 0, 0, 300], 3, 100) == [(0, 1), (4, 5)]
