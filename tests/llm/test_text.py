@@ -212,6 +212,15 @@ def test_html_marks_are_evidence_only():
     assert html_text.main_text("<nav>" * 2000 + "<div class=ad>" * 2000 + "x") == ""
 
 
+def test_html_lines_decide():
+    body = BODY.strip()
+    menu = "<ul>" + "".join(f"<li><a href=x>Menu {k}</a></li>" for k in range(5)) + "</ul>"
+    assert html_text.main_text(f"<aside><article>teaser</article></aside><div><p>{BODY}<p>{BODY}</div>") == f"{body}\n{body}"
+    assert html_text.main_text(f"{menu}<div><p>{BODY}</p><aside>x</aside><p>The end.</p></div>{menu}") == f"{body}\nThe end."
+    assert html_text.main_text(f"<article>{BODY}</article><article>teaser</article>") == body
+    assert html_text.main_text(f"<article>{BODY}</article><article>{BODY}</article>") == f"{body}\n{body}"
+
+
 def test_line_blocks():
     assert html_text.line_blocks([0, 5, 6, 0, 0, 0, 200, 3, 0, 0, 0, 4], 3, 100) == [(6, 8)]
     assert html_text.line_blocks([150, 0, 0, 0, 300], 3, 100) == [(0, 1), (4, 5)]
