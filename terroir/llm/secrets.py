@@ -4,7 +4,7 @@ Base kinds (leftmost, not overlapping within a kind) are key assignments, access
 hexadecimal strings.  The method adds tokens of ``MIN_TOKEN`` or more characters whose character
 pairs are likelier in random strings than in ordinary identifiers.  Both first-order models are
 trained from labelled samples: what the base patterns found in all documents is random; the words
-of the ``sample_docs`` documents with the smallest text hash, without a base match, are
+of the ``sample_docs`` different texts with the smallest hash of those without a base match are
 ordinary (a bounded sample).  Only the pair counts, at most twice 67 x 67, reach the driver.
 
 Positions are code points; the end is exclusive.  A null text counts as empty.  Whole texts are
@@ -67,9 +67,9 @@ def train(docs: DataFrame, matches: DataFrame, key: str = "doc_id", text: str =
     secret = F.when(F.col("name") == "assign", F.regexp_extract("found", ASSIGN, 2)).otherwise(F.col("found"))
     random = _pairs(matches.filter("name <> 'markov'").select(secret.alias("s"))).collect()
     base = "|".join((ASSIGN, ACCESS, HEX))
-    texts = _texts(docs, key, text).select("version", "body")
-    smallest = texts.select("version").orderBy("version").limit(sample_docs).distinct()
-    chosen = texts.join(F.broadcast(smallest), "version").dropDuplicates(["version"]).filter(~F.col("body").rlike(base))
+    texts = _texts(docs, key, text).select("version", "body").filter(~F.col("body").rlike(base))
+    smallest = texts.select("version").distinct().orderBy("version").limit(sample_docs)
+    chosen = texts.join(F.broadcast(smallest), "version").dropDuplicates(["version"])
     ordinary = _pairs(chosen.select(F.explode(F.regexp_extract_all("body", F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("s"))).collect()
     n = len(ALPHABET)
 

@@ -81,6 +81,16 @@ def test_secret_scan_matches_brute_force(spark):
     assert secrets.scan(H.empty(spark)).count() == 0
 
 
+def test_secret_sample_is_of_different_texts_without_a_match(spark):
+    ordinary = [f"ordinary_identifier_{w}" for w in ("alpha", "beta", "gamma")]
+
+    def trained(texts):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return secrets.train(docs, secrets.base_and_tokens(docs).limit(0), sample_docs=3)
+
+    assert trained([t for t in ordinary for _ in range(9)] + [f"password={w}bcdefgh" for w in "abcdefghijkl"]) == trained(ordinary)
+
+
 def test_secret_scan_on_documents(spark):
     text = {i: t for i, t, _ in H.documents()}
     for r in queries.op5_secret_scan(spark, H.SF).collect():
