@@ -4,7 +4,8 @@ Each stage is ``(spark, docs, sf_dir) -> DataFrame`` over all that its predecess
 Parquet and read again.  All but the last return the columns of ``documents``.
 
 1. language_id: documents in none of the learned languages go (no text or letter, or a text whose
-   winner needs as many phrases as random letters do); ``lang`` becomes the prediction.
+   winner needs phrases nearer to those of shuffled letters than to those of its own texts, by a limit
+   learned for each language of eight or more labelled texts); ``lang`` becomes the prediction.
 2. line_dedup: boilerplate lines of a source are cut out of the texts.  Documents that stage 3's measure
    links as they come in are one page: a group of copies makes no line boilerplate by its size.
 3. near_duplicates: of documents linked by a Jaccard similarity of 0.8 or more over shingles of five
@@ -29,18 +30,23 @@ from terroir.llm.queries import PIECE_MODEL
 from terroir.session import shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Phrases per symbol from which a text belongs to no learned language; texts of the languages
-#: themselves need 0.05 to 0.31, down to two words, random letters 0.45 and more.
-FOREIGN_RATE = 0.45
 #: A text of fewer symbols is too short to be called foreign.
 FOREIGN_SYMBOLS = 40
+#: Rates of texts shorter than the learned excerpts vary more; so many of their deviations are granted.
+EXCERPT, DEVIATIONS = 256, 3.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    found = language.language_id(docs, language.labelled_sample(docs), COLUMNS)
-    foreign = (F.col("phrase_rate") >= FOREIGN_RATE) & (F.length("text") >= FOREIGN_SYMBOLS)
-    kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & ~foreign)
+    sample = language.labelled_sample(docs, excerpt=EXCERPT)
+    limits, spread = language.foreign_limits(sample)
+    found = language.language_id(docs, sample, COLUMNS)
+    kept = found.filter(F.col("lang_pred") != language.UNKNOWN)
+    if limits:
+        # a language without a limit keeps what it wins
+        limit = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])[F.col("lang_pred")]
+        granted = DEVIATIONS * spread * (F.sqrt(EXCERPT / F.least(F.length("text"), F.lit(EXCERPT))) - 1)
+        kept = kept.filter(~F.coalesce((F.length("text") >= FOREIGN_SYMBOLS) & (F.col("phrase_rate") >= limit + granted), F.lit(False)))
     return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 

@@ -13,6 +13,8 @@ independent, repeated rows give repeated results, and other columns are not read
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -171,6 +173,36 @@ class Model:
         return sizes, letters, total
 
 
+def foreign_limits(sample: list[tuple[str, str]], folds: int = 4, least: int = 8, way: float = 0.75) -> tuple[dict[str, float], float]:
+    """Phrases per symbol from which a text that a language wins is none of its texts, and the spread of the rates.
+
+    Each part of the sample is parsed with the automata of the other parts, as it is and with its
+    letters shuffled; a language's limit lies ``way`` of the way between the medians of the two.  A language with fewer
+    than ``least`` texts has no limit."""
+    texts = [(lang, t) for lang, t in ((lang, normalised(t)) for lang, t in sample) if t]
+    own: dict[str, list[float]] = {}
+    shuffled: dict[str, list[float]] = {}
+    for k in range(folds):
+        held = texts[k::folds]
+        model = Model([x for i, x in enumerate(texts) if i % folds != k])
+        held = [(lang, t) for lang, t in held if lang in model.languages]
+        if not held:
+            continue
+        mixed = ["".join(random.Random(i).sample(t, len(t))) for i, (_, t) in enumerate(held)]
+        for rates, parts in ((own, [t for _, t in held]), (shuffled, mixed)):
+            points = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+            sizes, _, total = model.phrases(points, np.cumsum([0] + [len(t) for t in parts]), 512)
+            for i, (lang, _) in enumerate(held):
+                rates.setdefault(lang, []).append(float(total[model.languages.index(lang), i] / sizes[i]))
+    limits, spread = {}, [0.0]
+    for lang, rates in own.items():
+        if len(rates) >= least:
+            a, b = np.median(rates), np.median(shuffled[lang])
+            limits[lang] = float(a + way * (b - a))
+            spread.append(float(np.std(rates)))
+    return limits, max(spread)
+
+
 def language_id(docs: DataFrame, sample: list[tuple[str, str]], keys: list[str] = ["doc_id"], text: str = "text", block: int = 512) -> DataFrame:
     """``keys``, ``lang_pred``, ``score`` and ``phrase_rate`` of every text.
 

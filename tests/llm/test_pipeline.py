@@ -66,6 +66,27 @@ def test_near_duplicates_keep_rows_with_null_ids(spark):
     assert sorted(str(r.text)[:1] for r in out.collect()) == ["", "N", "a", "b", "c"]
 
 
+def test_language_id_learns_its_limits(spark):
+    import random
+
+    def prose(rng, words):
+        return " ".join(rng.choice(words) for _ in range(60))
+
+    def vocabulary(seed, heads, tails):
+        rng = random.Random(seed)
+        return ["".join(rng.choice(heads) + rng.choice(tails) for _ in range(rng.randint(1, 3))) for _ in range(400)]
+
+    rng = random.Random(3)
+    learned = vocabulary(1, "th wh st br nd sh".split(), "e o ing er ou".split())
+    other = vocabulary(2, "gn rd tst hw bs ng".split(), "i eo oe rue uo".split())  # the same letters, not learned
+    rare = [chr(0x4E00 + k) + chr(0x5E00 + 7 * k) for k in range(900)]             # few labels, a large alphabet
+    rows = [(prose(rng, learned), "a") for _ in range(60)] + [(prose(rng, other), None) for _ in range(5)]
+    rows += [(prose(rng, rare), "r") for _ in range(2)] + [(prose(rng, rare), None) for _ in range(5)]
+    docs = spark.createDataFrame([(i, t, x, "s", 0) for i, (t, x) in enumerate(rows)], docs_schema)
+    kept = {r.doc_id: r.lang for r in P.language_id(spark, docs, H.SF).collect()}
+    assert kept == {i: "a" for i in range(60)} | {i: "r" for i in range(65, 72)}
+
+
 def test_line_dedup_counts_copies_once(spark):
     def text(name):
         return "\n".join(" ".join(f"{name}{k}x{j}" for j in range(12)) for k in range(5))
