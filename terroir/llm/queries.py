@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, language, lines, order, pieces, quality, secrets, sentences
+from . import decontaminate, html_text, jaccard, language, lines, mixing, order, pieces, quality, secrets, sentences
 
 #: Vocabulary of the SentencePiece operator; read on the driver only.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -61,7 +61,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.allot(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_language_id, op3_line_dedup, op4_quality_rules, op5_secret_scan,
-    op6_ngram_jaccard, op7_sentencepiece, op8_training_order, op9_html_text, op10_decontaminate)}
-ORACLES = {"op1_substring_dedup": sentences.ORACLE, "op3_line_dedup": lines.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    op6_ngram_jaccard, op7_sentencepiece, op8_training_order, op9_html_text, op10_decontaminate,
+    op11_source_mixing)}
+ORACLES = {"op1_substring_dedup": sentences.ORACLE, "op3_line_dedup": lines.ORACLE, "op10_decontaminate": decontaminate.ORACLE,
+           "op11_source_mixing": mixing.ORACLE}
