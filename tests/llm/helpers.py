@@ -25,7 +25,7 @@ def empty(spark):
 
 def oracle(sql, sf=SF):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     return con.execute(sql).df()
 
