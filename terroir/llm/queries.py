@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, language, lines, mixing, order, pieces, prefix_trie, quality, secrets, sentences
+from . import decontaminate, html_text, jaccard, language, lines, mixing, order, pieces, prefix_trie, quality, secrets, sentences, whitening
 
 #: Vocabulary of the SentencePiece operator; read on the driver only.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -65,6 +65,11 @@ def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allot(_table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.integers(_table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), rebuild=prefix_trie.with_shared_starts)
 
@@ -72,6 +77,6 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_language_id, op3_line_dedup, op4_quality_rules, op5_secret_scan,
     op6_ngram_jaccard, op7_sentencepiece, op8_training_order, op9_html_text, op10_decontaminate,
-    op11_source_mixing, op13_prefix_trie)}
+    op11_source_mixing, op12_embedding_whitening, op13_prefix_trie)}
 ORACLES = {"op1_substring_dedup": sentences.ORACLE, "op3_line_dedup": lines.ORACLE, "op10_decontaminate": decontaminate.ORACLE,
            "op11_source_mixing": mixing.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
