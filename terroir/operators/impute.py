@@ -1,152 +1,240 @@
-"""K-nearest-neighbour imputation (mean of the k nearest donors), exact and blocked.
-
-Distance is NaN-aware Euclidean: over the coordinates present in both rows,
-``d = sqrt(w * sum (x_j - y_j)^2)`` with ``w = #columns / #shared columns >= 1``.
-For each column ``c`` with gaps, donors are the rows that have ``c``.
-
-No all-pairs join.  For column ``c`` two grid columns are chosen among the others
-(by default the two with the widest range, so the bound below is tight), each with
-its own cell width.  For a pair where both rows have both grid values,
-``d >= max(|dg1|, |dg2|)``:
-
-1. pass 1 joins each recipient with the donors of its own cell - expanding ring by
-   ring until k donors are seen, keeping only the k best per ring - and takes the
-   k-th smallest distance ``r``, an upper bound of the true k-th distance;
-2. pass 2 joins the recipient with every cell within ``r`` on each axis - any donor
-   closer than ``r`` lies there - and keeps the k nearest by (distance, id).
-
-Rows lacking a value of the main grid are searched on a second grid made of two
-columns without gaps (donors within the radius found on the main grid; recipients with
-their own ring search), so the result equals brute force with no all-pairs join.
+"""K-nearest-neighbour imputation (mean of the k nearest donors), exact, by best-first search of cells.
+
+Distance is NaN-aware Euclidean over the other columns: ``d^2 = w * sum (x_j - y_j)^2`` over the coordinates
+present in both rows, ``w = #columns / #shared columns``.  For each column with gaps, donors are the rows that
+have it.  Ties go to the smaller id.
+
+1. A k-d tree is fitted to a bounded hash sample of the donors (``sample_rows``): each split halves the column
+   that spreads widest there, so dense regions and heavy values get many small cells.  Its leaves number about
+   rows / ``leaf_rows``, at most ``max_cells``: the proven bound of what is sent to the tasks.
+2. Donors are dealt to cells (leaf, columns that they lack); of donors at one point only the k with the smallest
+   ids can count, which bounds the cell of a value that a third of all rows hold.  Cells get their true bounding
+   boxes and counts from all donors and are packed into rows of at most about ``PACK`` donors.
+3. Recipients at one point are one recipient.  In rounds of 4, 16, 64, 256, 256, ... cells each visits its next cells by
+   lower bound of the distance, and keeps the k best; it is done when the next bound exceeds its k-th distance.  Only
+   recipients that are not done take part in a round, and a round's state is stored, so lineage stays short.
+
+The tree only steers the search: any tree gives the same result.  A recipient with fewer than ``k`` donors in reach (at
+least one shared column) takes those there are; without any, the column's mean; a column without values stays null.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
 
+from ..session import shared_path
 from .windows import top_k_per_group
 
-
-def nan_euclidean(a: dict, b: dict, cols) -> Column:
-    """NaN-aware distance between the columns of two aliases (dicts name -> Column)."""
-    sq = [F.when(a[c].isNotNull() & b[c].isNotNull(), F.pow(a[c] - b[c], 2)) for c in cols]
-    shared = sum((F.when(s.isNotNull(), 1).otherwise(0) for s in sq), F.lit(0))
-    total = sum((F.coalesce(s, F.lit(0.0)) for s in sq), F.lit(0.0))
-    return F.when(shared > 0, F.sqrt(F.lit(float(len(cols))) / shared * total))
-
-
-def knn_impute(df: DataFrame, id_col: str, cols, grid: tuple[str, str] | None = None, k: int = 5,
-               per_cell: int = 64) -> DataFrame:
-    """Fill the gaps of ``cols`` with the mean of the ``k`` nearest donors (exact)."""
+#: Donors of a cell that one row holds.
+PACK = 256
+ROUNDS = (4, 16, 64, 256)
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(df.sparkSession, f"knn-{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+# --- the tree -------------------------------------------------------------------------------------
+def _spread(values: np.ndarray) -> tuple[float, float]:
+    return (float(np.subtract(*np.percentile(values, (90, 10)))), float(np.ptp(values))) if len(values) else (0.0, 0.0)
+
+
+def _fit_tree(points: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(column, cut, child)`` of each node of a k-d tree: below the cut (and missing) goes to ``child``, the rest to
+    ``child + 1``; a leaf has column -1 and its number as child."""
+    column, cut, child = [-1], [0.0], [0]
+    todo, n_leaves = [(0, points)], 1
+    while todo and n_leaves < leaves:
+        todo.sort(key=lambda t: len(t[1]))          # the fullest leaf first
+        node, rows = todo.pop()
+        spread = [_spread(x[~np.isnan(x)]) for x in rows.T]
+        for j in sorted(range(rows.shape[1]), key=lambda j: spread[j], reverse=True):
+            values = rows[:, j][~np.isnan(rows[:, j])]
+            if len(values) < 2 or values.min() == values.max():
+                continue
+            at = np.median(values)
+            at = values[values > at].min() if at == values.min() else at
+            low = ~(rows[:, j] >= at)
+            column[node], cut[node], child[node] = j, at, len(column)
+            todo += [(len(column), rows[low]), (len(column) + 1, rows[~low])]
+            column += [-1, -1]
+            cut += [0.0, 0.0]
+            child += [0, 0]
+            n_leaves += 1
+            break
+    column, child = np.array(column), np.array(child)
+    child[column < 0] = np.arange((column < 0).sum())
+    return column, np.array(cut), child
+
+
+def _leaf_of(tree, points: np.ndarray) -> np.ndarray:
+    column, cut, child = tree
+    at = np.zeros(len(points), np.int64)
+    todo = np.flatnonzero(column[at] >= 0)
+    while len(todo):
+        node = at[todo]
+        at[todo] = child[node] + (points[todo, column[node]] >= cut[node])
+        todo = todo[column[at[todo]] >= 0]
+    return child[at]
+
+
+def _numbers(batch: pa.RecordBatch, first: int, n: int) -> np.ndarray:
+    return np.column_stack([np.asarray(batch.column(first + j).cast(pa.float64()).fill_null(np.nan)) for j in range(n)]) if batch.num_rows else np.zeros((0, n))
+
+
+def _with_cells(donors: DataFrame, others: list[str], tree) -> DataFrame:
+    """``donors`` with the ``cell`` of each: leaf and missing columns in one number."""
+    shared, n = donors.sparkSession.sparkContext.broadcast(tree), len(others)
+    source = donors.select(*others, *[c for c in donors.columns if c not in others])
+    schema = StructType(list(source.schema.fields)).add("cell", LongType())
+
+    def run(batches):
+        for batch in batches:
+            points = _numbers(batch, 0, n)
+            lacks = np.isnan(points) @ (1 << np.arange(n))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((_leaf_of(shared.value, points) << n) + lacks, pa.int64())], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+# --- best-first rounds ----------------------------------------------------------------------------
+def _boxes(cells: list, others: list[str], columns: int) -> dict:
+    """The cells' boxes (missing columns have none) in groups of neighbours with a box of their own."""
+    number = np.array([c["cell"] for c in cells], np.int64)
+    low = np.array([[np.nan if c[f"lo_{o}"] is None else c[f"lo_{o}"] for o in others] for c in cells], float).reshape(len(cells), -1)
+    high = np.array([[np.nan if c[f"hi_{o}"] is None else c[f"hi_{o}"] for o in others] for c in cells], float).reshape(len(cells), -1)
+    order = np.lexsort((number >> len(others), number & ((1 << len(others)) - 1)))   # by pattern, then leaf: neighbours stay together
+    number, low, high = number[order], low[order], high[order]
+    width = max(1, int(np.sqrt(len(number))))
+    starts = np.arange(0, len(number), width)
+    pattern = number & ((1 << len(others)) - 1)
+    starts = np.unique(np.concatenate([starts, np.flatnonzero(np.diff(pattern)) + 1]))  # a group has one pattern
+    return {"number": number, "low": low, "high": high, "starts": np.append(starts, len(number)), "columns": columns,
+            "group_low": np.minimum.reduceat(low, starts, axis=0), "group_high": np.maximum.reduceat(high, starts, axis=0)}
+
+
+def _bounds(x: np.ndarray, low: np.ndarray, high: np.ndarray, columns: int) -> np.ndarray:
+    """Least squared distance to each box; infinite without a shared column."""
+    off = np.maximum(np.maximum(low - x, x - high), 0.0)
+    shared = (~np.isnan(off)).sum(1)
+    with np.errstate(divide="ignore"):
+        return np.where(shared > 0, columns / np.maximum(shared, 1) * np.nansum(off * off, axis=1), np.inf)
+
+
+def _next_cells(state: DataFrame, others: list[str], shared, most: int) -> DataFrame:
+    """``(rid, cell, at_bound, at_cell)``: the next ``most`` cells of each recipient by (bound, cell), within its reach, and the last of them."""
+    n = len(others)
+    source = state.select("rid", *others, "reach", "at_bound", "at_cell")
+    schema = state.select("rid").schema.add("cell", LongType()).add("at_bound", DoubleType()).add("at_cell", LongType())
+
+    def run(batches):
+        b = shared.value
+        for batch in batches:
+            points = _numbers(batch, 1, n)
+            reach, at_bound, at_cell = (np.asarray(batch.column(n + 1 + j)) for j in range(3))
+            rows, cells, bounds, ends = [], [], [], []
+            for i, x in enumerate(points):
+                most_far = reach[i] * (1 + 1e-12)      # rounding of a bound must not hide a tie
+                groups = np.flatnonzero(_bounds(x, b["group_low"], b["group_high"], b["columns"]) <= most_far)
+                places = np.concatenate([np.arange(b["starts"][g], b["starts"][g + 1]) for g in groups]) if len(groups) else np.zeros(0, np.int64)
+                d = _bounds(x, b["low"][places], b["high"][places], b["columns"])
+                new = np.isfinite(d) & (d <= most_far) & ((d > at_bound[i]) | ((d == at_bound[i]) & (b["number"][places] > at_cell[i])))
+                places, d = places[new], d[new]
+                if not len(places):
+                    continue
+                first = np.lexsort((b["number"][places], d))[:most]
+                rows.append(np.full(len(first), i))
+                cells.append(b["number"][places[first]])
+                bounds.append(np.full(len(first), d[first[-1]]))
+                ends.append(np.full(len(first), cells[-1][-1]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), *[pa.array(np.concatenate(c)) for c in (cells, bounds, ends)]],
+                                                 names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def squared_distance(a: dict[str, Column], b: dict[str, Column], others: list[str], columns: int) -> Column:
+    """NaN-aware squared distance; null without a shared column."""
+    parts = [(a[c] - b[c]) * (a[c] - b[c]) for c in others]
+    shared = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))
+    total = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
+    return F.when(shared > 0, F.lit(float(columns)) / shared * total)
+
+
+def _search(recipients: DataFrame, packs: DataFrame, cells: list, others: list[str], k: int, columns: int) -> DataFrame:
+    """``(rid, best)``: the k nearest donors ``(d, id, v)`` of each recipient."""
+    spark = recipients.sparkSession
+    shared = spark.sparkContext.broadcast(_boxes(cells, others, columns))
+    best_type = packs.select(F.transform("donors", lambda y: F.struct(F.lit(0.0).alias("d"), y["id"].alias("id"), y["v"].alias("v"))).alias("b")).schema["b"].dataType
+    state = _stored(recipients.select("rid", *others, F.lit(float("inf")).alias("reach"), F.lit(-1.0).alias("at_bound"), F.lit(-1).cast("long").alias("at_cell"),
+                                      F.array().cast(best_type).alias("best")), "state")
+    finished, step = [], 0
+    while True:
+        visits = _stored(_next_cells(state, others, shared, ROUNDS[min(step, len(ROUNDS) - 1)]), "visits")
+        if visits.isEmpty():
+            break
+        met = visits.join(state.select("rid", *others), "rid").join(packs, "cell")
+        x = {c: F.col(c) for c in others}
+        near = F.transform("donors", lambda y: F.struct(squared_distance(x, {c: y[c] for c in others}, others, columns).alias("d"), y["id"].alias("id"), y["v"].alias("v")))
+        near = F.slice(F.array_sort(F.filter(near, lambda y: y["d"].isNotNull())), 1, k)
+        found = met.select("rid", near.alias("near")).groupBy("rid").agg(F.flatten(F.collect_list("near")).alias("near"))   # at most ``most`` cells
+        ends = visits.groupBy("rid").agg(F.max(F.struct("at_bound", "at_cell")).alias("end"))
+        finished.append(state.join(ends, "rid", "left_anti").select("rid", "best"))
+        best = F.slice(F.array_sort(F.concat("best", F.coalesce("near", F.array().cast(best_type)))), 1, k)
+        going = state.drop("at_bound", "at_cell", "reach").join(ends, "rid").join(found, "rid", "left").withColumn("best", best)
+        reach = F.when(F.size("best") >= k, F.element_at("best", -1)["d"]).otherwise(F.lit(float("inf")))
+        state = _stored(going.select("rid", *others, reach.alias("reach"), F.col("end.at_bound").alias("at_bound"), F.col("end.at_cell").alias("at_cell"), "best"), "state")
+        step += 1
+    out = state.select("rid", "best")
+    for part in finished:
+        out = out.union(part)
+    return out
+
+
+def _impute_column(base: DataFrame, c: str, others: list[str], k: int, donors_n: int, leaf_rows: int, max_cells: int, sample_rows: int) -> DataFrame:
+    """``(key, value)``: the value for each different point ``key`` of the rows that lack ``c``."""
+    columns = len(others) + 1
+    donors = base.filter(F.col(c).isNotNull()).select(F.col("id"), F.col(c).alias("v"), *others)
+    near = top_k_per_group(donors, others, [F.col("id")], k).drop("rank")
+    million = 1_000_000
+    keep = max(1, min(million, -(-million * sample_rows // max(donors_n, 1))))
+    sample = donors.filter(F.pmod(F.xxhash64(F.lit(c), "id"), F.lit(million)) < keep).select(*others).toPandas().to_numpy(dtype=float)
+    tree = _fit_tree(sample, min(max_cells, max(1, donors_n // leaf_rows))) if len(sample) else (np.array([-1]), np.zeros(1), np.zeros(1, np.int64))
+    placed = _stored(_with_cells(near, others, tree), "donors")
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(o).alias(f"{p}_{o}") for o in others for f, p in ((F.min, "lo"), (F.max, "hi"))]).collect()
+    counts = base.sparkSession.createDataFrame([(r["cell"], -(-r["n"] // PACK)) for r in cells], "cell long, packs long")
+    chunk = F.pmod(F.xxhash64("id"), F.col("packs"))
+    packs = _stored(placed.join(F.broadcast(counts), "cell").groupBy("cell", chunk.alias("chunk")).agg(      # at most max_cells x patterns rows
+        F.collect_list(F.struct("id", "v", *others)).alias("donors")).select("cell", "donors"), "packs")
+    lacking = base.filter(F.col(c).isNull())
+    recipients = _stored(lacking.groupBy(*others).agg(F.min("id").alias("rid")), "recipients")
+    best = _search(recipients, packs, cells, others, k, columns) if cells else recipients.select("rid", F.lit(None).cast("array<struct<v:double>>").alias("best"))
+    mean = donors.agg(F.avg("v")).first()[0]
+    value = F.when(F.size("best") > 0, F.aggregate("best", F.lit(0.0), lambda s, y: s + y["v"]) / F.size("best")).otherwise(F.lit(mean).cast("double"))
+    return recipients.join(best, "rid").select(F.struct(*others).alias("key"), value.alias("value"))
+
+
+def knn_impute(df: DataFrame, id_col: str, cols, k: int = 5, leaf_rows: int = 64, max_cells: int = 1 << 17, sample_rows: int = 200_000) -> DataFrame:
+    """``df`` with the gaps (null or NaN) of ``cols`` filled with the mean of the ``k`` nearest donors; ids are unique."""
     cols = list(cols)
-    st = df.agg(F.count("*").alias("n"),
-                *[F.struct(F.min(c).cast("double"), F.max(c).cast("double"), F.count_if(F.col(c).isNull()))
-                  .alias(f"s_{c}") for c in cols]).first()
-    rng = {c: (st[f"s_{c}"][0], st[f"s_{c}"][1]) for c in cols}
-    missing = {c: st[f"s_{c}"][2] for c in cols}
-    cpa = max(1, int(math.sqrt(max(st["n"], 1) / per_cell)))
-    span = lambda x: max(rng[x][1] - rng[x][0], 1e-9)
-    complete = sorted((x for x in cols if not missing[x] and rng[x][0] is not None), key=lambda x: -span(x))
-    if len(complete) < 2:
-        raise ValueError("knn_impute needs two columns without gaps for the fallback grid")
-    base = df.select(id_col, *cols)
+    present = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    base = _stored(df.select(F.col(id_col).alias("id"), *[present(c).alias(c) for c in cols]), "base")
+    have = base.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in cols]).first()
     filled = base
     for c in cols:
-        if not missing[c]:
+        if have[c] == have["n"]:
             continue
-        if grid is not None:
-            g = list(grid)
-        else:
-            g = sorted((x for x in cols if x != c and rng[x][0] is not None), key=lambda x: -span(x))[:2]
-        g_safe = [x for x in complete if x != c][:2]
-        grids = {"main": (g, [span(x) / cpa for x in g]), "safe": (g_safe, [span(x) / cpa for x in g_safe])}
-        imp = _impute_column(base, id_col, cols, c, k, grids, cpa + 2)
-        filled = filled.join(imp, id_col, "left").withColumn(c, F.coalesce(F.col(c), F.col("_imputed"))).drop("_imputed")
-    return df.drop(*cols).join(filled, id_col)
-
-
-def _dist_pairs(rec: DataFrame, don: DataFrame, cols, on) -> DataFrame:
-    r = {x: F.col(f"r_{x}") for x in cols}
-    d = {x: F.col(f"d_{x}") for x in cols}
-    return rec.join(don, on).withColumn("_dist", nan_euclidean(r, d, cols)).filter(F.col("_dist").isNotNull())
-
-
-def _best(cand: DataFrame, k: int) -> DataFrame:
-    return top_k_per_group(cand.select("_rid", "_did", "_dist", "_v"), ["_rid"], [F.col("_dist"), F.col("_did")], k).drop("rank")
-
-
-def _cells(df: DataFrame, grid, prefix: str) -> DataFrame:
-    (g1, g2), (w1, w2) = grid
-    return df.withColumns({f"{prefix}x": F.floor(F.col(g1) / w1).cast("long"),
-                           f"{prefix}y": F.floor(F.col(g2) / w2).cast("long")})
-
-
-def _radius(rec, don, cols, k, max_ring) -> DataFrame:
-    """Pass 1: per recipient, the k-th distance among the donors of the nearest rings."""
-    same = (F.col("_px") == F.col("_dx")) & (F.col("_py") == F.col("_dy"))
-    radius, pending, kept, ring = None, rec.select("_rid", "_cx", "_cy"), None, 0
-    while ring <= max_ring:
-        offs = F.sequence(F.lit(-ring), F.lit(ring))
-        probe = pending.withColumn("_ox", F.explode(offs)).withColumn("_oy", F.explode(offs))
-        if ring:
-            probe = probe.filter((F.abs("_ox") == ring) | (F.abs("_oy") == ring))
-        probe = probe.withColumns({"_px": F.col("_cx") + F.col("_ox"), "_py": F.col("_cy") + F.col("_oy")})
-        best = _best(_dist_pairs(probe.join(rec.drop("_cx", "_cy"), "_rid"), don, cols, same), k)
-        kept = best if kept is None else _best(kept.unionByName(best), k)
-        if ring >= 2:
-            kept = kept.checkpoint(eager=True)   # cut the lineage of long ring loops (shared folder)
-        tot = kept.groupBy("_rid").agg(F.count("*").alias("_n"), F.max("_dist").alias("_r"))
-        done = tot.filter(F.col("_n") >= k).select("_rid", "_r")
-        radius = done if radius is None else radius.unionByName(done.join(radius.select("_rid"), "_rid", "left_anti"))
-        pending = pending.join(done.select("_rid"), "_rid", "left_anti")
-        if pending.limit(1).count() == 0:
-            break
-        ring += 1
-    return radius
-
-
-def _within(rec, don, cols, radius, widths) -> DataFrame:
-    """Pass 2: the donors in every cell within the recipient's radius on each axis."""
-    w1, w2 = widths
-    reach = radius.withColumns({"_wx": F.ceil(F.col("_r") / F.lit(w1)).cast("long"),
-                                "_wy": F.ceil(F.col("_r") / F.lit(w2)).cast("long")})
-    probe = rec.join(reach, "_rid")
-    probe = probe.withColumn("_ox", F.explode(F.sequence(-F.col("_wx"), F.col("_wx")))).withColumn(
-        "_oy", F.explode(F.sequence(-F.col("_wy"), F.col("_wy"))))
-    probe = probe.withColumns({"_px": F.col("_cx") + F.col("_ox"), "_py": F.col("_cy") + F.col("_oy")})
-    same = (F.col("_px") == F.col("_dx")) & (F.col("_py") == F.col("_dy"))
-    return _dist_pairs(probe, don, cols, same).filter(F.col("_dist") <= F.col("_r")).select("_rid", "_did", "_dist", "_v")
-
-
-def _impute_column(base, id_col, cols, c, k, grids, max_ring) -> DataFrame:
-    def sides(grid):
-        (g1, g2), _ = grid
-        on = F.col(g1).isNotNull() & F.col(g2).isNotNull()
-        rec = _cells(base.filter(F.col(c).isNull()), grid, "_c").select(
-            F.col(id_col).alias("_rid"), "_cx", "_cy", *[F.col(x).alias(f"r_{x}") for x in cols], on.alias("_on"))
-        don = _cells(base.filter(F.col(c).isNotNull()), grid, "_d").select(
-            F.col(id_col).alias("_did"), "_dx", "_dy", F.col(c).alias("_v"),
-            *[F.col(x).alias(f"d_{x}") for x in cols], on.alias("_on"))
-        return rec, don
-
-    main, safe = grids["main"], grids["safe"]
-    rec_m, don_m = sides(main)
-    rec_s, don_s = sides(safe)
-    # A: on-grid recipients x on-grid donors (main grid: tight bound from the widest columns)
-    rec_a, don_a = rec_m.filter("_on").drop("_on"), don_m.filter("_on").drop("_on")
-    r_a = _radius(rec_a, don_a, cols, k, max_ring)
-    cand = _within(rec_a, don_a, cols, r_a, main[1])
-    # B: the same recipients x donors missing a main-grid value, within the radius found in A
-    don_b = don_s.join(don_m.filter(~F.col("_on")).select("_did"), "_did").drop("_on")
-    rec_b = rec_s.join(r_a.select("_rid"), "_rid").drop("_on")
-    cand = cand.unionByName(_within(rec_b, don_b, cols, r_a, safe[1]))
-    # C: recipients missing a main-grid value x all donors, on the safe grid (no gaps there)
-    rec_c = rec_s.join(rec_m.filter(~F.col("_on")).select("_rid"), "_rid").drop("_on")
-    don_c = don_s.drop("_on")
-    r_c = _radius(rec_c, don_c, cols, k, max_ring)
-    cand = cand.unionByName(_within(rec_c, don_c, cols, r_c, safe[1]))
-    best = _best(cand, k)
-    return best.groupBy("_rid").agg(F.avg("_v").alias("_imputed")).withColumnRenamed("_rid", id_col)
+        others = [o for o in cols if o != c]
+        values = _impute_column(base, c, others, k, have[c], leaf_rows, max_cells, sample_rows)
+        found = base.filter(F.col(c).isNull()).select(F.col("id").alias("fid"), F.struct(*others).alias("key")).join(values, "key").select("fid", F.col("value").alias(f"new_{c}"))
+        filled = filled.join(found, F.col("id") == F.col("fid"), "left").drop("fid").withColumn(c, F.coalesce(F.col(c), F.col(f"new_{c}"))).drop(f"new_{c}")
+    return df.drop(*cols).join(filled.withColumnRenamed("id", id_col), id_col)

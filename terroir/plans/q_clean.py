@@ -183,11 +183,26 @@ def p15_clip_values(spark, sf):
 
 
 # --- X4: exact blocked KNN imputation (rows-only: brute force in SQL is the quadratic case) -------
-@register("x04_knn_impute")
+def _knn_sql(k: int = 5) -> str:
+    """Brute force over all pairs of a row with a gap and a donor."""
+    gaps = []
+    for c in ("N", "ph", "rainfall"):
+        others = [o for o in FEATURES if o != c]
+        parts = [f"(r.{o} - y.{o}) * (r.{o} - y.{o})" for o in others]
+        shared = " + ".join(f"(({p}) IS NOT NULL)::INT" for p in parts)
+        total = " + ".join(f"coalesce({p}, 0::DOUBLE)" for p in parts)
+        gaps.append(f"""SELECT sample_id, '{c}' AS gap, list_avg(list_transform(best, lambda b: b.v)) AS value FROM (
+            SELECT r.sample_id, min(struct_pack(d := {len(FEATURES)}::DOUBLE / ({shared}) * ({total}), id := y.sample_id, v := y.{c}), {k}) AS best
+            FROM d AS r, d AS y WHERE r.{c} IS NULL AND y.{c} IS NOT NULL GROUP BY r.sample_id)""")
+    return "WITH d AS (SELECT DISTINCT * FROM samples_dirty)\nSELECT sample_id, gap, round(value, 6) AS value FROM (" + " UNION ALL ".join(gaps) + ")"
+
+
+@register("x04_knn_impute", with_views(_knn_sql(), "samples_dirty"))
 def x04_knn_impute(spark, sf):
-    """Gaps of samples_dirty filled with the mean of the 5 nearest donors (grid on P, K)."""
+    """Every gap of samples_dirty with the mean of its 5 nearest donors."""
     from ..operators.impute import knn_impute
     d = P.samples_dirty(spark, sf).dropDuplicates(["sample_id"])
-    out = knn_impute(d, "sample_id", FEATURES, ("P", "K"), k=5)
-    return out.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in FEATURES],
-                   *[R6(F.avg(c)).alias(f"avg_{c}") for c in ("N", "ph", "rainfall")])
+    gap = F.when(F.col("N").isNull(), "N").when(F.col("ph").isNull(), "ph").when(F.col("rainfall").isNull(), "rainfall")
+    out = knn_impute(d.withColumn("gap", gap), "sample_id", FEATURES, k=5).filter("gap is not null")
+    value = F.when(F.col("gap") == "N", F.col("N")).when(F.col("gap") == "ph", F.col("ph")).otherwise(F.col("rainfall"))
+    return out.select("sample_id", "gap", R6(value).alias("value"))

@@ -115,29 +115,49 @@ def test_prefix_sum(spark):
     assert j.filter(F.abs(F.col("prefix") - F.col("ref")) > 1e-6).count() == 0
 
 
-def test_knn_impute_matches_brute_force(spark):
-    import math
-    from terroir.operators.impute import knn_impute
-    rng = np.random.default_rng(3)
-    n = 400
-    rows = []
-    for i in range(n):
-        g1, g2 = float(rng.integers(0, 50)), float(rng.integers(0, 50))
-        a = None if rng.random() < 0.15 else float(np.round(rng.normal(10, 3), 2))
-        b = None if rng.random() < 0.15 else float(np.round(rng.normal(5, 2), 2))
-        rows.append((i, g1, g2, a, b))
-    df = spark.createDataFrame(rows, "id long, g1 double, g2 double, a double, b double")
-    cols = ["g1", "g2", "a", "b"]
-    got = {r["id"]: (r["a"], r["b"]) for r in knn_impute(df, "id", cols, ("g1", "g2"), k=5, per_cell=8).collect()}
-
-    def dist(x, y):
-        sh = [(u - v) ** 2 for u, v in zip(x[1:], y[1:]) if u is not None and v is not None]
-        return math.sqrt(len(cols) / len(sh) * sum(sh)) if sh else None
-
-    for col in (3, 4):
+def _brute_force_impute(rows, cols, k=5):
+    out = {r[0]: list(r[1:]) for r in rows}
+    for j in range(1, cols + 1):
+        donors = [r for r in rows if r[j] is not None]
         for x in rows:
-            if x[col] is not None:
+            if x[j] is not None:
                 continue
-            cands = sorted((dist(x, y), y[0], y[col]) for y in rows if y[col] is not None and dist(x, y) is not None)
-            want = sum(v for _, _, v in cands[:5]) / 5
-            assert abs(got[x[0]][col - 3] - want) < 1e-9
+            near = []
+            for y in donors:
+                shared = [(u - v) ** 2 for i, (u, v) in enumerate(zip(x[1:], y[1:]), 1) if i != j and u is not None and v is not None]
+                if shared:
+                    near.append((cols / len(shared) * sum(shared), y[0], y[j]))
+            best = sorted(near)[:k]
+            out[x[0]][j - 1] = sum(b[2] for b in best) / len(best) if best else (sum(d[j] for d in donors) / len(donors) if donors else None)
+    return out
+
+
+def _check_impute(spark, rows, cols, **how):
+    from terroir.operators.impute import knn_impute
+    names = [f"c{j}" for j in range(cols)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{n} double" for n in names))
+    got = {r["id"]: [r[n] for n in names] for r in knn_impute(df, "id", names, **how).collect()}
+    want = _brute_force_impute(rows, cols, how.get("k", 5))
+    assert set(got) == set(want)
+    for i, w in want.items():
+        assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for a, b in zip(got[i], w)), (i, got[i], w)
+
+
+def test_knn_impute_matches_brute_force(spark):
+    rng = np.random.default_rng(3)
+    gap = lambda x, p: None if rng.random() < p else float(x)
+    rows = [(i, gap(rng.integers(0, 50), 0.1), gap(rng.integers(0, 9), 0.1), gap(np.round(rng.normal(10, 3), 2), 0.15), gap(np.round(rng.normal(5, 2), 2), 0.15))
+            for i in range(500)]
+    rows += [(900, None, None, None, None), (901, None, None, None, 3.0)]
+    _check_impute(spark, rows, 4, leaf_rows=6)
+    _check_impute(spark, rows[:60], 4, leaf_rows=1, sample_rows=20)
+
+
+def test_knn_impute_with_a_hot_point_and_few_donors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, 1.0, 2.0, float(i % 7)) for i in range(700)]                                       # one point holds a third of all donors
+    rows += [(1000 + i, float(rng.normal(0, 30)), float(rng.normal(0, 1)), float(i)) for i in range(300)]
+    rows += [(2000 + i, 1.0 if i % 2 else float(rng.normal(0, 30)), 2.0, None) for i in range(40)]   # equal recipients too
+    _check_impute(spark, rows, 3, leaf_rows=8)
+    _check_impute(spark, [(1, 0.0, 5.0), (2, 1.0, 7.0), (3, 4.0, None), (4, None, None)], 2)
+    _check_impute(spark, [(1, 0.0, None), (2, 1.0, None)], 2)
