@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import prefix_sum
+from .scan import running
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
@@ -64,23 +64,19 @@ def confusion_matrix(df: DataFrame, y: str, yhat: str, classes: list) -> DataFra
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
-def roc_auc_ovr(scores: DataFrame, cls: str = "cls", score: str = "score", positive: str = "positive",
-                chunks: int = 1024) -> DataFrame:
+def roc_auc_ovr(scores: DataFrame, cls: str = "cls", score: str = "score", positive: str = "positive") -> DataFrame:
     """One-vs-rest AUC per class from long ``(cls, score, positive)`` rows.
 
     AUC = sum_s pos(s) * (neg(< s) + neg(= s) / 2) / (P * N), equal to the rank-sum
-    formula with average ranks for ties.  ``neg(< s)`` is a prefix sum over distinct
-    scores, chunked by score range.
+    formula with average ranks for ties.  ``neg(< s)`` is a running sum over distinct
+    scores in blocks of equal frequency (cut at sampled quantiles of (class, score)), so scores
+    that crowd near one value are many blocks.
     """
     g = scores.groupBy(cls, score).agg(F.count_if(F.col(positive)).alias("pos"),
                                        F.count_if(~F.col(positive)).alias("neg"))
-    rng = g.agg(F.min(score).alias("lo"), F.max(score).alias("hi")).collect()[0]
-    lo, hi = float(rng["lo"]), float(rng["hi"])
-    width = (hi - lo) / chunks if hi > lo else 1.0
-    chunk = F.least(F.floor((F.col(score) - F.lit(lo)) / F.lit(width)), F.lit(chunks - 1)).cast("int")
-    g = prefix_sum(g, [cls], score, "neg", chunk, out="neg_below")
+    g = running(g, [cls], [F.col(score)], {"neg_to": F.col("neg")}, "auc")
     per = g.groupBy(cls).agg(
-        F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("num"),
+        F.sum(F.col("pos") * (F.col("neg_to") - F.col("neg") / 2.0)).alias("num"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     auc = F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("num") / (F.col("P") * F.col("N")))
     return per.select(cls, auc.alias("auc"))

@@ -17,7 +17,7 @@ from ..functions import features as FX
 from ..functions.text import capitalize
 from ..sources import dims
 from ..sources import knowledge as K
-from .windows import bounded_history, day_chunk
+from .scan import last_rows, ranked
 
 TTL_US = K.WEATHER_TTL_SECONDS * 1_000_000
 
@@ -158,10 +158,13 @@ HIST_FIELDS = ["N", "P", "K", "temperature", "humidity", "rainfall", "crop_predi
 def session_history(telemetry: DataFrame, n: int = K.HISTORY_CAPACITY, include_current: bool = True) -> DataFrame:
     """The field's last ``n`` entries (ordered by time, event id) as an array column ``history``.
 
-    ``include_current=False`` gives the entries *before* this one (as read by R11).
+    ``include_current=False`` gives the entries *before* this one (as read by R11).  Entries are ranked by an
+    ordered scan and framed in chunks of ranks: a busy field, or one with a million entries in a minute, is many tasks.
     """
     size = n if include_current else n + 1
-    h = bounded_history(telemetry, ["field_id"], ["ts_us", "event_id"], HIST_FIELDS, size, day_chunk("ts_us"))
+    entry = F.struct("ts_us", "event_id", *HIST_FIELDS)
+    in_order = ranked(telemetry, ["field_id"], [F.col("ts_us"), F.col("event_id")], "_rank", "history")
+    h = last_rows(in_order, ["field_id"], "_rank", size, {"history": F.collect_list(entry)}).drop("_rank")
     if not include_current:
         h = h.withColumn("history", F.slice("history", 1, F.size("history") - 1))
     return h
@@ -194,11 +197,10 @@ def recurring_deficiencies(history: Column) -> Column:
 
 # --- A24 / W2 -----------------------------------------------------------------------------------
 def moving_latency(requests: DataFrame, n: int = K.LATENCY_WINDOW) -> DataFrame:
-    """Mean latency of the last ``n`` requests (global order), chunked by day - no single-task window."""
-    r = requests.withColumn("_all", F.lit(0))
-    h = bounded_history(r, ["_all"], ["ts_us", "req_id"], ["latency_ms"], n, day_chunk("ts_us"), out="_last")
-    lat = F.transform("_last", lambda e: e["latency_ms"])
-    return h.withColumn("moving_avg_latency", F.aggregate(lat, F.lit(0.0), lambda a, x: a + x) / F.size(lat)).drop("_all", "_last")
+    """Mean latency of the last ``n`` requests of all fields (by time, request id).  Global ranks come from block
+    totals and the frames lie in chunks of ranks, so there is no global window and no carry in one task."""
+    in_order = ranked(requests, [], [F.col("ts_us"), F.col("req_id")], "_rank", "latency")
+    return last_rows(in_order, [], "_rank", n, {"moving_avg_latency": F.avg("latency_ms")}).drop("_rank")
 
 
 def operations_snapshot(requests: DataFrame, weather: DataFrame) -> DataFrame:

@@ -161,3 +161,55 @@ def test_knn_impute_with_a_hot_point_and_few_donors(spark):
     _check_impute(spark, rows, 3, leaf_rows=8)
     _check_impute(spark, [(1, 0.0, 5.0), (2, 1.0, 7.0), (3, 4.0, None), (4, None, None)], 2)
     _check_impute(spark, [(1, 0.0, None), (2, 1.0, None)], 2)
+
+
+def test_scans_match_windows(spark):
+    from terroir.operators.scan import last_rows, ranked, running
+    df, _, _, _ = _frame(spark)
+    df = df.unionByName(spark.createDataFrame([(None, 5, 9001, 1.0), (None, 4, 9002, 2.0), (7, None, 9003, 3.0)], df.schema))
+    for keys in (["k"], []):
+        r = ranked(df, keys, [F.col("ts"), F.col("id")])
+        got = last_rows(r, keys, "rank", 10, {"ids": F.collect_list("id"), "mean": F.avg("v")}, rows_per_chunk=64)
+        w = Window.partitionBy(*keys).orderBy("ts", "id")
+        ref = df.select("id", F.row_number().over(w).alias("rank"), F.collect_list("id").over(w.rowsBetween(-9, 0)).alias("ids"))
+        assert {x["id"]: (x["rank"], x["ids"]) for x in got.collect()} == {x["id"]: (x["rank"], x["ids"]) for x in ref.collect()}
+    sums = running(df, ["k"], [F.col("ts"), F.col("id")], {"n": F.lit(1), "s": F.col("id")})
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    ref = df.select("id", F.sum("id").over(w).alias("s"))
+    assert {x["id"]: x["s"] for x in sums.collect()} == {x["id"]: x["s"] for x in ref.collect()}
+    assert ranked(df.limit(0), [], [F.col("id")]).count() == 0
+
+
+def test_history_of_one_busy_field(spark):
+    """All rows on one field within one minute: many blocks and chunks, none with more than its share."""
+    from terroir.operators import scan
+    n = 40_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(n).select(F.lit(1).alias("field_id"), F.pmod(F.xxhash64("id"), F.lit(60_000_000)).alias("ts_us"), F.col("id").alias("event_id"), F.lit(1.0).alias("v"))
+    r = scan.ranked(df, ["field_id"], [F.col("ts_us"), F.col("event_id")])
+    blocks = [x["count"] for x in scan.ordered_blocks(df, [F.col("field_id"), F.col("ts_us"), F.col("event_id")]).groupBy("_block").count().collect()]
+    assert len(blocks) == 8 and max(blocks) < 2 * n / 8
+    assert r.agg(F.min("rank"), F.max("rank"), F.countDistinct("rank")).first()[:] == (1, n, n)
+    h = scan.last_rows(r, ["field_id"], "rank", 100, {"ids": F.collect_list("event_id")}, rows_per_chunk=1000)
+    order = [x["event_id"] for x in df.orderBy("ts_us", "event_id").collect()]
+    got = {x["event_id"]: x["ids"] for x in h.collect()}
+    assert all(got[e] == order[max(0, i - 99):i + 1] for i, e in enumerate(order[:300]))
+    assert got[order[-1]] == order[-100:]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_auc_of_crowded_scores(spark):
+    """99 % of the scores lie within 1e-6 of 1: the blocks keep equal numbers of rows, and the AUC is exact."""
+    from terroir.operators import evaluate, scan
+    rng = np.random.default_rng(2)
+    score = np.where(rng.random(20_000) < 0.99, 1 - rng.random(20_000) * 1e-6, rng.random(20_000))
+    positive = rng.random(20_000) < 0.3 + 0.4 * (score > 1 - 5e-7)
+    df = spark.createDataFrame([("a", float(s), bool(p)) for s, p in zip(score, positive)], "cls string, score double, positive boolean")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [x["count"] for x in scan.ordered_blocks(df, [F.col("cls"), F.col("score")]).groupBy("_block").count().collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) == 8 and max(sizes) <= 2 * min(sizes)
+    rank = np.empty(len(score))
+    rank[np.argsort(score)] = np.arange(1, len(score) + 1)
+    p, n = positive.sum(), (~positive).sum()
+    assert abs(evaluate.roc_auc_ovr(df).first()["auc"] - (rank[positive].sum() - p * (p + 1) / 2) / (p * n)) < 1e-9
