@@ -203,13 +203,14 @@ def moving_latency(requests: DataFrame, n: int = K.LATENCY_WINDOW) -> DataFrame:
     return last_rows(in_order, [], "_rank", n, {"moving_avg_latency": F.avg("latency_ms")}).drop("_rank")
 
 
-def operations_snapshot(requests: DataFrame, weather: DataFrame) -> DataFrame:
-    """Totals, error %, cache-hit ratio (requests served from a cached observation)."""
+def operations_snapshot(requests: DataFrame, weather: DataFrame, last: int = K.LATENCY_WINDOW) -> DataFrame:
+    """Totals, error %, mean latency of the ``last`` requests, cache-hit ratio (requests served from a cached observation)."""
     hits = F.count_if(F.col("obs").isNotNull())
+    recent = requests.orderBy(F.desc("ts_us"), F.desc("req_id")).limit(last).agg(F.round(F.avg("latency_ms"), 2).alias("average_latency_ms"))
     return weather.agg(
         F.count("*").alias("total_requests"), F.count_if("is_error").alias("total_errors"),
         F.round(F.count_if("is_error") / F.greatest(F.count("*"), F.lit(1)) * 100.0, 2).alias("error_rate_percent"),
-        F.round(hits / F.greatest(F.count("*"), F.lit(1)), 2).alias("cache_hit_ratio"))
+        F.round(hits / F.greatest(F.count("*"), F.lit(1)), 2).alias("cache_hit_ratio")).join(F.broadcast(recent))   # one row each
 
 
 # --- J5 / J6 / R10: knowledge graph -------------------------------------------------------------------

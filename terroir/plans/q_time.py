@@ -144,6 +144,7 @@ def r09_weather_context(spark, sf):
 WITH {_ASOF_SQL}
 SELECT count(*) AS total_requests, count_if(is_error) AS total_errors,
        round(count_if(is_error) / greatest(count(*), 1) * 100.0, 2) AS error_rate_percent,
+       (SELECT round(avg(latency_ms), 2) FROM (SELECT latency_ms FROM requests ORDER BY ts_us DESC, req_id DESC LIMIT 100)) AS average_latency_ms,
        round(count_if(obs_id IS NOT NULL) / greatest(count(*), 1), 2) AS cache_hit_ratio FROM aw""",
                                                 "requests", "observations"))
 def a24_operations_snapshot(spark, sf):
@@ -256,9 +257,9 @@ def j05_graph_lookup(spark, sf):
 
 # --- R11: adaptive reasoning over telemetry (history before the entry, live weather, graph) -----------------
 def adaptive_frame(spark, sf):
-    from ..sources.proxies import _location, _pick, SOIL_TEXTURES, AGRO_ZONES, IRRIGATION_TYPES
+    from ..sources.proxies import location_of, _pick, SOIL_TEXTURES, AGRO_ZONES, IRRIGATION_TYPES
     tel = P.telemetry(spark, sf)
-    loc = _location(tel.withColumn("user_id", F.col("field_id")))
+    loc = location_of(tel.withColumn("user_id", F.col("field_id")))
     hist = TO.session_history(loc, include_current=False)
     uid = F.col("field_id")
     hist = hist.withColumns({"soil_texture": _pick(SOIL_TEXTURES, uid % 6), "agro_climatic_zone": _pick(AGRO_ZONES, uid % 7),

@@ -125,7 +125,11 @@ def deficiency_label(n: Column, p: Column, k: Column) -> Column:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One field reading per event; the field is the user."""
-    ev = _events(spark, sf_dir)
+    return telemetry_of(_events(spark, sf_dir))
+
+
+def telemetry_of(ev: DataFrame) -> DataFrame:
+    """The readings of events with ``ts`` and ``ts_us``, batch or stream."""
     eid = F.col("event_id")
     n = _dbl((eid * 11) % 150)
     p = _dbl((eid * 5) % 80)
@@ -142,7 +146,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _location(ev: DataFrame) -> DataFrame:
+def location_of(ev: DataFrame) -> DataFrame:
     uid, eid = F.col("user_id"), F.col("event_id")
     return ev.withColumns({
         "lat": D(8.0) + _dbl(uid % 5) * D(0.5) + _dbl(eid % 4) * D(0.001),
@@ -152,7 +156,7 @@ def _location(ev: DataFrame) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weather observations: ``view`` events, located by user."""
-    ev = _location(_events(spark, sf_dir).filter(F.col("event_type") == "view"))
+    ev = location_of(_events(spark, sf_dir).filter(F.col("event_type") == "view"))
     eid, v = F.col("event_id"), F.col("value")
     return ev.select(
         eid.alias("obs_id"), "ts", "ts_us", "lat", "lon",
@@ -168,7 +172,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inference requests: ``purchase`` (served) and ``error`` (failed) events."""
-    ev = _location(_events(spark, sf_dir).filter(F.col("event_type").isin("purchase", "error")))
+    ev = location_of(_events(spark, sf_dir).filter(F.col("event_type").isin("purchase", "error")))
     eid, v, uid = F.col("event_id"), F.col("value"), F.col("user_id")
     return ev.select(
         eid.alias("req_id"), uid.alias("field_id"), "ts", "ts_us", "lat", "lon",
