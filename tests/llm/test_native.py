@@ -49,6 +49,8 @@ def test_line_dedup_edges(spark):
     assert out[(10, None)] == (0, 0) and out[(11, "")] == (1, 0) and out[(None, "")] == (1, 1)
     assert lines.line_dedup(H.empty(spark)).count() == 0
     assert lines.line_dedup(H.awkward(spark, ["a"])).columns.count("n_lines") == 1
+    clash = spark.createDataFrame([(i, "menu\nown", "h", 7, 8, 9, 10) for i in range(6)], "doc_id long, text string, source string, host int, key int, drop int, line int")
+    assert [tuple(r) for r in lines.line_dedup(clash).filter("doc_id = 3").collect()] == [(3, "", "h", 7, 8, 9, 10, 2, 2)]
 
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)

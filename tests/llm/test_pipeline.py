@@ -101,4 +101,28 @@ def test_line_dedup_counts_copies_once(spark):
     assert {r.doc_id for r in kept.collect()} == {0, *range(12, 32)}
 
 
+def test_pages_of_much_boilerplate_stay(spark):
+    """200 common words and 18 own ones: alike by shingles, but different pages."""
+    common = ["common%d " % k + " ".join(f"c{k}x{j}" for j in range(19)) for k in range(10)]
+    own = [" ".join(f"own{i}x{j}" for j in range(18)) for i in range(30)]
+    texts = ["\n".join([*common[:4], o, *common[4:]]) for o in own]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], docs_schema)
+    cleaned = P.line_dedup(spark, docs, H.SF)
+    assert {r.doc_id: r.text for r in cleaned.collect()} == dict(enumerate(own))
+    assert P.near_duplicates(spark, cleaned, H.SF).count() == 30
+
+
+def test_copies_among_pages_of_boilerplate(spark):
+    """Copies of one page on such a source are still one page, and keep what is theirs."""
+    common = ["common%d " % k + " ".join(f"c{k}x{j}" for j in range(19)) for k in range(6)]
+    own = ["\n".join(" ".join(f"own{i}l{k}x{j}" for j in range(12)) for k in range(3)) for i in range(12)]
+    article = [" ".join(f"art{k}x{j}" for j in range(15)) for k in range(6)]
+    copies = [[line.replace(f"art{k}x7", f"new{n}") if k == n % 6 else line for k, line in enumerate(article)] for n in range(12)]
+    texts = ["\n".join([*common, o]) for o in own] + ["\n".join([*common, *c]) for c in [article, *copies]]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], docs_schema)
+    cleaned = P.line_dedup(spark, docs, H.SF)
+    assert {r.doc_id: r.text for r in cleaned.collect()} == dict(enumerate(own + ["\n".join(c) for c in [article, *copies]]))
+    assert {r.doc_id for r in P.near_duplicates(spark, cleaned, H.SF).collect()} == set(range(13))
+
+
 docs_schema = "doc_id long, text string, lang string, source string, n_chars long"
