@@ -7,7 +7,8 @@ Parquet and read again.  All but the last return the columns of ``documents``.
    winner needs phrases nearer to those of shuffled letters than to those of its own texts, by a limit
    learned for each language of eight or more labelled texts); ``lang`` becomes the prediction.
 2. line_dedup: boilerplate lines of a source are cut out of the texts.  Documents that stage 3's measure
-   links as they come in are one page: a group of copies makes no line boilerplate by its size.
+   links as they come in are one page, unless what they do not share as lines is new: a group of copies makes
+   no line boilerplate by its size, and different pages of much boilerplate lose it and stay.
 3. near_duplicates: of documents linked by a Jaccard similarity of 0.8 or more over shingles of five
    words, the one with the smallest id (then text hash; a null id is the smallest) stays.
 4. decontaminate: documents with a benchmark passage go.
@@ -55,10 +56,18 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS).withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("version")))
 
 
+def _stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(spark, f"pipeline-{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _rows(docs)
     links = jaccard.jaccard_join(rows, key="row", width=5, percent=80)
-    pages = links.select(F.col("row").alias("key"), F.col("component_id").alias("page")).distinct()
+    # a group is asked for more than once
+    linked = _stored(spark, links.select(F.col("row").alias("key"), F.col("component_id").alias("component")).distinct(), "links")
+    pages = _stored(spark, lines.copy_pages(rows, linked, key="row"), "pages")
     cleaned = lines.line_dedup(rows, key="row", pages=pages)
     return cleaned.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
