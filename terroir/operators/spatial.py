@@ -1,19 +1,24 @@
-"""Spatial operators: hierarchy joins, point-in-polygon, nearest fallback, spatial rules.
-
-Point-in-polygon is an equi-join on grid cells, not a nested-loop join: every
-polygon is exploded into the cells its bounding box covers, every point computes its
-own cell, and only (point, polygon) pairs sharing a cell are tested exactly (ray
-casting over the ring edges).  The nearest-vertex fallback uses the same trick with
-cells as wide as the distance limit, looking at the 3 x 3 neighbourhood, so it is
+"""Spatial operators: feature collections, hierarchy joins, point-in-polygon, nearest fallback, spatial rules.
+
+Point-in-polygon is an equi-join on a hierarchical cell cover, not a nested-loop join.  A polygon starts with the
+few cells of its own size that its bounding box meets; a cell keeps the edges that can still change the crossing
+number of a point in it, and the parity of those that always cross.  Cells with more edges than a budget are
+split in four.  A cell that no edge comes into is inside (no ray cast) or dropped, and a point is tested exactly with the
+few edges of its cell, by the rule of ``ray_cast_inside``.  Points look up their cell at each level in use.  The
+nearest-vertex fallback uses cells as wide as the distance limit, looking at the 3 x 3 neighbourhood, so it is
 exact without comparing every point with every polygon.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_path
 from ..sources import knowledge as K
+from .scan import ranked
 
 NEAREST_LIMIT = 2.0
 
@@ -44,30 +49,150 @@ def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt(F.pow(x1 - x2, 2) + F.pow(y1 - y2, 2))
 
 
-def polygon_cells(polygons: DataFrame, cell: float) -> DataFrame:
-    """Explode each polygon into the grid cells covered by its bounding box."""
-    xs = F.transform("ring", lambda p: p["x"])
-    ys = F.transform("ring", lambda p: p["y"])
-    b = polygons.withColumns({"minx": F.array_min(xs), "maxx": F.array_max(xs),
-                              "miny": F.array_min(ys), "maxy": F.array_max(ys)})
-    cx = F.explode(F.sequence(F.floor(F.col("minx") / cell), F.floor(F.col("maxx") / cell)))
-    b = b.withColumn("cx", cx)
-    return b.withColumn("cy", F.explode(F.sequence(F.floor(F.col("miny") / cell), F.floor(F.col("maxy") / cell))))
+#: Side of a cell of level 0 in degrees; a cell of the next level is half as wide.  Powers of two, so that corners and cell numbers are exact.
+CELL, MAX_LEVEL = 512.0, 30
+EDGE_BUDGET = 64
+#: Degrees by which an edge must miss a cell to count as missing it; far more than rounding, far less than a cell.
+MARGIN = 1e-9
+
+
+def _relevant(edge: Column, x0: Column, y0: Column, side: Column) -> Column:
+    """Whether an edge can change the crossing number of a point of the cell: it reaches into its band of heights and not only left of it."""
+    return ((F.greatest(edge["ay"], edge["by"]) >= y0) & (F.least(edge["ay"], edge["by"]) < y0 + side) & (F.greatest(edge["ax"], edge["bx"]) >= x0))
+
+
+def _always(edge: Column, x0: Column, y0: Column, side: Column) -> Column:
+    """Whether every point of the cell counts the edge: it lies right of the cell and spans its heights."""
+    return ((F.least(edge["ax"], edge["bx"]) > x0 + side * 1.0000001) & (F.least(edge["ay"], edge["by"]) < y0)
+            & (F.greatest(edge["ay"], edge["by"]) >= y0 + side))
+
+
+def _touches(edge: Column, x0: Column, y0: Column, side: Column) -> Column:
+    """Whether an edge may come into the cell: their boxes meet and the cell's corners are not all on one side of it."""
+    left, right, low, high = x0 - MARGIN, x0 + side + MARGIN, y0 - MARGIN, y0 + side + MARGIN
+    ax, ay, bx, by = edge["ax"], edge["ay"], edge["bx"], edge["by"]
+    boxes = (F.greatest(ax, bx) >= left) & (F.least(ax, bx) <= right) & (F.greatest(ay, by) >= low) & (F.least(ay, by) <= high)
+    sides = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x in (left, right) for y in (low, high)]
+    return boxes & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+
+def _cut_to_cell(cells: DataFrame) -> DataFrame:
+    """``edges`` and ``parity`` of cells (level, cx, cy) from those of a larger cell; cells that are outside go."""
+    side = F.lit(CELL) / F.pow(F.lit(2.0), F.col("level"))
+    c = cells.withColumns({"_side": side, "_x0": F.col("cx") * side, "_y0": F.col("cy") * side})
+    box = (F.col("_x0"), F.col("_y0"), F.col("_side"))
+    crossed = F.size(F.filter("edges", lambda e: _always(e, *box)))
+    c = c.withColumn("parity", (F.col("parity") + crossed) % 2)
+    c = c.withColumn("edges", F.filter("edges", lambda e: _relevant(e, *box) & ~_always(e, *box)))
+    # a cell that no edge comes into is all inside or all outside, as its centre is
+    empty = ~F.exists("edges", lambda e: _touches(e, *box))
+    centre = _crossed(F.col("_x0") + F.col("_side") / 2, F.col("_y0") + F.col("_side") / 2, F.col("edges"), F.col("parity"))
+    c = c.withColumn("parity", F.when(empty, centre.cast("int")).otherwise(F.col("parity")))
+    c = c.withColumn("edges", F.when(empty, F.slice("edges", 1, 0)).otherwise(F.col("edges")))
+    return c.filter((F.size("edges") > 0) | (F.col("parity") == 1)).drop("_side", "_x0", "_y0")
+
+
+def polygon_cover(polygons: DataFrame, budget: int = EDGE_BUDGET) -> DataFrame:
+    """The cell cover of ``polygons (feature_order, state, district, ring)``; a feature may have several rows (parts).
+
+    Rows ``(feature_order, state, district, level, cx, cy, parity, edges)``, stored in the shared folder.  Rings of
+    fewer than three points contain nothing."""
+    spark = polygons.sparkSession
+    n = F.size("ring")
+    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+        F.col("ring")[i]["x"].alias("ax"), F.col("ring")[i]["y"].alias("ay"), F.col("ring")[(i + 1) % n]["x"].alias("bx"), F.col("ring")[(i + 1) % n]["y"].alias("by")))
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    b = polygons.filter(n >= 3).select("feature_order", "state", "district", edges.alias("edges"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"),
+                                       F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(CELL / 2.0 ** MAX_LEVEL))
+    b = b.withColumn("level", F.least(F.greatest(F.floor(F.log2(F.lit(CELL) / wide)) + 1, F.lit(0)), F.lit(MAX_LEVEL)).cast("int"))
+    at = lambda v: F.floor(F.col(v) * F.pow(F.lit(2.0), F.col("level")) / CELL)
+    b = b.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    names = ["feature_order", "state", "district", "level", "cx", "cy", "parity", "edges"]
+    todo = _cut_to_cell(b.withColumn("parity", F.lit(0))).select(*names)
+    base, step, paths = shared_path(spark, f"cover-{uuid.uuid4().hex}"), 0, []
+    while True:
+        todo.write.parquet(f"{base}/{step}")
+        cells = spark.read.schema(todo.schema).parquet(f"{base}/{step}")
+        paths.append(cells.filter((F.size("edges") <= budget) | (F.col("level") >= MAX_LEVEL)))
+        full = cells.filter((F.size("edges") > budget) & (F.col("level") < MAX_LEVEL))
+        if full.isEmpty():
+            break
+        quarters = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+        children = full.withColumn("_q", quarters).withColumns({"level": F.col("level") + 1, "cx": F.col("cx") * 2 + F.col("_q.i"), "cy": F.col("cy") * 2 + F.col("_q.j")})
+        todo, step = _cut_to_cell(children.drop("_q")).select(*names), step + 1
+    cover = paths[0]
+    for more in paths[1:]:
+        cover = cover.unionByName(more)
+    cover.write.parquet(f"{base}/cover")
+    return spark.read.schema(cover.schema).parquet(f"{base}/cover")
+
+
+def _crossed(x: Column, y: Column, edges: Column, parity: Column) -> Column:
+    """Odd crossing number, by the rule of ``ray_cast_inside``, from the edges of a cell and its parity."""
+    def toggle(acc, e):
+        ax, ay, bx, by = e["ax"], e["ay"], e["bx"], e["by"]
+        xint = (y - ay) * (bx - ax) / F.when(by != ay, by - ay) + ax
+        cross = ((y > F.least(ay, by)) & (y <= F.greatest(ay, by)) & (x <= F.greatest(ax, bx)) & ((ax == bx) | (x <= xint)))
+        return acc != F.coalesce(cross, F.lit(False))
+
+    return F.aggregate(edges, parity == 1, toggle)
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, cell: float = 4.0,
+def point_in_polygon(points: DataFrame, polygons: DataFrame, budget: int = EDGE_BUDGET,
                      x: str = "lon", y: str = "lat", id_col: str = "point_id") -> DataFrame:
-    """For each point, the first polygon (lowest ``feature_order``) that contains it."""
-    cells = polygon_cells(polygons, cell)
-    pts = points.withColumns({"cx": F.floor(F.col(x) / cell), "cy": F.floor(F.col(y) / cell)})
-    cand = pts.join(cells if cells.count() > 1_000_000 else F.broadcast(cells), ["cx", "cy"])
-    cand = cand.filter(F.col(x).between(F.col("minx"), F.col("maxx")) & F.col(y).between(F.col("miny"), F.col("maxy")))
-    inside = cand.filter(ray_cast_inside(F.col(x), F.col(y), F.col("ring")))
-    best = inside.groupBy(id_col).agg(F.min_by(F.struct("feature_order", "state", "district"),
-                                               F.col("feature_order")).alias("f"))
+    """For each point, the first polygon (lowest ``feature_order``) that contains it.  Points without a
+    position are in none."""
+    cover = polygon_cover(polygons, budget)
+    levels = [r["level"] for r in cover.select("level").distinct().collect()]   # at most MAX_LEVEL + 1
+    if not levels:
+        return cover.select(F.lit(None).cast(points.schema[id_col].dataType).alias(id_col), "feature_order", "state", "district")
+    # the cover is read from files: the planner broadcasts it by their size or shuffles both sides and splits hot cells
+    pts = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        id_col, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.explode(F.array(*[F.lit(v) for v in levels])).alias("level"))
+    at = lambda v: F.floor(F.col(v) * F.pow(F.lit(2.0), F.col("level")) / CELL)
+    met = pts.withColumns({"cx": at("_x"), "cy": at("_y")}).join(cover, ["level", "cx", "cy"])
+    inside = met.filter(_crossed(F.col("_x"), F.col("_y"), F.col("edges"), F.col("parity")))
+    best = inside.groupBy(id_col).agg(F.min(F.struct("feature_order", "state", "district")).alias("f"))
     return best.select(id_col, "f.feature_order", "f.state", "f.district")
 
 
+# --- S4: feature collections ----------------------------------------------------------------------
+_FEATURES = ("type string, features array<struct<type: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>")
+_RING = "array<array<double>>"
+
+
+def read_features(spark: SparkSession, path: str, multi_line: bool = True, state: str = "state", district: str = "district") -> DataFrame:
+    """The polygons of feature-collection JSON files (one collection a file, or one a line without ``multi_line``).
+
+    A row for each part of a Polygon or MultiPolygon feature: ``feature_order`` (file, then place in it), ``state`` and
+    ``district`` from the properties named so, ``part`` and ``ring`` (the outer one).  Other geometries and
+    features without coordinates have no row but keep their place."""
+    found = spark.read.schema(_FEATURES).option("multiLine", multi_line).json(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "features")
+    each = found.select("file", "block", "line", F.posexplode("features").alias("place", "f"))
+    placed = ranked(each.select("file", "block", "line", "place", F.to_json("f").alias("f")), [], [F.col("file"), F.col("block"), F.col("line"), F.col("place")], "feature_order", "features")
+    f = F.from_json("f", "struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>")
+    g = placed.select((F.col("feature_order") - 1).alias("feature_order"), f["properties"].alias("p"), f["geometry"]["type"].alias("kind"), f["geometry"]["coordinates"].alias("c"))
+    rings = (F.when(F.col("kind") == "Polygon", F.array(F.get(F.from_json("c", f"array<{_RING}>"), F.lit(0))))
+             .when(F.col("kind") == "MultiPolygon", F.transform(F.from_json("c", f"array<array<{_RING}>>"), lambda part: F.get(part, F.lit(0)))))
+    parts = g.select("feature_order", F.col("p")[state].alias("state"), F.col("p")[district].alias("district"), F.posexplode(rings).alias("part", "ring"))
+    point = lambda v: F.struct(v[0].alias("x"), v[1].alias("y"))
+    return parts.filter(F.size("ring") > 0).withColumn("ring", F.transform("ring", point))
+
+
+def feature_collections(polygons: DataFrame, per_collection: int = 1000) -> DataFrame:
+    """``value``: collections as JSON texts of bounded numbers of features; rows of one ``feature_order`` are a MultiPolygon."""
+    ring = F.transform("ring", lambda p: F.array(p["x"], p["y"]))
+    parts = polygons.groupBy("feature_order", "state", "district").agg(F.collect_list(F.array(ring)).alias("parts"))   # the parts of a feature
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), F.col("parts").alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct("state", "district").alias("properties"), geometry.alias("geometry"))
+    chunk = F.floor(F.col("feature_order") / per_collection)
+    listed = parts.groupBy(chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("feature_order", feature.alias("f")))).alias("fs"))
+    whole = F.struct(F.lit("FeatureCollection").alias("type"), F.transform("fs", lambda f: f["f"]).alias("features"))
+    return listed.select("chunk", F.to_json(whole).alias("value"))
+
+
 def nearest_first_vertex(points: DataFrame, polygons: DataFrame, limit: float = NEAREST_LIMIT,
                          x: str = "lon", y: str = "lat", id_col: str = "point_id") -> DataFrame:
     """Nearest polygon by distance to its ring's first vertex, if closer than ``limit``.
@@ -82,23 +207,19 @@ def nearest_first_vertex(points: DataFrame, polygons: DataFrame, limit: float =
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     pts = points.select(id_col, x, y, F.explode(offsets).alias("o")).withColumns({
         "cx": F.floor(F.col(x) / limit) + F.col("o.dx"), "cy": F.floor(F.col(y) / limit) + F.col("o.dy")})
-    cand = pts.join(_small(v), ["cx", "cy"]).withColumn("dist", distance(F.col(x), F.col(y), F.col("vx"), F.col("vy")))
+    cand = pts.join(v, ["cx", "cy"]).withColumn("dist", distance(F.col(x), F.col(y), F.col("vx"), F.col("vy")))
     cand = cand.filter(F.col("dist") < limit)
     best = cand.groupBy(id_col).agg(F.min_by(F.struct("feature_order", "state", "district", "dist"),
                                                F.struct("dist", "feature_order")).alias("f"))
     return best.select(id_col, "f.feature_order", "f.state", "f.district", "f.dist")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return df if df.count() > 1_000_000 else F.broadcast(df)
-
-
 def resolve_location(points: DataFrame, polygons: DataFrame, **kw) -> DataFrame:
     """J2 then J3 for the points no polygon contains (``left_anti``); unresolved points are dropped."""
     id_col = kw.get("id_col", "point_id")
     inside = point_in_polygon(points, polygons, **kw).withColumn("method", F.lit("inside"))
     rest = points.join(inside.select(id_col), id_col, "left_anti")
-    near = nearest_first_vertex(rest, polygons, **{k: v for k, v in kw.items() if k != "cell"})
+    near = nearest_first_vertex(rest, polygons, **{k: v for k, v in kw.items() if k != "budget"})
     return inside.unionByName(near.drop("dist").withColumn("method", F.lit("nearest")))
 
 

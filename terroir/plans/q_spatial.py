@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import checksum
 from ..operators import rules as RU
 from ..operators import spatial as SP
+from ..session import shared_path
 from ..sources import knowledge as K
 from ..sources import proxies as P
 from . import sqltext as S
@@ -31,6 +35,18 @@ def j02_point_in_polygon(spark, sf):
     return SP.point_in_polygon(P.points(spark, sf), P.polygons(spark, sf))
 
 
+@register("s04_feature_collection", with_views(f"""
+WITH {_INSIDE_SQL}
+SELECT i.point_id, p.state FROM inside i JOIN polygons p USING (feature_order)""", "points", "polygons"))
+def s04_feature_collection(spark, sf):
+    """Districts written as feature collections, a MultiPolygon for each state, read again, and the points located in them."""
+    states = P.polygons(spark, sf).select(F.dense_rank().over(Window.orderBy("state")).cast("long").alias("feature_order"), "state", "state", "ring").toDF(
+        "feature_order", "state", "district", "ring")   # 25 districts
+    path = shared_path(spark, f"features-{uuid.uuid4().hex}")
+    SP.feature_collections(states, per_collection=2).select("value").write.text(path)
+    return SP.point_in_polygon(P.points(spark, sf), SP.read_features(spark, path, multi_line=False)).select("point_id", "state")
+
+
 @register("j03_nearest_fallback", with_views(f"""
 WITH {_INSIDE_SQL},
 d AS (SELECT p.point_id, g.feature_order, g.state, g.district, sqrt(pow(p.lon - g.x0, 2) + pow(p.lat - g.y0, 2)) AS dist
