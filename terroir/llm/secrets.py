@@ -3,9 +3,12 @@ r"""Secret scan: base patterns and character Markov models, in DataFrame functio
 Base kinds (leftmost, not overlapping within a kind) are key assignments, access keys and long
 hexadecimal strings.  The method adds tokens of ``MIN_TOKEN`` or more characters whose character
 pairs are likelier in random strings than in ordinary identifiers.  Both first-order models are
-trained from labelled samples: what the base patterns found in all documents is random; the words
-of the ``sample_docs`` different texts with the smallest hash of those without a base match are
-ordinary (a bounded sample).  Only the pair counts, at most twice 67 x 67, reach the driver.
+trained from labelled samples.  Random are the hexadecimal and access values that the base patterns found in all documents and
+``seeded`` digests of the numbers 0, 1, ... in base64, hexadecimal, alphanumeric and UUID form; ordinary are the
+words of the ``sample_docs`` different texts with the smallest hash of those without a base match, and identifiers composed of
+them (camel, snake, kebab and upper case): bounded samples.  Half of the strings, by hash, train; the threshold lies between the
+ratios of the other half, midway between the 99.5 % quantile of the ordinary and the 0.5 % quantile of the random ones.
+Only the pair counts, at most twice 67 x 67, and two quantiles reach the driver.
 
 Positions are code points; the end is exclusive.  A null text counts as empty.  Whole texts are
 scanned, but only documents with some match are shuffled.  Rows are told apart by id and a hash
@@ -62,27 +65,66 @@ def _pairs(strings: DataFrame) -> DataFrame:
     return both.select("p.a", "p.b").groupBy("a", "b").count()
 
 
-def train(docs: DataFrame, matches: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 2000) -> list[int]:
-    """Log-likelihood ratio (random to ordinary, in thousandths) of each pair of ``ALPHABET``."""
-    secret = F.when(F.col("name") == "assign", F.regexp_extract("found", ASSIGN, 2)).otherwise(F.col("found"))
-    random = _pairs(matches.filter("name <> 'markov'").select(secret.alias("s"))).collect()
-    base = "|".join((ASSIGN, ACCESS, HEX))
-    texts = _texts(docs, key, text).select("version", "body").filter(~F.col("body").rlike(base))
-    smallest = texts.select("version").distinct().orderBy("version").limit(sample_docs)
-    chosen = texts.join(F.broadcast(smallest), "version").dropDuplicates(["version"])
-    ordinary = _pairs(chosen.select(F.explode(F.regexp_extract_all("body", F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("s"))).collect()
+def random_strings(docs: DataFrame, matches: DataFrame, seeded: int) -> DataFrame:
+    """Column ``s``: the labelled random strings."""
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    b64 = F.base64(F.unhex(digest))
+    forms = [F.regexp_replace(b64, "=", ""), F.translate(F.substring(b64, 1, 32), "+/", "-_"), F.regexp_replace(b64, "[^A-Za-z0-9]", ""), F.substring(digest, 1, 40),
+             F.regexp_replace(F.substring(digest, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")]
+    made = docs.sparkSession.range(seeded).select(F.explode(F.array(*forms)).alias("s"))
+    return made.union(matches.filter("name in ('hex', 'access')").select("found")).distinct()
+
+
+def ordinary_texts(docs: DataFrame, matches: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 2000) -> DataFrame:
+    """Column ``body``: the different texts with the smallest hash of those without a base match."""
+    found = matches.filter("name <> 'markov'").select("version").distinct()
+    texts = _texts(docs, key, text).select("version", "body")
+    smallest = texts.select("version").distinct().join(found, "version", "left_anti").orderBy("version").limit(sample_docs)
+    return texts.join(F.broadcast(smallest), "version").dropDuplicates(["version"]).select("body")   # at most sample_docs rows
+
+
+def ordinary_strings(bodies: DataFrame) -> DataFrame:
+    """Column ``s``: the words of the texts, and identifiers composed of every 16th run of four."""
+    words = F.regexp_extract_all("body", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,}(?![A-Za-z0-9+/_=-])"), F.lit(0))   # not pieces of tokens
+    bodies = bodies.select(words.alias("w"))
+    runs = bodies.filter(F.size("w") > 3).select(F.explode(F.sequence(F.lit(1), F.size("w") - 3, F.lit(16))).alias("i"), "w").select(F.slice("w", F.col("i"), F.lit(4)).alias("r"))
+    title = F.transform("r", lambda x: F.initcap(x))
+    lower = F.transform("r", lambda x: F.lower(x))
+    camel = F.concat(F.lower(F.get("r", F.lit(0))), F.array_join(F.slice(title, 2, 3), ""))
+    forms = [camel, F.array_join(title, ""), F.array_join(lower, "_"), F.array_join(lower, "-"), F.upper(F.array_join(lower, "_"))]
+    plain = bodies.select(F.explode("w").alias("s"))
+    return plain.union(runs.select(F.explode(F.array(*forms)).alias("s")))
+
+
+def train(random: DataFrame, ordinary: DataFrame) -> tuple[list[int], float]:
+    """Log-likelihood ratio (random to ordinary, in thousandths) of each pair of ``ALPHABET``, and the threshold."""
     n = len(ALPHABET)
+    kept = lambda strings, side: strings.filter(F.pmod(F.xxhash64("s"), F.lit(2)) == side)
 
-    def logs(rows, weight: float) -> list[list[float]]:
-        table = [[weight] * n for _ in range(n)]
+    def logs(rows, weight: float, backed: float) -> list[list[float]]:
+        """Logarithms of P(b | a); a share ``backed`` of it knows the kinds of the two characters only, for pairs of words not seen."""
+        counts, kinds = [[0.0] * n for _ in range(n)], [[1.0] * 4 for _ in range(4)]
         for r in rows:
             if r["a"] in ALPHABET and r["b"] in ALPHABET:
-                table[ALPHABET.index(r["a"])][ALPHABET.index(r["b"])] += r["count"]
-        return [[math.log(x / sum(row)) for x in row] for row in table]
+                i, j = ALPHABET.index(r["a"]), ALPHABET.index(r["b"])
+                counts[i][j] += r["count"]
+                kinds[kind[i]][kind[j]] += r["count"]
+        of_pair = [[(x + weight) / (sum(row) + weight * n) for x in row] for row in counts]
+        of_kind = [[kinds[kind[i]][kind[j]] / sum(kinds[kind[i]]) / kind.count(kind[j]) for j in range(n)] for i in range(n)]
+        return [[math.log((1 - backed) * of_pair[i][j] + backed * of_kind[i][j]) for j in range(n)] for i in range(n)]
 
     # the prior of random strings is uniform and firm, that of identifiers thin
-    p, q = logs(random, 1.0), logs(ordinary, 0.2)
-    return [round(1000 * (p[i][j] - q[i][j])) for i in range(n) for j in range(n)]
+    kind = [0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3 for c in ALPHABET]
+    p, q = logs(_pairs(kept(random, 0)).collect(), 1.0, 0.0), logs(_pairs(kept(ordinary, 0)).collect(), 0.2, 0.1)
+    table = [round(1000 * (p[i][j] - q[i][j])) for i in range(n) for j in range(n)]
+
+    def quantile(strings: DataFrame, share: float) -> float | None:
+        held = kept(strings, 1).filter(F.col("s").rlike(f"^{TOKEN}$")).distinct()
+        return held.select(_ratio(F.col("s"), table).alias("r")).agg(F.percentile_approx("r", share, 10000)).first()[0]
+
+    low, high = quantile(ordinary, 0.995), quantile(random, 0.005)
+    low = high - 1.0 if low is None else low     # no long ordinary token: no evidence against the random ones
+    return table, (low + high) / 2
 
 
 def _ratio(token: Column, table: list[int]) -> Column:
@@ -94,16 +136,18 @@ def _ratio(token: Column, table: list[int]) -> Column:
     return total / (F.length(token) - 1) / 1000
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, sample_docs: int = 2000) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float | None = None, sample_docs: int = 2000, seeded: int = 2000) -> DataFrame:
     """``key`` and ``spans``, an array of ``(start, kind, name, end, found, ratio)`` by start and kind, of every row.
 
     Added tokens overlap no base match."""
     matches = base_and_tokens(docs, key, text).checkpoint()
-    table = train(docs, matches, key, text, sample_docs)
+    table, learned = train(random_strings(docs, matches, seeded), ordinary_strings(ordinary_texts(docs, matches, key, text, sample_docs)).checkpoint())
+    threshold = learned if threshold is None else threshold
+    # running frames from either end: a frame to the end of the text for each token would be quadratic
     base_end = F.max(F.when(F.col("name") != "markov", F.col("end"))).over(
         Window.partitionBy("id", "version").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1))
     base_next = F.min(F.when(F.col("name") != "markov", F.col("start"))).over(
-        Window.partitionBy("id", "version").orderBy("start", "kind").rowsBetween(0, Window.unboundedFollowing))
+        Window.partitionBy("id", "version").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0))
     free = (F.coalesce(base_end, F.lit(-1)) <= F.col("start")) & F.coalesce(base_next >= F.col("end"), F.lit(True))
     scored = matches.withColumn("free", free).withColumn(
         "ratio", F.when(F.col("name") == "markov", _ratio(F.col("found"), table)))

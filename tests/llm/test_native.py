@@ -86,11 +86,44 @@ def test_secret_scan_matches_brute_force(spark):
 def test_secret_sample_is_of_different_texts_without_a_match(spark):
     ordinary = [f"ordinary_identifier_{w}" for w in ("alpha", "beta", "gamma")]
 
-    def trained(texts):
+    def sample(texts):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        return secrets.train(docs, secrets.base_and_tokens(docs).limit(0), sample_docs=3)
-
-    assert trained([t for t in ordinary for _ in range(9)] + [f"password={w}bcdefgh" for w in "abcdefghijkl"]) == trained(ordinary)
+        return sorted(r.body for r in secrets.ordinary_texts(docs, secrets.base_and_tokens(docs), sample_docs=3).collect())
+
+    assert sample([t for t in ordinary for _ in range(9)] + [f"password={w}bcdefgh" for w in "abcdefghijkl"]) == sample(ordinary) == sorted(ordinary)
+
+
+def test_added_spans_find_random_tokens_and_leave_identifiers(spark):
+    """Recall and precision of the added spans on planted tokens of either kind."""
+    import base64
+    import random
+    import string
+    import uuid
+
+    rng = random.Random(8)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    planted = [pick(string.ascii_letters + string.digits, rng.randint(20, 40)) for _ in range(100)]
+    planted += [base64.urlsafe_b64encode(rng.randbytes(24)).decode() for _ in range(60)] + [str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(40)]
+    words = [w for _, t, _ in H.documents() for w in re.findall("[A-Za-z]{4,}", t)][:4000]
+    names = ["xmlHttpRequestFactoryImpl", "internationalization_of_the_things", "get-the-latest-version-number", "MAXIMUM_NUMBER_OF_RETRIES_ALLOWED", "AbstractSingletonProxyFactoryBean"]
+    for i in range(195):
+        some = [rng.choice(words) for _ in range(4)]
+        names.append(["_".join(some).lower(), "-".join(some).lower(), "".join(w.title() for w in some), some[0].lower() + "".join(w.title() for w in some[1:])][i % 4])
+    texts = [f"see {a} and {b} here" for a, b in zip(planted, names)] + [t for _, t, _ in H.documents()]
+    spans = {r.doc_id: {s.found for s in r.spans or [] if s.name == "markov"} for r in
+             secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    caught = sum(p in spans[i] for i, p in enumerate(planted))
+    wrong = sum(n in spans[i] for i, n in enumerate(names))
+    assert caught >= 0.97 * len(planted) and wrong <= 0.02 * len(names), (caught, wrong)
+
+
+def test_many_tokens_in_one_text(spark):
+    import time
+
+    text = " ".join(f"token_number_{i}_of_this_long_file" for i in range(40_000))
+    began = time.perf_counter()
+    assert len(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()) == 1
+    assert time.perf_counter() - began < 60
 
 
 def test_secret_scan_on_documents(spark):
