@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .artifacts import path_exists
+
 ENTRY_SCHEMA = ("version string, model_name string, task string, dataset string, training_timestamp string, "
                 "features array<string>, artifact_path string, artifact_exists boolean, metrics map<string,double>, position long")
 
@@ -74,8 +76,6 @@ def save_artifact(model, path: str) -> str:
     return path
 
 
-def load_artifact(loader, path: str):
-    try:
-        return loader.load(path)
-    except Exception:  # noqa: BLE001 - a missing artifact is a normal state
-        return None
+def load_artifact(spark: SparkSession, loader, path: str):
+    """A saved model, or None if nothing was saved there; a model that cannot be read raises."""
+    return loader.load(path) if path_exists(spark, path) else None

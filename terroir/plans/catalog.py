@@ -37,6 +37,7 @@ MODULES = (
     "terroir.plans.q_time",
     "terroir.plans.q_more",
     "terroir.plans.q_scoring",
+    "terroir.plans.q_io",
     "terroir.plans.q_ml",
     "terroir.plans.q_stream",
 )

@@ -11,6 +11,8 @@ column (or per class).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from ..functions import features as FX
 from ..operators import clean as C
 from ..operators import transform as X
 from ..operators import validate as V
+from ..session import shared_path
 from ..sources import proxies as P
 
 
@@ -37,24 +40,46 @@ def engineer(df: DataFrame, plan=("fertility_score",)) -> tuple[DataFrame, list[
     return df, created, skipped
 
 
-def run_pipeline(split_df: DataFrame, features=P.FEATURES, target: str = "crop", id_col: str = "sample_id",
-                 plan=("fertility_score",)) -> DataFrame:
-    """Steps after the split: encode, clip, scale, prune.  ``split_df`` has a ``split`` column."""
+def fit(split_df: DataFrame, features=P.FEATURES, target: str = "crop", plan=("fertility_score",)) -> dict[str, DataFrame]:
+    """The fitted parameters of the steps after the split, as tables: ``encoder (label, code)``, ``bounds (column, q1, q3,
+    lower, upper)`` and ``scaler (column, low, high)``, all from the training rows."""
     df, created, _ = engineer(split_df, plan)
     feats = list(features) + created
     train = df.filter(F.col("split") == "train")
-    mapping = X.label_mapping(train, target)
-    df = X.encode_labels(df, target, mapping, out=f"{target}_encoded")
-    bounds = C.iqr_bounds(df.filter(F.col("split") == "train"), feats)
-    df = C.clip_to_bounds(df, bounds)
-    params = X.minmax_params(df.filter(F.col("split") == "train"), feats)
-    df = X.minmax_apply(df, params)
+    spark = df.sparkSession
+    bounds = C.iqr_bounds(train, feats)
+    ranges = X.minmax_params(C.clip_to_bounds(train, bounds), feats)
+    return {"encoder": X.label_mapping(train, target).select(F.col(target).alias("label"), "code"),
+            "bounds": spark.createDataFrame([(b.column, b.q1, b.q3, b.lower, b.upper) for b in bounds.values()], "column string, q1 double, q3 double, lower double, upper double"),
+            "scaler": spark.createDataFrame([(c, lo, hi) for c, (lo, hi) in ranges.items()], "column string, low double, high double")}
+
+
+def apply(split_df: DataFrame, fitted: dict[str, DataFrame], features=P.FEATURES, target: str = "crop", id_col: str = "sample_id",
+          plan=("fertility_score",)) -> DataFrame:
+    """Encode, clip, scale and prune with the tables of ``fit``, new or loaded (a row for each column or label)."""
+    df, created, _ = engineer(split_df, plan)
+    feats = list(features) + created
+    df = X.encode_labels(df, target, fitted["encoder"].withColumnRenamed("label", target), out=f"{target}_encoded")
+    df = C.clip_to_bounds(df, {r["column"]: C.Bounds(*r) for r in fitted["bounds"].collect()})
+    df = X.minmax_apply(df, {r["column"]: (r["low"], r["high"]) for r in fitted["scaler"].collect()})
     return V.prune_columns(df, [id_col, "split", f"{target}_encoded"] + feats)
 
 
+def run_pipeline(split_df: DataFrame, features=P.FEATURES, target: str = "crop", id_col: str = "sample_id",
+                 plan=("fertility_score",)) -> DataFrame:
+    """Steps after the split: encode, clip, scale, prune.  ``split_df`` has a ``split`` column."""
+    return apply(split_df, fit(split_df, features, target, plan), features, target, id_col, plan)
+
+
+def split_samples(df: DataFrame, target: str = "crop", id_col: str = "sample_id") -> DataFrame:
+    """Trimmed, de-duplicated and split rows.  Every fit reads them again, so they are stored once, in the shared folder."""
+    path = shared_path(df.sparkSession, f"x09-{uuid.uuid4().hex}")
+    rows = C.remove_duplicates(V.trim_labels(df))
+    rows.write.parquet(f"{path}/rows")
+    X.stratified_split(df.sparkSession.read.parquet(f"{path}/rows"), target, id_col).write.parquet(f"{path}/split")
+    return df.sparkSession.read.parquet(f"{path}/split")
+
+
 def preprocess(df: DataFrame, features=P.FEATURES, target: str = "crop", id_col: str = "sample_id") -> DataFrame:
     """The full pipeline from a raw-but-canonical table."""
-    df = V.trim_labels(df)
-    df = C.remove_duplicates(df)
-    df = X.stratified_split(df, target, id_col)
-    return run_pipeline(df, features, target, id_col)
+    return run_pipeline(split_samples(df, target, id_col), features, target, id_col)

@@ -201,7 +201,7 @@ def a15_class_weights(spark, sf):
 PIPE_FEATURES = FEATURES + ["fertility_score"]
 
 
-@register("x09_pipeline", with_views(f"""
+PIPELINE_SQL = with_views(f"""
 WITH e AS (SELECT DISTINCT * FROM samples_split),
 f AS (SELECT *, (N + P + K) / 3.0 AS fertility_score FROM e),
 b AS ({' UNION ALL '.join(f"SELECT '{c}' AS c, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM f WHERE split = 'train'" for c in PIPE_FEATURES)}),
@@ -213,7 +213,10 @@ sc AS (SELECT split, coalesce(m.code, -1) AS crop_code,
        {', '.join(f'({c} - mn_{c}) / CASE WHEN mx_{c} - mn_{c} = 0 THEN 1.0 ELSE mx_{c} - mn_{c} END AS {c}' for c in PIPE_FEATURES)}
        FROM cl LEFT JOIN m USING (crop), mm)
 SELECT split, count(*) AS n, sum(crop_code) AS code_sum, {', '.join(f'round(avg({c}), 6) AS avg_{c}' for c in PIPE_FEATURES)}
-FROM sc GROUP BY split""", "samples_split"))
+FROM sc GROUP BY split""", "samples_split")
+
+
+@register("x09_pipeline", PIPELINE_SQL)
 def x09_pipeline(spark, sf):
     from .pipeline import preprocess
     out = preprocess(P.samples(spark, sf))

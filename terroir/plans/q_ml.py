@@ -52,7 +52,11 @@ def m02_random_forest(spark, sf):
 
 @register("m03_margin_classifier")
 def m03_margin_classifier(spark, sf):
-    return _one(spark, sf, ML.margin_classifier(), "ovr_linear_svc")
+    """The RBF margin classifier by random Fourier features, with class weights."""
+    d = ML.fourier_features(ML.prepare_vectors(P.vectors(spark, sf))).persist()
+    res = ML.fit_and_score(ML.margin_classifier(), d, "ovr_rff_svc")
+    d.unpersist()
+    return spark.createDataFrame([_row(res)], RESULT)
 
 
 @register("m04_gradient_boosting")
@@ -209,7 +213,7 @@ def m16_registry_benchmark(spark, sf):
         RG.write_json(RG.merge_new(merged, RG.entries(spark, batch)), f"{base}/{i}")
         merged = RG.read_json(spark, f"{base}/{i}")
     RG.append_log(merged.select("model_name", "task", "metrics"), f"{base}/log")
-    assert RG.load_artifact(LogisticRegressionModel, results[0]["artifact_path"]) is not None
+    assert RG.load_artifact(spark, LogisticRegressionModel, results[0]["artifact_path"]) is not None
     best = RG.best_model(merged, "vectors").select(F.col("model_name").alias("best_model"))
     table = RG.benchmark_table(merged)
     return table.join(best, F.col("model_name") == F.col("best_model"), "left").select(

@@ -8,6 +8,7 @@ the scan by Catalyst.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -27,6 +28,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+def read_positioned(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table with ``position``, the place of each row in its input (file, then row in the file).
+
+    It comes with the scan and is a value of the row: filters, splits, unions and shuffles keep it, and ordering by it
+    at the end restores the input order without a global window."""
+    df = read_table(spark, sf_dir, name)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return df.select(*(columns or df.columns), place.alias("position"))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan at least one partition per core before CPU-heavy per-row work.
 
