@@ -35,6 +35,15 @@ def x06_nearest_centroid(spark, sf):
         F.count("*").alias("n"), F.sum("point_id").alias("id_sum"))
 
 
+@register("x06_kmeans")
+def x06_kmeans(spark, sf):
+    """X6 whole: KMeans(k = 10) fitted on all points that have both coordinates, every point assigned to its centroid."""
+    pts = P.points(spark, sf).withColumn("lon", F.when(F.col("point_id") % 50 != 0, F.col("lon")))
+    centres = SC.fit_centroids(pts, k=CLUSTERS)
+    table = spark.createDataFrame([(i, *c) for i, c in enumerate(centres)], "lat_lon_cluster int, centre_lat double, centre_lon double")
+    return SC.nearest_centroid(pts, centres).groupBy("lat_lon_cluster").agg(F.count("*").alias("n")).join(table, "lat_lon_cluster")
+
+
 # --- X8: scoring feature assembly ------------------------------------------------------------------------
 _NAMES = P.ALL_NUMERIC + ["fertility_score", "soil_quality_index", "season_encoded", "lat_lon_cluster", "region_code"]
 _VALID = " AND ".join(f"coalesce({c} >= {lo}{f' AND {c} <= {hi}' if hi is not None else ''}, true)" for c, (lo, hi) in K.ROW_BOUNDS.items())
@@ -43,12 +52,22 @@ _VALID = " AND ".join(f"coalesce({c} >= {lo}{f' AND {c} <= {hi}' if hi is not No
 def _assembled_sql(view):
     return f"""SELECT {', '.join(P.ALL_NUMERIC)}, {_VALID} AS valid, (N + P + K) / 3.0 AS fertility_score,
   0.3 * N + 0.25 * P + 0.25 * K + 0.1 * organic_carbon - 0.1 * abs(ph - 6.5) AS soil_quality_index,
-  CASE lower(trim(season)) WHEN 'rabi' THEN 1 WHEN 'summer' THEN 2 ELSE 0 END AS season_encoded, 0 AS lat_lon_cluster, code AS region_code
-  FROM {view} JOIN states USING (state)"""
+  CASE lower(trim(season)) WHEN 'rabi' THEN 1 WHEN 'summer' THEN 2 ELSE 0 END AS season_encoded,
+  CASE WHEN N IS NULL OR K IS NULL THEN 0 ELSE list_min(list_transform(cs, lambda c: struct_pack(
+    d := (N / 10.0::DOUBLE - c.lat) * (N / 10.0::DOUBLE - c.lat) + (K / 10.0::DOUBLE - c.lon) * (K / 10.0::DOUBLE - c.lon), i := c.i))).i END AS lat_lon_cluster,
+  code AS region_code FROM {view} JOIN states USING (state), centroids"""
+
+
+def _placed(samples):
+    """A position for each sample, made of two measurements (the tables hold none)."""
+    return samples.withColumns({"lat": F.col("N") / FX.dlit(10), "lon": F.col("K") / FX.dlit(10)})
 
 
 @register("x08_scoring_features", with_views(f"""
 WITH states AS (SELECT state, row_number() OVER (ORDER BY state) - 1 AS code FROM (SELECT DISTINCT state FROM samples)),
+centroids AS (SELECT list(struct_pack(i := i, lat := lat, lon := lon) ORDER BY i) AS cs FROM (
+  SELECT row_number() OVER (ORDER BY band) - 1 AS i, lat, lon FROM (
+    SELECT floor(K / 21) AS band, round(avg(N / 10.0::DOUBLE), 6) AS lat, round(avg(K / 10.0::DOUBLE), 6) AS lon FROM samples GROUP BY 1))),
 fit AS (SELECT * FROM ({_assembled_sql('samples')}) WHERE valid),
 apply AS ({_assembled_sql('(SELECT * REPLACE (CASE WHEN noise = 5 THEN 500.0 ELSE moisture END AS moisture) FROM samples_dirty)')}),
 lim AS (SELECT {', '.join(f'min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c in _NAMES)} FROM fit)
@@ -56,12 +75,14 @@ SELECT count(*) AS n, count_if(valid) AS n_valid,
        {', '.join(f'round(sum(CASE WHEN valid THEN ({c} - lo_{c}) / cast(CASE WHEN hi_{c} = lo_{c} THEN 1 ELSE hi_{c} - lo_{c} END as double) END), 6) AS sum_{c}' for c in _NAMES)}
 FROM apply CROSS JOIN lim""", "samples_dirty"))
 def x08_scoring_features(spark, sf):
-    s = P.samples(spark, sf)
+    s = _placed(P.samples(spark, sf))
     states = X.label_mapping(s, "state")
-    fitted, names = SC.assemble(s, P.ALL_NUMERIC, states=states)
+    bands = s.groupBy(F.floor(F.col("K") / 21).alias("band")).agg(R6(F.avg("lat")).alias("lat"), R6(F.avg("lon")).alias("lon"))
+    centroids = [(r["lat"], r["lon"]) for r in bands.orderBy("band").collect()]   # ten bands
+    fitted, names = SC.assemble(s, P.ALL_NUMERIC, centroids, states=states)
     params = X.minmax_params(fitted, names)
-    rows = P.samples_dirty(spark, sf).withColumn("moisture", F.when(F.col("noise") == 5, FX.dlit(500)).otherwise(F.col("moisture")))
-    scored, _ = SC.assemble(rows, P.ALL_NUMERIC, states=states)
+    rows = _placed(P.samples_dirty(spark, sf)).withColumn("moisture", F.when(F.col("noise") == 5, FX.dlit(500)).otherwise(F.col("moisture")))
+    scored, _ = SC.assemble(rows, P.ALL_NUMERIC, centroids, states=states)
     return X.minmax_apply(scored, params).agg(
         F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), *[R6(F.sum(c)).alias(f"sum_{c}") for c in names])
 

@@ -34,8 +34,8 @@ def test_fourier_features_find_a_ring(spark):
     rng = np.random.default_rng(2)
     r, t = rng.uniform(0, 3, 1500), rng.uniform(0, 2 * np.pi, 1500)
     rows = [(i, [float(a * np.cos(b)), float(a * np.sin(b))], int(1 < a < 2)) for i, (a, b) in enumerate(zip(r, t))]
-    data = ML.prepare_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    data = ML.prepare_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).coalesce(1).persist()
     linear = ML.fit_and_score(ML.margin_classifier(), data, "linear")
-    kernel = ML.fit_and_score(ML.margin_classifier(), ML.fourier_features(data, gamma=1.0), "rbf")
+    kernel = ML.fit_and_score(ML.margin_classifier(), ML.fourier_features(data, m=96, gamma=1.0).coalesce(1).persist(), "rbf")
     assert kernel["test_accuracy"] > 0.9 > linear["test_accuracy"] + 0.1
     assert ML.fourier_features(data.limit(3), m=8).select(F.size(ML.vector_to_array("features")).alias("n")).first()["n"] == 8
