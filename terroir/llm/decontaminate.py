@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import quoted
+from ._arrow import fresh, quoted
 
 #: Parts of a text between words; upper-case ASCII letters belong to words and are lowered later.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -107,20 +107,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     ``n_hit`` (words inside a match); clashing columns of ``docs`` are replaced."""
     windows = windows_of(items, item_key, item_text, width).checkpoint()
     postings, chosen = build_index(docs, windows, key, text)
-    found = (candidates(postings, chosen).groupBy("id", "version")
-             .agg(F.collect_list(F.struct("item", "start", "words")).alias("_c")).withColumnsRenamed({"id": "_id", "version": "_v"}))
     own = [c for c in docs.columns if c not in ("n_words", "matches", "n_hit")]
-    rows = docs.select(*[quoted(c) for c in own], quoted(key).alias("_key"), F.xxhash64(quoted(text)).alias("_version"))
-    rows = rows.join(found, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")), "left")
-    rows = rows.withColumn("_p", _parts(quoted(text)))
-    empty = F.when(F.element_at("_p", 1) == "", 1).otherwise(0) + F.when((F.size("_p") > 1) & (F.element_at("_p", -1) == ""), 1).otherwise(0)
-    same = F.filter("_c", lambda c: F.transform(F.slice("_p", c["start"] + 1, F.size(c["words"])), _low) == c["words"])
-    lead = F.when(F.element_at("_p", 1) == "", 1).otherwise(0)
-    matches = F.when(F.col("_c").isNotNull(), F.array_sort(F.transform(same, lambda c: F.struct(
+    key_, version, id_, v, c_, p = (fresh(n, [*own, "n_words", "matches", "n_hit"]) for n in ("_key", "_version", "_id", "_v", "_c", "_p"))
+    found = (candidates(postings, chosen).groupBy("id", "version")
+             .agg(F.collect_list(F.struct("item", "start", "words")).alias(c_)).withColumnsRenamed({"id": id_, "version": v}))
+    rows = docs.select(*[quoted(c) for c in own], quoted(key).alias(key_), F.xxhash64(quoted(text)).alias(version))
+    rows = rows.join(found, F.col(key_).eqNullSafe(F.col(id_)) & (F.col(version) == F.col(v)), "left")
+    rows = rows.withColumn(p, _parts(quoted(text)))
+    empty = F.when(F.element_at(p, 1) == "", 1).otherwise(0) + F.when((F.size(p) > 1) & (F.element_at(p, -1) == ""), 1).otherwise(0)
+    same = F.filter(c_, lambda c: F.transform(F.slice(p, c["start"] + 1, F.size(c["words"])), _low) == c["words"])
+    lead = F.when(F.element_at(p, 1) == "", 1).otherwise(0)
+    matches = F.when(F.col(c_).isNotNull(), F.array_sort(F.transform(same, lambda c: F.struct(
         c["item"].alias("item"), (c["start"] - lead).alias("start"), F.size(c["words"]).alias("length")))))
     rows = rows.withColumn("matches", F.coalesce(matches, F.lit([]).cast("array<struct<item:string,start:int,length:int>>")))
     hit = F.size(F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["start"], m["start"] + m["length"] - 1)))))
-    return rows.select(*[quoted(c) for c in own], (F.size("_p") - empty).cast("long").alias("n_words"), "matches",
+    return rows.select(*[quoted(c) for c in own], (F.size(p) - empty).cast("long").alias("n_words"), "matches",
                        F.when(F.size("matches") == 0, 0).otherwise(hit).cast("long").alias("n_hit"))
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import quoted
+from ._arrow import fresh, quoted
 
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\r\f\x0b\n]*|[^.!?\n]+"
 BLANKS = " \t\r\f\x0b\n"
@@ -53,20 +53,21 @@ def sentence_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", run
     repeated = (spans.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last"))
                 .filter(~F.col("first").eqNullSafe(F.col("last"))).select("a", "b", "first"))
     later = spans.join(repeated, ["a", "b"]).filter(~at.eqNullSafe(F.col("first")))
-    covered = (later.groupBy("_key").agg(F.collect_set(F.struct("pos", "k")).alias("_runs"))
-               .select(F.col("_key").alias("_k"), F.array_distinct(F.flatten(F.transform(
-                   "_runs", lambda r: F.sequence(r["pos"], r["pos"] + r["k"] - 1)))).alias("_cover")))
-    joined = (docs.withColumn("_key", quoted(key)).join(covered, F.col("_key").eqNullSafe(F.col("_k")), "left")
-              .withColumn("_all", _sentences(quoted(text))))
-    index = F.filter(F.sequence(F.lit(0), F.size("_all") - 1), lambda i: i < F.size("_all"))
-    kept = F.transform(F.array_except(index, "_cover"), lambda i: F.get("_all", i))
-    out = joined.withColumn("_kept", F.when(F.col("_cover").isNull() | (F.size("_all") == 0), F.col("_all")).otherwise(kept))
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
+    k, key_, cover, all_, kept_ = (fresh(n, [*docs.columns, "n_sentences", "n_removed"]) for n in ("_k", "_key", "_cover", "_all", "_kept"))
+    covered = (later.groupBy("_key").agg(F.collect_set(F.struct("pos", "k")).alias("_runs"))
+               .select(F.col("_key").alias(k), F.array_distinct(F.flatten(F.transform(
+                   "_runs", lambda r: F.sequence(r["pos"], r["pos"] + r["k"] - 1)))).alias(cover)))
+    joined = (docs.withColumn(key_, quoted(key)).join(covered, F.col(key_).eqNullSafe(F.col(k)), "left")
+              .withColumn(all_, _sentences(quoted(text))))
+    index = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: i < F.size(all_))
+    kept = F.transform(F.array_except(index, cover), lambda i: F.get(all_, i))
+    out = joined.withColumn(kept_, F.when(F.col(cover).isNull() | (F.size(all_) == 0), F.col(all_)).otherwise(kept))
     none = quoted(text).isNull()
     return out.select(
-        *[F.array_join("_kept", "").alias(c) if c == text else quoted(c) for c in names],
-        F.when(none, 0).otherwise(F.size("_all")).cast("long").alias("n_sentences"),
-        F.when(none, 0).otherwise(F.size("_all") - F.size("_kept")).cast("long").alias("n_removed"))
+        *[F.array_join(kept_, "").alias(c) if c == text else quoted(c) for c in names],
+        F.when(none, 0).otherwise(F.size(all_)).cast("long").alias("n_sentences"),
+        F.when(none, 0).otherwise(F.size(all_) - F.size(kept_)).cast("long").alias("n_removed"))
 
 
 ORACLE = r"""

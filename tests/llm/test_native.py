@@ -152,6 +152,20 @@ def test_decontaminate_edges(spark):
     assert none == 0
 
 
+def test_columns_with_inner_names(spark):
+    """Columns of the input may be called as the operators' own; they come out as they were."""
+    from terroir.llm import jaccard
+
+    names = ["_id", "_k", "_key", "_v", "_version", "_c", "_p", "_all", "_kept", "_cover", "_runs", "wanted", "id", "a"]
+    docs = spark.createDataFrame([(i, LONG, *range(len(names))) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
+    for out in (sentences.sentence_dedup(docs), decontaminate.decontaminate(docs, items)):
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(len(names)))}
+    assert sorted(r.n_removed for r in sentences.sentence_dedup(docs).collect()) == [0, 3, 3]
+    assert {r.n_hit for r in decontaminate.decontaminate(docs, items).collect()} == {10}
+    assert {r.component_id for r in jaccard.jaccard_join(docs).collect()} == {0}
+
+
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "a b c d rare f g h i scarce")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b c d rare f g h i scarce"), (2, "a b c d rare f g h scarce a b c d f g h i i i")], "doc_id long, text string")
