@@ -9,13 +9,17 @@ prediction table, so they are the same code paths the oracle checks.
 
 from __future__ import annotations
 
+import math
 import time
+import uuid
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
-                                       OneVsRest, RandomForestClassifier)
+                                       OneVsRest, RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -24,8 +28,19 @@ from pyspark.sql import functions as F
 
 from . import evaluate as EV
 from . import transform as X
+from ..session import shared_path
 from .scan import ranked
 
+#: Nodes of a part of a forest (about 1 KB each on the driver, that holds PARTS_AT_ONCE parts while they are fitted).
+PART_NODES = 100_000
+PARTS_AT_ONCE = 4
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
 
 def prepare_vectors(df: DataFrame, id_col: str = "vec_id", label: str = "label", emb: str = "embedding") -> DataFrame:
     """Features vector + label double + stratified split + balanced weights."""
@@ -53,8 +68,9 @@ def fit_and_score(estimator, data: DataFrame, name: str) -> dict:
     model = estimator.fit(train)
     secs = time.perf_counter() - t0
     out = {"model": name, "train_seconds": secs}
+    scored = model.transform(data.filter(F.col("split").isin("val", "test")))
     for part in ("val", "test"):
-        m = evaluate_predictions(model.transform(data.filter(F.col("split") == part)))
+        m = evaluate_predictions(scored.filter(F.col("split") == part))
         out.update({f"{part}_{k}": v for k, v in m.items()})
     out["_model"] = model
     return out
@@ -75,6 +91,50 @@ def random_forest(num_trees: int = 300, max_depth: int = 20, weighted: bool = Tr
     return RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=42, **_weight(weighted))
 
 
+class StoredForest:
+    """M2: a forest stored in parts of some of its trees; the driver reads one part at a time."""
+
+    def __init__(self, parts: list[str]):
+        self.parts = parts
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``rawPrediction``, ``probability`` and ``prediction`` from the votes of all parts."""
+        out = df.withColumn("_votes", F.lit(None).cast("array<double>"))
+        for path in self.parts:
+            raw = vector_to_array("rawPrediction")
+            votes = F.when(F.col("_votes").isNull(), raw).otherwise(F.zip_with("_votes", raw, lambda a, b: a + b))
+            out = _stored(RandomForestClassificationModel.load(path).transform(out).select(*df.columns, votes.alias("_votes")), "forest-votes")
+        total = F.aggregate("_votes", F.lit(0.0), lambda t, v: t + v)
+        return (out.withColumn("rawPrediction", array_to_vector("_votes"))
+                .withColumn("probability", array_to_vector(F.transform("_votes", lambda v: v / F.when(total > 0, total).otherwise(1.0))))
+                .withColumn("prediction", (F.array_position("_votes", F.array_max("_votes")) - 1).cast("double")).drop("_votes"))
+
+
+class ForestInParts:
+    """M2: ``estimator``'s trees fitted some at a time and stored, so that the driver never holds a large forest whole.
+
+    A tree of n training rows has less than 2 n nodes, and at most 2^(depth + 1); parts have about ``part_nodes``.  Part i
+    draws with the estimator's seed + i.  Parts are fitted side by side: a fit over few partitions leaves cores idle."""
+
+    def __init__(self, estimator: RandomForestClassifier, path: str | None = None, part_nodes: int = PART_NODES):
+        self.estimator, self.path, self.part_nodes = estimator, path, part_nodes
+
+    def fit(self, train: DataFrame) -> StoredForest:
+        spark, e = train.sparkSession, self.estimator
+        path = self.path or shared_path(spark, f"forest-{uuid.uuid4().hex}")
+        nodes = max(1, min(2 * train.count(), 2 ** (e.getMaxDepth() + 1)))
+        n = math.ceil(e.getNumTrees() / max(1, self.part_nodes // nodes))
+        sizes = [e.getNumTrees() // n + (i < e.getNumTrees() % n) for i in range(n)]
+
+        def fit_part(i: int) -> str:
+            part = e.copy({e.numTrees: sizes[i], e.seed: e.getSeed() + i})
+            part.fit(train).write().overwrite().save(f"{path}/part-{i:05d}")
+            return f"{path}/part-{i:05d}"
+
+        with ThreadPool(min(n, PARTS_AT_ONCE)) as pool:
+            return StoredForest(pool.map(inheritable_thread_target(spark)(fit_part), range(n), 1))
+
+
 def margin_classifier(weighted: bool = True):
     """M3: one-vs-rest linear SVM with class weights; over ``fourier_features`` it is the RBF margin classifier."""
     return OneVsRest(classifier=LinearSVC(maxIter=100, regParam=0.001), parallelism=4, **_weight(weighted))
@@ -133,7 +193,7 @@ def stacking(data: DataFrame, id_col: str = "vec_id", k: int = 5) -> DataFrame:
     rows for val/test.  Returns the meta model's predictions for every split.
     """
     train = data.filter(F.col("split") == "train")
-    folded = X.stratified_folds(train, "label", id_col, k=k)
+    folded = _stored(X.stratified_folds(train, "label", id_col, k=k), "folds")   # each fold is read by every base model
     bases = {"lr": lambda: LogisticRegression(family="multinomial", maxIter=100),
              "rf": lambda: RandomForestClassifier(numTrees=50, maxDepth=10, seed=42)}
 
@@ -153,7 +213,7 @@ def stacking(data: DataFrame, id_col: str = "vec_id", k: int = 5) -> DataFrame:
         col = col.unionByName(full)
         oof = col if oof is None else oof.join(col, id_col)
     meta_in = data.select(id_col, "label", "split").join(oof, id_col)
-    meta_in = meta_in.withColumn("features", array_to_vector(F.concat("lr", "rf")))
+    meta_in = _stored(meta_in.withColumn("features", array_to_vector(F.concat("lr", "rf"))), "meta")   # all base models score once
     meta = LogisticRegression(family="multinomial", maxIter=100).fit(meta_in.filter(F.col("split") == "train"))
     return meta.transform(meta_in)
 

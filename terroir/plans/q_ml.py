@@ -47,7 +47,7 @@ def m01_logistic_regression(spark, sf):
 
 @register("m02_random_forest")
 def m02_random_forest(spark, sf):
-    return _one(spark, sf, ML.random_forest(), "random_forest")
+    return _one(spark, sf, ML.ForestInParts(ML.random_forest()), "random_forest")
 
 
 @register("m03_margin_classifier")
@@ -92,7 +92,7 @@ def m06_grid_search_cv(spark, sf):
 def m07_baselines(spark, sf):
     d = _data(spark, sf)
     rows = [_row(ML.fit_and_score(est, d, name)) for name, est in
-            (("logistic_regression", ML.logistic_regression()), ("random_forest", ML.random_forest(100, 15)),
+            (("logistic_regression", ML.logistic_regression()), ("random_forest", ML.ForestInParts(ML.random_forest(100, 15))),
              ("ovr_linear_svc", ML.margin_classifier()))]
     d.unpersist()
     return spark.createDataFrame(rows, RESULT)
@@ -199,10 +199,13 @@ def m16_registry_benchmark(spark, sf):
     d = _data(spark, sf)
     ts = _dt.datetime(2024, 1, 1).isoformat()
     results = []
-    for name, est in (("logistic_regression", ML.logistic_regression()), ("random_forest", ML.random_forest(100, 15))):
+    forest_path = shared_path(spark, f"terroir-artifacts/random_forest-{uuid.uuid4().hex}")   # fitted in parts straight into its artifact
+    for name, est in (("logistic_regression", ML.logistic_regression()), ("random_forest", ML.ForestInParts(ML.random_forest(100, 15), forest_path))):
         r = ML.fit_and_score(est, d, name)
-        path = shared_path(spark, f"terroir-artifacts/{name}")
-        RG.save_artifact(r["_model"], path)
+        path = forest_path
+        if not isinstance(r["_model"], ML.StoredForest):
+            path = shared_path(spark, f"terroir-artifacts/{name}")
+            RG.save_artifact(r["_model"], path)
         results.append({"model_name": name, "task": "vectors", "training_timestamp": ts, "artifact_path": path,
                         "metrics": {k: v for k, v in r.items() if not k.startswith("_") and k != "model"}})
     d.unpersist()
