@@ -32,8 +32,9 @@ def s01_csv_source(spark, sf):
     bad = s.filter("noise = 3").select(F.explode(F.array(
         F.concat_ws(",", "sample_id", F.lit("many"), *[F.lit("1.5")] * (len(schema) - 2)), F.concat_ws(",", "sample_id", F.lit("1.5")),
         F.concat_ws(",", "sample_id", *[F.lit("1")] * (len(schema) + 3)))).alias("value"))
-    header = spark.range(1).select(F.lit(",".join(schema.names)).alias("value"))
-    header.unionByName(bad).coalesce(1).write.mode("append").text(path)
+    # one column named like the whole header line: every task writes its own file, header first, lines as they are
+    bad.toDF(",".join(schema.names)).write.mode("append").options(header=True, sep="\u0001", quote="", ignoreLeadingWhiteSpace=False,
+                                                                  ignoreTrailingWhiteSpace=False).csv(path)
     rows, quarantine = TX.read_csv(spark, path, schema)
     good = rows.agg(F.lit("rows").alias("part"), F.count(F.lit(1)).alias("n"), F.countDistinct("sample_id").alias("ids"), F.round(F.sum("N"), 4).alias("sum_n"),
                     F.round(F.sum("rainfall"), 4).alias("sum_rainfall"))
