@@ -20,14 +20,24 @@ Infinities are the first and last ranks and take no part in the intervals.  The
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_path
+
 BUCKETS = 1024
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` in the shared folder: the passes read the values, not the plan that makes them."""
+    path = shared_path(df.sparkSession, f"quantiles-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _stats(long: DataFrame, keys):
     """Per key: rows, rows at either infinity, and the range of the finite values."""
     v = F.col("v")
@@ -106,7 +116,7 @@ def values_at_ranks(df: DataFrame, value_col: str, group_cols, ranks_of_count):
     2**53 are exact).  Used for exact stratified splits without a per-class window.
     """
     group_cols = list(group_cols)
-    long = df.select(*group_cols, F.col(value_col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    long = _stored(df.select(*group_cols, F.col(value_col).cast("double").alias("v")).filter(F.col("v").isNotNull()))
     stats = _stats(long, group_cols)
     wanted = {tuple(r[k] for k in group_cols): set(ranks_of_count(r["n"])) for r in stats}
     counts = {tuple(r[k] for k in group_cols): r["n"] for r in stats}
@@ -134,7 +144,7 @@ def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), method: str = "ex
                     res[(g, c, q)] = v
         return res
 
-    long = _long_form(df, cols, group_cols)
+    long = _long_form(_stored(df.select(*dict.fromkeys([*group_cols, *cols]))), cols, group_cols)
     keys = group_cols + ["cid"]
     stats = _stats(long, keys)
     wanted = {}

@@ -50,12 +50,14 @@ def stratified_split(df: DataFrame, target: str | None, id_col: str, shares=K.SP
     fewer than 10 labelled rows.
     """
     keyed = df.withColumn("_h", hash_key(id_col, seed))
+    ranks = lambda n: [c for c in _cuts(n, shares) if c < n]
     stratify = False
     if target and target in df.columns:
-        st = df.agg(F.count_distinct(target).alias("k"), F.count(target).alias("n")).collect()[0]
-        stratify = st["k"] > 1 and st["n"] >= 10
-    groups = [target] if stratify else []
-    found, counts = values_at_ranks(keyed, "_h", groups, lambda n: [c for c in _cuts(n, shares) if c < n])
+        found, counts = values_at_ranks(keyed, "_h", [target], ranks)     # a hash is never null: every row counts
+        labelled = [n for (label,), n in counts.items() if label is not None]
+        stratify = len(labelled) > 1 and sum(labelled) >= 10
+    if not stratify:
+        found, counts = values_at_ranks(keyed, "_h", [], ranks)
     rows = []
     for g, n in counts.items():
         cuts = [found.get((g, c)) if c < n else None for c in _cuts(n, shares)]
