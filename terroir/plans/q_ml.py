@@ -246,6 +246,7 @@ def _samples_lr(spark, sf):
     """Crop classifier on the soil samples (7 features, 22 classes) - the reference's main task."""
     from .common import samples_split
     s = ML.prepare_columns(samples_split(spark, sf), P.FEATURES, "crop_code", "sample_id")
+    s = ML._stored(s.select("label", "features", "split"), "samples-lr")   # weights, fit and metrics read these rows
     s = EV.balanced_weights(s, "label")
     return ML.fit_and_score(ML.logistic_regression(maxIter=50), s, "samples_lr")
 
