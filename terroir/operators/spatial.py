@@ -287,33 +287,36 @@ def _count_in(tags: Column, values) -> Column:
     return F.size(F.filter(tags, lambda t: t.isin(*values)))
 
 
+def adjust_crop(c: Column | dict[str, Column], tags: Column, district: Column) -> Column:
+    """R6 of one crop (``crop, suitability_score, advantages, risks``): +-5 per matched tag (clamp 10-99), district zone +-10, appended texts.
+
+    The crop's tags and the zone's crops are looked up, so an expression occurs once however many crops have tags."""
+    strings = lambda values: F.array(*[F.lit(v) for v in values])
+    none = F.array().cast("array<string>")
+    mods = F.create_map(*[x for crop, (bon, pen, btxt, ptxt) in K.CROP_TAG_MODIFIERS.items() for x in (
+        F.lit(crop), F.struct(strings(bon).alias("bon"), strings(pen).alias("pen"), strings([btxt]).alias("btxt"), strings([ptxt]).alias("ptxt")))])
+    zones = F.create_map(*[x for d, v in K.DISTRICT_PROFILES.items() if v[0] in K.ZONE_MODIFIERS for x in (F.lit(d), F.struct(
+        *[strings(crops).alias(n) for n, crops in zip(("bon", "pen"), K.ZONE_MODIFIERS[v[0]])],
+        *[strings([K.SPATIAL_TEXT[t].replace("{zone}", v[0])]).alias(n) for n, t in (("btxt", "zone_bonus"), ("ptxt", "zone_penalty"))]))])
+    name = F.lower(c["crop"])
+    mod, zone = mods[name], zones[district]
+
+    def hits(values: Column) -> Column:      # a tag present twice counts twice
+        return F.coalesce(F.size(F.filter(tags, lambda t: F.array_contains(values, t))), F.lit(0))
+
+    nb, np_ = F.when(mod.isNotNull(), hits(mod["bon"])).otherwise(0), F.when(mod.isNotNull(), hits(mod["pen"])).otherwise(0)
+    zb, zp = (F.coalesce(F.array_contains(zone[n], name), F.lit(False)) for n in ("bon", "pen"))
+    score = F.when(mod.isNotNull(), F.greatest(F.lit(10), F.least(F.lit(99), c["suitability_score"] + nb * 5 - np_ * 5))).otherwise(c["suitability_score"])
+    score = F.when(zb, F.least(F.lit(99), score + 10)).otherwise(score)
+    score = F.when(zp, F.greatest(F.lit(10), score - 10)).otherwise(score)
+    adv = F.concat(c["advantages"], F.when(nb > 0, mod["btxt"]).otherwise(none), F.when(zb, zone["btxt"]).otherwise(none))
+    risk = F.concat(c["risks"], F.when(np_ > 0, mod["ptxt"]).otherwise(none), F.when(zp, zone["ptxt"]).otherwise(none))
+    return F.struct(c["crop"].alias("crop"), score.alias("suitability_score"), adv.alias("advantages"), risk.alias("risks"))
+
+
 def adjust_top_crops(top: Column, tags: Column, district: Column) -> Column:
-    """Per top crop, +-5 per matched tag (clamp 10-99), district zone +-10, appended texts."""
-    prof = {d: v for d, v in K.DISTRICT_PROFILES.items()}
-    zone = F.coalesce(F.create_map(*[x for d, v in prof.items() for x in (F.lit(d), F.lit(v[0]))])[district], F.lit(""))
-
-    def one(c: Column) -> Column:
-        name = F.lower(c["crop"])
-        score = c["suitability_score"]
-        adv, risk = c["advantages"], c["risks"]
-        for crop, (bon, pen, btxt, ptxt) in K.CROP_TAG_MODIFIERS.items():
-            hit = name == crop
-            nb, np_ = _count_in(tags, bon), _count_in(tags, pen)
-            score = F.when(hit, F.greatest(F.lit(10), F.least(F.lit(99), score + nb * 5 - np_ * 5))).otherwise(score)
-            adv = F.when(hit & (nb > 0), F.concat(adv, F.array(F.lit(btxt)))).otherwise(adv)
-            risk = F.when(hit & (np_ > 0), F.concat(risk, F.array(F.lit(ptxt)))).otherwise(risk)
-        for z, (bon, pen) in K.ZONE_MODIFIERS.items():
-            in_zone = zone == z
-            b = in_zone & name.isin(*bon)
-            p = in_zone & name.isin(*pen)
-            score = F.when(b, F.least(F.lit(99), score + 10)).otherwise(score)
-            adv = F.when(b, F.concat(adv, F.array(F.lit(K.SPATIAL_TEXT["zone_bonus"].replace("{zone}", z))))).otherwise(adv)
-            score = F.when(p, F.greatest(F.lit(10), score - 10)).otherwise(score)
-            risk = F.when(p, F.concat(risk, F.array(F.lit(K.SPATIAL_TEXT["zone_penalty"].replace("{zone}", z))))).otherwise(risk)
-        return F.struct(c["crop"].alias("crop"), score.alias("suitability_score"), adv.alias("advantages"),
-                        risk.alias("risks"))
-
-    return F.transform(top, one)
+    """R6 of each top crop."""
+    return F.transform(top, lambda c: adjust_crop(c, tags, district))
 
 
 def region_intelligence(state: Column, district: Column, taluk: Column, agro_zone: Column, irrigation: Column) -> Column:

@@ -196,21 +196,15 @@ def r07_region_intelligence(spark, sf):
 
 
 def r06_spatial_adjustment_df(spark, sf):
-    from .q_rules import _with_ranked
-    d = _with_ranked(spark, sf)
-    d = d.withColumns({f"_p{i}": RU.profile_at(F.col("_top")[i]["o"]) for i in range(3)})
+    from .q_rules import _requests
+    d = RU.with_ranked(_requests(spark, sf))
     tags = SP.spatial_tags(F.col("region_zone"), F.col("agro_climatic_zone"), F.col("irrigation_type"),
                            F.col("soil_texture"), F.col("seasonal_context"))
-
-    def with_texts(i):
-        t = RU.texts(F.col(f"_p{i}"))
-        x = F.col("_top")[i]
-        return F.struct(x["crop"].alias("crop"), x["score"].alias("suitability_score"),
-                        t["advantages"].alias("advantages"), t["risks"].alias("risks"))
-
-    d = d.withColumn("_top3", F.array(*[with_texts(i) for i in range(3)]))
-    adj = SP.adjust_top_crops(F.col("_top3"), tags, F.col("district"))
-    return d.select("sample_id", "district", F.explode(adj).alias("c")).select("sample_id", "district", "c.*")
+    d = d.withColumn("_tags", tags).select("*", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("_i"))
+    d = d.withColumn("_x", F.col("_top")[F.col("_i")]).withColumn("_p", RU.profile_at(F.col("_x.o")))
+    t = RU.texts(F.col("_p"))
+    c = {"crop": F.col("_x.crop"), "suitability_score": F.col("_x.score"), "advantages": t["advantages"], "risks": t["risks"]}
+    return d.select("sample_id", "district", SP.adjust_crop(c, F.col("_tags"), F.col("district")).alias("c")).select("sample_id", "district", "c.*")
 
 
 @register("r06_spatial_adjustment")
