@@ -8,7 +8,7 @@ one and in many micro-batches.
 * Z1, Z2, Z3 are one kind of state machine (``InTimeOrder``, transformWithState): rows of a key wait in a list state until the
   watermark has passed them - an event-time timer wakes the key - and are then taken in time order.  So results do not depend on
   how the rows were dealt to micro-batches or shuffled within the watermark's delay.  Z1 keeps the field's last 10 entries (list
-  state), Z2 the observation kept for a cell until its TTL ends, Z3 the cell's latest observation for the requests.
+  state), Z2 the observation kept for a cell until its TTL ends, Z3 the latest observation of a cell for the requests, in parts of 12 TTLs.
 * Z4 request metrics per 5-minute window (tumbling) and 10-minute window sliding by 5, on Z3's output (hits of the cache).
 * Z5 field work sessions: ``session_window`` with a 30-minute gap.
 * Z6 incremental validation: good rows and quarantine, exactly once (``EpochSink``).
@@ -21,8 +21,9 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from operator import itemgetter
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -113,10 +114,15 @@ class InTimeOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        new = [tuple(row[n] for n in self.row_schema.names) for row in rows if row.ts_us > passed]
+        new, first, take = [], None, None
+        for row in rows:
+            take = take or itemgetter(*[row.__fields__.index(n) for n in self.row_schema.names])
+            if row.ts_us > passed:
+                new.append(take(row))
+                first = row.ts_us if first is None else min(first, row.ts_us)
         if new:
             self.waiting.appendList(new)
-            self._wake(min(n[self.row_schema.names.index("ts_us")] for n in new))
+            self._wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -136,7 +142,7 @@ class InTimeOrder(StatefulProcessor):
         pass
 
 
-def _in_time_order(rows: DataFrame, key: str, machine: InTimeOrder, out: T.StructType) -> DataFrame:
+def _in_time_order(rows: DataFrame, key: str | list[str], machine: InTimeOrder, out: T.StructType) -> DataFrame:
     """The state lives in RocksDB: transformWithState has no other store."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return rows.groupBy(key).transformWithState(machine, out, "Append", "EventTime", eventTimeColumnName="ts")
@@ -266,20 +272,42 @@ class LatestObservation(InTimeOrder):
         return ends + 1000
 
 
+#: Length of a part of a cell's time, in TTLs.
+PART_TTLS = 12
+
+
+def _in_parts(rows: DataFrame, ttl_us: int) -> DataFrame:
+    """``rows`` with the ``part`` (its start) of their time; observations of a part's last TTL are in the next part, too.
+
+    A request meets only observations of its own part then, so a key holds the rows of a short time, however many come in a
+    micro-batch, and few cells make many keys."""
+    span = F.lit(PART_TTLS * ttl_us).cast("long")
+    at = F.pmod("ts_us", span)
+    own = F.col("ts_us") - at
+    both = ~F.col("is_request") & (at >= span - F.lit(ttl_us))
+    return rows.select("*", F.explode(F.when(both, F.array(own, own + span)).otherwise(F.array(own))).alias("part"))
+
+
 def weather_join_stream(events: DataFrame, ttl_us: int = TO.TTL_US) -> DataFrame:
     """Z3: every request once, with its cell's latest observation or none; twin of J12."""
     out = T.StructType([T.StructField("req_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("cell", T.StringType()),
                         T.StructField("is_error", T.BooleanType()), T.StructField("latency_ms", T.DoubleType()), T.StructField("predicted_crop", T.StringType()),
                         T.StructField("obs_id", T.LongType())])
-    return _in_time_order(_located(events, "view", "purchase", "error"), "cell", LatestObservation(ttl_us), out)
+    return _in_time_order(_in_parts(_located(events, "view", "purchase", "error"), ttl_us), ["cell", "part"], LatestObservation(ttl_us), out)
 
 
 # --- Z4 / Z5 --------------------------------------------------------------------------------------
+def _mean(c: str) -> Column:
+    """The mean from an exact decimal sum (12 places), so that it does not depend on the order of the rows; of numbers beyond 1e16 or NaN, ``avg``."""
+    exact = F.col(c).try_cast("decimal(28,12)")
+    return F.when(F.count(exact) < F.count(c), F.avg(c)).otherwise(F.sum(exact).cast("double") / F.nullif(F.count(c), F.lit(0)))
+
+
 def metrics(served: DataFrame, sliding: bool = False) -> DataFrame:
     """Z4 on served requests, batch or stream: counts, error rate, mean latency, cache-hit ratio and counts per predicted class."""
     win = F.window("ts", "10 minutes", "5 minutes") if sliding else F.window("ts", "5 minutes")
     counts = [F.count_if((F.col("predicted_crop") == c) & ~F.col("is_error")).alias(f"n{i}") for i, c in enumerate(K.CROP_CLASSES)]
-    g = served.groupBy(win.alias("w")).agg(F.count(F.lit(1)).alias("requests"), F.count_if("is_error").alias("errors"), F.avg("latency_ms").alias("mean_latency"),
+    g = served.groupBy(win.alias("w")).agg(F.count(F.lit(1)).alias("requests"), F.count_if("is_error").alias("errors"), _mean("latency_ms").alias("mean_latency"),
                                            F.count("obs_id").alias("hits"), *counts)
     pairs = F.array(*[F.struct(F.lit(c).alias("crop"), F.col(f"n{i}").alias("n")) for i, c in enumerate(K.CROP_CLASSES)])
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "requests", "errors",
