@@ -168,11 +168,12 @@ class History(InTimeOrder):
         self.history = handle.getListState("history", ENTRY)
 
     def step(self, key, rows):
-        last = [tuple(r) for r in self.history.get()] if self.history.exists() else []
+        entry, reading = Row(*ENTRY.names), Row("field_id", "event_id", "ts", "history")
+        last = [entry(*r) for r in self.history.get()] if self.history.exists() else []
         for row in rows:
-            last = [*last, tuple(row[n] for n in ENTRY.names)][-K.HISTORY_CAPACITY:]
-            yield Row(field_id=key[0], event_id=row.event_id, ts=row.ts, history=[Row(*ENTRY.names)(*e) for e in last])
-        self.history.put(last)
+            last = [*last[1 - K.HISTORY_CAPACITY:], entry(*row[:len(ENTRY.names)])]     # a row begins with its entry
+            yield reading(key[0], row.event_id, row.ts, last)
+        self.history.put([tuple(e) for e in last])
 
 
 def session_memory_stream(events: DataFrame) -> DataFrame:
