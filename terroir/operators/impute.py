@@ -7,12 +7,14 @@ have it.  Ties go to the smaller id.
 1. A k-d tree is fitted to a bounded hash sample of the donors (``sample_rows``): each split halves the column
    that spreads widest there, so dense regions and heavy values get many small cells.  Its leaves number about
    rows / ``leaf_rows``, at most ``max_cells``: the proven bound of what is sent to the tasks.
-2. Donors are dealt to cells (leaf, columns that they lack); of donors at one point only the k with the smallest
+2. Donors are dealt to cells (columns that they lack, leaf); of donors at one point only the k with the smallest
    ids can count, which bounds the cell of a value that a third of all rows hold.  Cells get their true bounding
-   boxes and counts from all donors and are packed into rows of at most about ``PACK`` donors.
-3. Recipients at one point are one recipient.  In rounds of 4, 16, 64, 256, 256, ... cells each visits its next cells by
+   boxes from all donors.
+3. Recipients at one point are one recipient.  In rounds of 1, 16, 64, 256, 256, ... cells each visits its next cells by
    lower bound of the distance, and keeps the k best; it is done when the next bound exceeds its k-th distance.  Only
    recipients that are not done take part in a round, and a round's state is stored, so lineage stays short.
+4. A cell's donors meet its visitors in groups of about ``VISITORS``.  There the donors are halved again into boxes of at most
+   ``BOX``, which each visitor sees by lower bound until the next one exceeds its k-th distance.
 
 The tree only steers the search: any tree gives the same result.  A recipient with fewer than ``k`` donors in reach (at
 least one shared column) takes those there are; without any, the column's mean; a column without values stays null.
@@ -20,20 +22,29 @@ least one shared column) takes those there are; without any, the column's mean;
 
 from __future__ import annotations
 
+import heapq
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from ..session import shared_path
 from .windows import top_k_per_group
 
-#: Donors of a cell that one row holds.
-PACK = 256
-ROUNDS = (4, 16, 64, 256)
+#: Visits of a cell that one task takes at a time.
+VISITORS = 4096
+#: Donors of a box inside a cell, and boxes that a visitor sees by step: the nearest one first, then ever more of them at once.
+BOX = 64
+STEPS = (1, 4, 16, 64, 256)
+#: Visitors whose bounds and distances are in memory at a time.
+AT_ONCE = 256
+ROUNDS = (1, 16, 64, 256)
+#: A cell's number: the columns that its donors lack, then its leaf in so many bits.  Complete donors come first among equal bounds.
+LEAF_BITS = 32
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -51,10 +62,9 @@ def _fit_tree(points: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray,
     """``(column, cut, child)`` of each node of a k-d tree: below the cut (and missing) goes to ``child``, the rest to
     ``child + 1``; a leaf has column -1 and its number as child."""
     column, cut, child = [-1], [0.0], [0]
-    todo, n_leaves = [(0, points)], 1
+    todo, n_leaves = [(-len(points), 0, points)], 1
     while todo and n_leaves < leaves:
-        todo.sort(key=lambda t: len(t[1]))          # the fullest leaf first
-        node, rows = todo.pop()
+        _, node, rows = heapq.heappop(todo)          # the fullest leaf first
         spread = [_spread(x[~np.isnan(x)]) for x in rows.T]
         for j in sorted(range(rows.shape[1]), key=lambda j: spread[j], reverse=True):
             values = rows[:, j][~np.isnan(rows[:, j])]
@@ -64,7 +74,8 @@ def _fit_tree(points: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray,
             at = values[values > at].min() if at == values.min() else at
             low = ~(rows[:, j] >= at)
             column[node], cut[node], child[node] = j, at, len(column)
-            todo += [(len(column), rows[low]), (len(column) + 1, rows[~low])]
+            for at, part in enumerate((rows[low], rows[~low]), len(column)):
+                heapq.heappush(todo, (-len(part), at, part))
             column += [-1, -1]
             cut += [0.0, 0.0]
             child += [0, 0]
@@ -100,7 +111,7 @@ def _with_cells(donors: DataFrame, others: list[str], tree) -> DataFrame:
         for batch in batches:
             points = _numbers(batch, 0, n)
             lacks = np.isnan(points) @ (1 << np.arange(n))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((_leaf_of(shared.value, points) << n) + lacks, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((lacks << LEAF_BITS) + _leaf_of(shared.value, points), pa.int64())], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -111,11 +122,11 @@ def _boxes(cells: list, others: list[str], columns: int) -> dict:
     number = np.array([c["cell"] for c in cells], np.int64)
     low = np.array([[np.nan if c[f"lo_{o}"] is None else c[f"lo_{o}"] for o in others] for c in cells], float).reshape(len(cells), -1)
     high = np.array([[np.nan if c[f"hi_{o}"] is None else c[f"hi_{o}"] for o in others] for c in cells], float).reshape(len(cells), -1)
-    order = np.lexsort((number >> len(others), number & ((1 << len(others)) - 1)))   # by pattern, then leaf: neighbours stay together
+    order = np.argsort(number)   # by pattern, then leaf: neighbours stay together
     number, low, high = number[order], low[order], high[order]
     width = max(1, int(np.sqrt(len(number))))
     starts = np.arange(0, len(number), width)
-    pattern = number & ((1 << len(others)) - 1)
+    pattern = number >> LEAF_BITS
     starts = np.unique(np.concatenate([starts, np.flatnonzero(np.diff(pattern)) + 1]))  # a group has one pattern
     return {"number": number, "low": low, "high": high, "starts": np.append(starts, len(number)), "columns": columns,
             "group_low": np.minimum.reduceat(low, starts, axis=0), "group_high": np.maximum.reduceat(high, starts, axis=0)}
@@ -130,17 +141,19 @@ def _bounds(x: np.ndarray, low: np.ndarray, high: np.ndarray, columns: int) -> n
 
 
 def _next_cells(state: DataFrame, others: list[str], shared, most: int) -> DataFrame:
-    """``(rid, cell, at_bound, at_cell)``: the next ``most`` cells of each recipient by (bound, cell), within its reach, and the last of them."""
+    """``(rid, others, reach, cell, at_bound, at_cell, more)``: the next ``most`` cells of each recipient by (bound, cell), within its reach, the last
+    of them, and whether there are more."""
     n = len(others)
     source = state.select("rid", *others, "reach", "at_bound", "at_cell")
-    schema = state.select("rid").schema.add("cell", LongType()).add("at_bound", DoubleType()).add("at_cell", LongType())
+    schema = (state.select("rid", *others, "reach").schema.add("cell", LongType()).add("at_bound", DoubleType()).add("at_cell", LongType())
+              .add("more", BooleanType()))
 
     def run(batches):
         b = shared.value
         for batch in batches:
             points = _numbers(batch, 1, n)
             reach, at_bound, at_cell = (np.asarray(batch.column(n + 1 + j)) for j in range(3))
-            rows, cells, bounds, ends = [], [], [], []
+            rows, cells, bounds, ends, more = [], [], [], [], []
             for i, x in enumerate(points):
                 most_far = reach[i] * (1 + 1e-12)      # rounding of a bound must not hide a tie
                 groups = np.flatnonzero(_bounds(x, b["group_low"], b["group_high"], b["columns"]) <= most_far)
@@ -155,44 +168,141 @@ def _next_cells(state: DataFrame, others: list[str], shared, most: int) -> DataF
                 cells.append(b["number"][places[first]])
                 bounds.append(np.full(len(first), d[first[-1]]))
                 ends.append(np.full(len(first), cells[-1][-1]))
+                more.append(np.full(len(first), len(places) > most))
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), *[pa.array(np.concatenate(c)) for c in (cells, bounds, ends)]],
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([batch.column(j).take(at) for j in range(n + 2)] + [pa.array(np.concatenate(c)) for c in (cells, bounds, ends, more)],
                                                  names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def squared_distance(a: dict[str, Column], b: dict[str, Column], others: list[str], columns: int) -> Column:
-    """NaN-aware squared distance; null without a shared column."""
-    parts = [(a[c] - b[c]) * (a[c] - b[c]) for c in others]
-    shared = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))
-    total = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
-    return F.when(shared > 0, F.lit(float(columns)) / shared * total)
-
-
-def _search(recipients: DataFrame, packs: DataFrame, cells: list, others: list[str], k: int, columns: int) -> DataFrame:
-    """``(rid, best)``: the k nearest donors ``(d, id, v)`` of each recipient."""
+class _Boxes:
+    """The donors of a cell in boxes of at most ``BOX``, each a row of (columns, boxes, BOX) padded with -1 in ``donor``."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        order, starts, todo = np.arange(len(points)), [], [(0, len(points))]
+        while todo:
+            i, j = todo.pop()
+            rows = points[order[i:j]]
+            if j - i > BOX:
+                column = rows[:, np.argmax(np.ptp(rows, axis=0))]
+                order[i:j] = order[i:j][np.argpartition(column, (j - i) // 2)]
+                todo += [(i + (j - i) // 2, j), (i, i + (j - i) // 2)]
+            else:
+                starts.append(i)
+        sizes = np.diff(np.append(starts, len(points)))
+        place = np.arange(sizes.max())
+        self.donor = np.where(place < sizes[:, None], order[np.minimum(np.array(starts)[:, None] + place, len(points) - 1)], -1)
+        # the padding repeats a donor of the box, so that it changes no bounds
+        self.points = points[np.where(self.donor < 0, self.donor[:, :1], self.donor)].transpose(2, 0, 1).copy()
+        self.low, self.high = self.points.min(2), self.points.max(2)
+
+    def nearest(self, x: np.ndarray, reach: np.ndarray, rank: np.ndarray, k: int, weight: float):
+        """``(visitor, distance, donor)`` of the k donors within ``reach`` that are nearest to each row of ``x``, by (distance, rank)."""
+        bound = np.zeros((len(x), len(self.donor)))
+        for j in range(x.shape[1]):
+            off = np.maximum(np.maximum(self.low[j] - x[:, j, None], x[:, j, None] - self.high[j]), 0.0)
+            bound += off * off
+        bound *= weight
+        order = np.argsort(bound, axis=1)
+        bound = np.take_along_axis(bound, order, 1)
+        reach = reach.copy()
+        visitor, distance, donor = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        at, step = 0, 0
+        while at < order.shape[1]:
+            to = at + STEPS[min(step, len(STEPS) - 1)]
+            i, l = np.nonzero(bound[:, at:to] <= reach[:, None] * (1 + 1e-12))     # rounding of a bound must not hide a tie
+            if not len(i):
+                break
+            box = order[i, at + l]
+            total = np.zeros((len(i), self.donor.shape[1]))
+            for j in range(x.shape[1]):        # in the order of the columns, as the distance is defined
+                off = self.points[j][box]
+                off -= x[i, j, None]
+                off *= off
+                total += off
+            total *= weight
+            p, c = np.nonzero((total <= reach[i, None]) & (self.donor[box] >= 0))
+            visitor = np.concatenate([visitor, i[p]])
+            distance = np.concatenate([distance, total[p, c]])
+            donor = np.concatenate([donor, self.donor[box[p], c]])
+            by = np.lexsort((rank[donor], distance, visitor))
+            first = np.searchsorted(visitor[by], np.arange(len(x)))
+            place = np.arange(len(by)) - first[visitor[by]]
+            last = by[place == k - 1]
+            reach[visitor[last]] = distance[last]
+            by = by[place < k]
+            visitor, distance, donor = visitor[by], distance[by], donor[by]
+            at, step = to, step + 1
+        return visitor, distance, donor
+
+
+def _near(visits: DataFrame, donors: DataFrame, others: list[str], k: int, columns: int) -> DataFrame:
+    """``(rid, near)``: for each visit that meets donors within reach, the k nearest ``(d, id, v)`` of the cell."""
+    n = len(others)
+    chunks = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("long").alias("chunks"))       # at most max_cells x patterns rows
+    asked = visits.join(F.broadcast(chunks), "cell").select("cell", F.pmod(F.xxhash64("rid"), F.col("chunks")).alias("chunk"), "rid", "reach", *others)
+    held = donors.join(F.broadcast(chunks), "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "id", "v", *others)
+    kind = StructType([StructField("d", DoubleType()), StructField("id", donors.schema["id"].dataType), StructField("v", DoubleType())])
+    schema = StructType([visits.schema["rid"], StructField("near", ArrayType(kind))])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        rows, sizes, parts = [], [], []
+        if left.num_rows and right.num_rows:
+            x, y = (np.column_stack([np.asarray(t.column(t.num_columns - n + j).combine_chunks().cast(pa.float64()).fill_null(np.nan)) for j in range(n)]) for t in (left, right))
+            reach = np.asarray(left.column(3).combine_chunks())
+            rank = np.empty(len(y), np.int64)
+            rank[np.asarray(pa.compute.sort_indices(right.column(2)))] = np.arange(len(y))
+            has, asks = ~np.isnan(y[0]), ~np.isnan(x)               # all donors of a cell lack the same columns
+            for pattern in np.unique(asks, axis=0):
+                both = has & pattern
+                if not both.any():
+                    continue
+                boxes, weight = _Boxes(y[:, both]), columns / both.sum()
+                same = np.flatnonzero((asks == pattern).all(1))
+                for i in range(0, len(same), AT_ONCE):
+                    who = same[i:i + AT_ONCE]
+                    visitor, distance, donor = boxes.nearest(x[who][:, both], reach[who], rank, k, weight)
+                    count = np.bincount(visitor, minlength=len(who))
+                    rows.append(who[count > 0])
+                    sizes.append(count[count > 0])
+                    parts.append((distance, donor))
+        if not rows:
+            return pa.table([pa.array([], left.schema.field(2).type), pa.array([], near_type(right))], names=["rid", "near"])
+        donor = pa.array(np.concatenate([p[1] for p in parts]))
+        near = pa.StructArray.from_arrays([pa.array(np.concatenate([p[0] for p in parts])), right.column(2).combine_chunks().take(donor), right.column(3).combine_chunks().take(donor)],
+                                          names=["d", "id", "v"])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        return pa.table([left.column(2).combine_chunks().take(pa.array(np.concatenate(rows))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), near)], names=["rid", "near"])
+
+    def near_type(right: pa.Table):
+        return pa.list_(pa.struct([("d", pa.float64()), ("id", right.schema.field(2).type), ("v", pa.float64())]))
+
+    return asked.groupBy("cell", "chunk").cogroup(held.groupBy("cell", "chunk")).applyInArrow(run, schema)
+
+
+def _search(recipients: DataFrame, donors: DataFrame, cells: list, others: list[str], k: int, columns: int) -> DataFrame:
+    """``(rid, best)``: the k nearest donors ``(d, id, v)`` of each recipient; ``donors`` have their ``cell``."""
     spark = recipients.sparkSession
     shared = spark.sparkContext.broadcast(_boxes(cells, others, columns))
-    best_type = packs.select(F.transform("donors", lambda y: F.struct(F.lit(0.0).alias("d"), y["id"].alias("id"), y["v"].alias("v"))).alias("b")).schema["b"].dataType
-    state = _stored(recipients.select("rid", *others, F.lit(float("inf")).alias("reach"), F.lit(-1.0).alias("at_bound"), F.lit(-1).cast("long").alias("at_cell"),
-                                      F.array().cast(best_type).alias("best")), "state")
+    none = F.array().cast(f"array<struct<d:double,id:{donors.schema['id'].dataType.simpleString()},v:double>>")
+    state = recipients.select("rid", *others, F.lit(float("inf")).alias("reach"), F.lit(-1.0).alias("at_bound"), F.lit(-1).cast("long").alias("at_cell"), none.alias("best"))
     finished, step = [], 0
     while True:
         visits = _stored(_next_cells(state, others, shared, ROUNDS[min(step, len(ROUNDS) - 1)]), "visits")
         if visits.isEmpty():
             break
-        met = visits.join(state.select("rid", *others), "rid").join(packs, "cell")
-        x = {c: F.col(c) for c in others}
-        near = F.transform("donors", lambda y: F.struct(squared_distance(x, {c: y[c] for c in others}, others, columns).alias("d"), y["id"].alias("id"), y["v"].alias("v")))
-        near = F.slice(F.array_sort(F.filter(near, lambda y: y["d"].isNotNull())), 1, k)
-        found = met.select("rid", near.alias("near")).groupBy("rid").agg(F.flatten(F.collect_list("near")).alias("near"))   # at most ``most`` cells
-        ends = visits.groupBy("rid").agg(F.max(F.struct("at_bound", "at_cell")).alias("end"))
-        finished.append(state.join(ends, "rid", "left_anti").select("rid", "best"))
-        best = F.slice(F.array_sort(F.concat("best", F.coalesce("near", F.array().cast(best_type)))), 1, k)
-        going = state.drop("at_bound", "at_cell", "reach").join(ends, "rid").join(found, "rid", "left").withColumn("best", best)
+        found = _near(visits, donors, others, k, columns).groupBy("rid").agg(F.flatten(F.collect_list("near")).alias("near"))   # at most ``most`` cells
+        ends = visits.groupBy("rid").agg(F.max(F.struct("at_bound", "at_cell")).alias("end"), F.max("more").alias("more"))
+        best = F.slice(F.array_sort(F.concat("best", F.coalesce("near", none))), 1, k)
+        met = state.drop("at_bound", "at_cell", "reach").join(ends, "rid", "left").join(found, "rid", "left").withColumn("best", best)
         reach = F.when(F.size("best") >= k, F.element_at("best", -1)["d"]).otherwise(F.lit(float("inf")))
-        state = _stored(going.select("rid", *others, reach.alias("reach"), F.col("end.at_bound").alias("at_bound"), F.col("end.at_cell").alias("at_cell"), "best"), "state")
+        met = _stored(met.select("rid", *others, reach.alias("reach"), F.col("end.at_bound").alias("at_bound"), F.col("end.at_cell").alias("at_cell"), "best",
+                                 F.coalesce("more", F.lit(False)).alias("more")), "state")
+        finished.append(met.filter("not more").select("rid", "best"))
+        state = met.filter("more").drop("more")
         step += 1
     out = state.select("rid", "best")
     for part in finished:
@@ -210,20 +320,16 @@ def _impute_column(base: DataFrame, c: str, others: list[str], k: int, donors_n:
     sample = donors.filter(F.pmod(F.xxhash64(F.lit(c), "id"), F.lit(million)) < keep).select(*others).toPandas().to_numpy(dtype=float)
     tree = _fit_tree(sample, min(max_cells, max(1, donors_n // leaf_rows))) if len(sample) else (np.array([-1]), np.zeros(1), np.zeros(1, np.int64))
     placed = _stored(_with_cells(near, others, tree), "donors")
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(o).alias(f"{p}_{o}") for o in others for f, p in ((F.min, "lo"), (F.max, "hi"))]).collect()
-    counts = base.sparkSession.createDataFrame([(r["cell"], -(-r["n"] // PACK)) for r in cells], "cell long, packs long")
-    chunk = F.pmod(F.xxhash64("id"), F.col("packs"))
-    packs = _stored(placed.join(F.broadcast(counts), "cell").groupBy("cell", chunk.alias("chunk")).agg(      # at most max_cells x patterns rows
-        F.collect_list(F.struct("id", "v", *others)).alias("donors")).select("cell", "donors"), "packs")
+    cells = placed.groupBy("cell").agg(*[f(o).alias(f"{p}_{o}") for o in others for f, p in ((F.min, "lo"), (F.max, "hi"))]).collect()
     lacking = base.filter(F.col(c).isNull())
     recipients = _stored(lacking.groupBy(*others).agg(F.min("id").alias("rid")), "recipients")
-    best = _search(recipients, packs, cells, others, k, columns) if cells else recipients.select("rid", F.lit(None).cast("array<struct<v:double>>").alias("best"))
+    best = _search(recipients, placed, cells, others, k, columns) if cells else recipients.select("rid", F.lit(None).cast("array<struct<v:double>>").alias("best"))
     mean = donors.agg(F.avg("v")).first()[0]
     value = F.when(F.size("best") > 0, F.aggregate("best", F.lit(0.0), lambda s, y: s + y["v"]) / F.size("best")).otherwise(F.lit(mean).cast("double"))
     return recipients.join(best, "rid").select(F.struct(*others).alias("key"), value.alias("value"))
 
 
-def knn_impute(df: DataFrame, id_col: str, cols, k: int = 5, leaf_rows: int = 64, max_cells: int = 1 << 17, sample_rows: int = 200_000) -> DataFrame:
+def knn_impute(df: DataFrame, id_col: str, cols, k: int = 5, leaf_rows: int = 8192, max_cells: int = 1 << 17, sample_rows: int = 200_000) -> DataFrame:
     """``df`` with the gaps (null or NaN) of ``cols`` filled with the mean of the ``k`` nearest donors; ids are unique."""
     cols = list(cols)
     present = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))

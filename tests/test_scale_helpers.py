@@ -161,6 +161,25 @@ def test_knn_impute_with_a_hot_point_and_few_donors(spark):
     _check_impute(spark, [(1, 0.0, None), (2, 1.0, None)], 2)
 
 
+def test_knn_impute_meets_few_large_cells(spark, monkeypatch):
+    """Ties at many points, a cell of many boxes, more visitors than a task takes: a recipient meets one cell, not one per 64 donors."""
+    from terroir.operators import impute
+    rng = np.random.default_rng(9)
+    rows = [(i, None if i < 60 else float(i % 97), *(float(x) for x in rng.integers(0, 12, 4))) for i in range(5000)]
+    visits, stored = [], impute._stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "visits":
+            visits.append(out.count())
+        return out
+
+    monkeypatch.setattr(impute, "_stored", counted)
+    monkeypatch.setattr(impute, "VISITORS", 25, raising=False)
+    _check_impute(spark, rows, 5)
+    assert sum(visits) == 60
+
+
 def test_scans_match_windows(spark):
     from terroir.operators.scan import last_rows, ranked, running
     df, _, _, _ = _frame(spark)
