@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from terroir.llm import decontaminate as _decontaminate
 from terroir.llm import jaccard, language, lines, pieces
+from terroir.llm._arrow import among
 from terroir.llm.queries import PIECE_MODEL
 from terroir.session import shared_path
 
@@ -74,10 +75,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _rows(docs)
-    links = jaccard.jaccard_join(rows, key="row", width=5, percent=80)
-    kept = links.filter(F.col("row").eqNullSafe(F.col("component_id"))).select("row").distinct()
+    links = _stored(spark, jaccard.jaccard_join(rows, key="row", width=5, percent=80).select("row", "component_id"), "links")
+    is_kept = F.col("row").eqNullSafe(F.col("component_id"))
+    kept = links.filter(is_kept).select("row").distinct()
+    # a row that is neither linked with a smaller one nor repeated stays as it is; the texts of the others are shuffled
+    other = links.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min(is_kept).alias("kept")).filter("n > 1 or not kept").select("row")
+    marked = among(rows, F.col("row"), _stored(spark, other, "other"), "other")
     # a struct is never null itself and its null fields are equal; join and grouping share one shuffle of the texts
-    return rows.join(kept, "row", "left_semi").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("r")).select(*[F.col(f"r.{c}") for c in COLUMNS])
+    met = marked.filter("other").join(kept, "row", "left_semi").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("r")).select(*[F.col(f"r.{c}") for c in COLUMNS])
+    return marked.filter("not other").select(*COLUMNS).unionByName(met)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

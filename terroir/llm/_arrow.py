@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -76,6 +76,27 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+#: Bits for each key of ``among``; one key in so many that is not among them passes.  A bitmap of the most bits is 64 MB as rows.
+KEY_BITS, MOST_BITS = 16, 1 << 28
+
+
+def among(docs: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFrame:
+    """``docs`` with the boolean ``flag``: true for all rows whose ``key`` is in ``keys`` (one column) and for few others.
+
+    What is not flagged needs no shuffle to be told from ``keys``; what is flagged has yet to be joined.  The keys' hashes are the bits of a
+    bitmap, whose words are broadcast: their number is bounded whatever the keys are, and beyond ``MOST_BITS`` more rows are flagged."""
+    n = keys.count()
+    bits = 1 << min(max(n * KEY_BITS, 64).bit_length(), MOST_BITS.bit_length() - 1)
+    place = F.pmod(F.xxhash64(quoted(keys.columns[0])), F.lit(bits))
+    word, mask, taken = fresh("_word", docs.columns), fresh("_mask", docs.columns), fresh("_taken", docs.columns)
+    words = (keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias(taken))
+             .agg(F.bit_or(F.expr("shiftleft(1L, int(place % 64))")).alias(mask)))
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    held = docs.withColumn(word, at).join(F.broadcast(words), F.shiftright(quoted(word), 6) == quoted(taken), "left")
+    bit = F.call_function("getbit", F.coalesce(quoted(mask), F.lit(0).cast("long")), (quoted(word) % 64).cast("int")) == 1
+    return held.select(*[quoted(c) for c in docs.columns], bit.alias(flag))
+
+
 def per_text(docs: DataFrame, keys: list[str], text: str, fields: list[StructField],
              fn: Callable[[np.ndarray, np.ndarray], list[pa.Array]], limit: int = SLICE_BYTES) -> DataFrame:
     """``keys`` and the columns that ``fn(bytes, offsets)`` gives for each slice of rows."""

@@ -277,9 +277,11 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     inside = members.join(shape, "g").select("g", salt("mb").alias("m"), numbered("qb").alias("q"), F.lit(0).alias("role"), "n", "a", "size")
     asking = cells.join(shape, "g").select("g", numbered("mb").alias("m"), salt("qb").alias("q"), F.lit(1).alias("role"), "n", "a",
                                            F.lit(1).cast("long").alias("size"))
-    wanted = A.fresh("wanted", [key, text])
-    chosen = members.select(F.col("id").alias(wanted)).distinct()
-    candidates = docs.select(A.quoted(key), A.quoted(text)).join(chosen, A.quoted(key).eqNullSafe(F.col(wanted)), "left_semi")
+    wanted, likely = A.fresh("wanted", [key, text]), A.fresh("likely", [key, text])
+    chosen = members.select(F.col("id").alias(wanted)).distinct().checkpoint()
+    # most texts need not be shuffled to be told from those of members
+    texts = A.among(docs.select(A.quoted(key), A.quoted(text)), A.quoted(key), chosen, likely).filter(F.col(likely)).drop(likely)
+    candidates = texts.join(chosen, A.quoted(key).eqNullSafe(F.col(wanted)), "left_semi")
     sets = _sets(candidates, key, text, width).groupBy("n", "a").agg(F.first("set").alias("set"))
     cell = F.concat_ws(":", F.col("g").cast("string"), F.col("m").cast("string"), F.col("q").cast("string"))
     dealt = (inside.union(asking).join(sets, ["n", "a"])
