@@ -173,3 +173,29 @@ def test_proximity(spark):
     postings, chosen = decontaminate.build_index(docs, windows)
     near = {(r.id, r.shift) for r in decontaminate.near_matches(postings, chosen, 2).collect()}
     assert near == {(1, 0), (2, -1)}
+
+
+def test_among_flags_all_keys_and_few_others(spark):
+    from pyspark.sql import functions as F
+    from terroir.llm._arrow import among
+    docs = spark.range(4000).select(F.when(F.col("id") < 3990, F.struct(F.col("id").alias("doc_id"), (F.col("id") * 7).alias("version")))
+                                    .otherwise(F.struct(F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("version"))).alias("row"), F.lit("t").alias("_word"))
+    keys = docs.filter("row.version % 10 = 0").select("row")
+    got = among(docs, F.col("row"), keys, "flag")
+    assert got.columns == ["row", "_word", "flag"] and got.count() == 4000
+    assert got.filter("flag is null").count() == 0
+    assert got.join(keys, "row", "left_semi").filter("not flag").count() == 0
+    assert got.filter("flag").count() < 0.2 * 4000
+    assert among(docs, F.col("row"), keys.limit(0), "flag").filter("flag").count() == 0
+
+
+def test_near_duplicates_shuffles_no_texts_without_copies(spark, tmp_path):
+    """Long texts, no copies: what the stage shuffles are tokens and keys, no column of texts."""
+    import corpus_pipeline as c
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30)), "en", "s", 1) for i in range(40)] + [(40, "a b c d e f g", "en", "s", 1)] * 3 + [(None, "a b c d e f g", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "d"))
+    out = c.near_duplicates(spark, spark.read.parquet(str(tmp_path / "d")), "")
+    assert sorted((r["doc_id"] is not None, r["doc_id"]) for r in out.collect()) == [(False, None)] + [(True, i) for i in range(40)]
+    sides = out._jdf.queryExecution().optimizedPlan()
+    assert sides.nodeName() == "Union" or "Union" in sides.toString()
