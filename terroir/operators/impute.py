@@ -7,9 +7,9 @@ have it.  Ties go to the smaller id.
 1. A k-d tree is fitted to a bounded hash sample of the donors (``sample_rows``): each split halves the column
    that spreads widest there, so dense regions and heavy values get many small cells.  Its leaves number about
    rows / ``leaf_rows``, at most ``max_cells``: the proven bound of what is sent to the tasks.
-2. Donors are dealt to cells (columns that they lack, leaf); of donors at one point only the k with the smallest
-   ids can count, which bounds the cell of a value that a third of all rows hold.  Cells get their true bounding
-   boxes from all donors.
+2. Donors are dealt to cells (columns that they lack, leaf).  Of donors at one point only the k with the smallest
+   ids can count: crowded cells keep no others, which bounds the cell of a value that a third of all rows hold.
+   Cells get their true bounding boxes from all donors.
 3. Recipients at one point are one recipient.  In rounds of 1, 16, 64, 256, 256, ... cells each visits its next cells by
    lower bound of the distance, and keeps the k best; it is done when the next bound exceeds its k-th distance.  Only
    recipients that are not done take part in a round, and a round's state is stored, so lineage stays short.
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from ..session import shared_path
+from ..sources.tables import spread
 from .windows import top_k_per_group
 
 #: Visits of a cell that one task takes at a time.
@@ -42,6 +43,10 @@ BOX = 64
 STEPS = (1, 4, 16, 64, 256)
 #: Visitors whose bounds and distances are in memory at a time.
 AT_ONCE = 256
+#: A cell with more than so many times ``leaf_rows`` donors keeps only the donors of a point that can count.
+CROWDED = 4
+#: Recipients times cells in memory at a time, while the next cells are chosen.
+PAIRS = 1 << 22
 ROUNDS = (1, 16, 64, 256)
 #: A cell's number: the columns that its donors lack, then its leaf in so many bits.  Complete donors come first among equal bounds.
 LEAF_BITS = 32
@@ -53,6 +58,11 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the shared checkpoint folder and read from there."""
+    return _stored(df, name)
+
+
 # --- the tree -------------------------------------------------------------------------------------
 def _spread(values: np.ndarray) -> tuple[float, float]:
     return (float(np.subtract(*np.percentile(values, (90, 10)))), float(np.ptp(values))) if len(values) else (0.0, 0.0)
@@ -82,7 +92,14 @@ def _fit_tree(points: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray,
             n_leaves += 1
             break
     column, child = np.array(column), np.array(child)
-    child[column < 0] = np.arange((column < 0).sum())
+    todo, number = [0], 0
+    while todo:                                      # from left to right: leaves with near numbers are near each other
+        node = todo.pop()
+        if column[node] < 0:
+            child[node] = number
+            number += 1
+        else:
+            todo += [child[node] + 1, child[node]]
     return column, np.array(cut), child
 
 
@@ -116,8 +133,17 @@ def _with_cells(donors: DataFrame, others: list[str], tree) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def _thinned(placed: DataFrame, crowded: list[int], others: list[str], k: int) -> DataFrame:
+    """``placed`` with at most ``k`` donors, those with the smallest ids, at each point of the ``crowded`` cells."""
+    if not crowded:
+        return placed
+    cells = F.broadcast(placed.sparkSession.createDataFrame([(c,) for c in crowded], "cell long"))
+    few = top_k_per_group(placed.join(cells, "cell", "left_semi"), others, [F.col("id")], k).drop("rank")
+    return _stored(placed.join(cells, "cell", "left_anti").unionByName(few), "donors")
+
+
 # --- best-first rounds ----------------------------------------------------------------------------
-def _boxes(cells: list, others: list[str], columns: int) -> dict:
+def _boxes(cells: list, others: list[str], columns: int, tree) -> dict:
     """The cells' boxes (missing columns have none) in groups of neighbours with a box of their own."""
     number = np.array([c["cell"] for c in cells], np.int64)
     low = np.array([[np.nan if c[f"lo_{o}"] is None else c[f"lo_{o}"] for o in others] for c in cells], float).reshape(len(cells), -1)
@@ -128,50 +154,71 @@ def _boxes(cells: list, others: list[str], columns: int) -> dict:
     starts = np.arange(0, len(number), width)
     pattern = number >> LEAF_BITS
     starts = np.unique(np.concatenate([starts, np.flatnonzero(np.diff(pattern)) + 1]))  # a group has one pattern
-    return {"number": number, "low": low, "high": high, "starts": np.append(starts, len(number)), "columns": columns,
+    return {"number": number, "low": low, "high": high, "starts": np.append(starts, len(number)), "columns": columns, "tree": tree,
             "group_low": np.minimum.reduceat(low, starts, axis=0), "group_high": np.maximum.reduceat(high, starts, axis=0)}
 
 
-def _bounds(x: np.ndarray, low: np.ndarray, high: np.ndarray, columns: int) -> np.ndarray:
-    """Least squared distance to each box; infinite without a shared column."""
-    off = np.maximum(np.maximum(low - x, x - high), 0.0)
-    shared = (~np.isnan(off)).sum(1)
-    with np.errstate(divide="ignore"):
-        return np.where(shared > 0, columns / np.maximum(shared, 1) * np.nansum(off * off, axis=1), np.inf)
+def _bounds(points: np.ndarray, who, low: np.ndarray, high: np.ndarray, columns: int) -> np.ndarray:
+    """Least squared distances of ``points[who]`` to boxes (column by column, as they broadcast); infinite without a shared column."""
+    total, shared = 0.0, 0
+    for j in range(points.shape[1]):
+        x = points[who, j]
+        off = np.maximum(np.maximum(low[..., j] - x, x - high[..., j]), 0.0)
+        has = ~np.isnan(off)
+        total = total + np.where(has, off * off, 0.0)
+        shared = shared + has
+    return np.where(shared > 0, columns / np.maximum(shared, 1) * total, np.inf)
+
+
+def _cells_of(b: dict, rows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, place)`` of every cell of each row's group."""
+    size = b["starts"][groups + 1] - b["starts"][groups]
+    first = np.repeat(b["starts"][groups] - (np.cumsum(size) - size), size)
+    return np.repeat(rows, size), first + np.arange(size.sum())
+
+
+def _next_of(points: np.ndarray, reach: np.ndarray, at_bound: np.ndarray, at_cell: np.ndarray, b: dict, most: int):
+    """``(row, cell, bound, more)`` of the next ``most`` cells of each point by (bound, cell); rows without any are left out."""
+    def new_cells(rows, places, far):
+        d = _bounds(points, rows, b["low"][places], b["high"][places], b["columns"])
+        new = np.isfinite(d) & (d <= far[rows]) & ((d > at_bound[rows]) | ((d == at_bound[rows]) & (b["number"][places] > at_cell[rows])))
+        rows, places, d = rows[new], places[new], d[new]
+        by = np.lexsort((b["number"][places], d, rows))
+        rows, places, d = rows[by], places[by], d[by]
+        return rows, places, d, np.arange(len(rows)) - np.searchsorted(rows, rows)
+
+    far = reach * (1 + 1e-12)      # rounding of a bound must not hide a tie
+    every = np.arange(len(points))
+    near = _bounds(points, every[:, None], b["group_low"], b["group_high"], b["columns"])
+    # no cell beyond the last of the next ``most`` of one group, that of the point's leaf, is among the next of all
+    home = np.searchsorted(b["starts"][1:-1], np.searchsorted(b["number"], _leaf_of(b["tree"], points)), "right")
+    rows, places, d, place = new_cells(*_cells_of(b, every, home), far)
+    cut = far.copy()
+    cut[rows[place == most - 1]] = d[place == most - 1]
+    rows, places, d, place = new_cells(*_cells_of(b, *np.nonzero(near <= cut[:, None])), cut)
+    more = (np.bincount(rows, minlength=len(points)) > most) | (cut < far)
+    taken = place < most
+    return rows[taken], b["number"][places[taken]], d[taken], more
 
 
 def _next_cells(state: DataFrame, others: list[str], shared, most: int) -> DataFrame:
     """``(rid, others, reach, cell, at_bound, at_cell, more)``: the next ``most`` cells of each recipient by (bound, cell), within its reach, the last
-    of them, and whether there are more."""
+    of them, and whether there may be more."""
     n = len(others)
-    source = state.select("rid", *others, "reach", "at_bound", "at_cell")
+    source = spread(state.select("rid", *others, "reach", "at_bound", "at_cell"))
     schema = (state.select("rid", *others, "reach").schema.add("cell", LongType()).add("at_bound", DoubleType()).add("at_cell", LongType())
               .add("more", BooleanType()))
 
     def run(batches):
         b = shared.value
-        for batch in batches:
-            points = _numbers(batch, 1, n)
+        step = max(1, min(AT_ONCE, PAIRS // len(b["number"])))
+        for batch in (whole.slice(i, step) for whole in batches for i in range(0, whole.num_rows, step)):
             reach, at_bound, at_cell = (np.asarray(batch.column(n + 1 + j)) for j in range(3))
-            rows, cells, bounds, ends, more = [], [], [], [], []
-            for i, x in enumerate(points):
-                most_far = reach[i] * (1 + 1e-12)      # rounding of a bound must not hide a tie
-                groups = np.flatnonzero(_bounds(x, b["group_low"], b["group_high"], b["columns"]) <= most_far)
-                places = np.concatenate([np.arange(b["starts"][g], b["starts"][g + 1]) for g in groups]) if len(groups) else np.zeros(0, np.int64)
-                d = _bounds(x, b["low"][places], b["high"][places], b["columns"])
-                new = np.isfinite(d) & (d <= most_far) & ((d > at_bound[i]) | ((d == at_bound[i]) & (b["number"][places] > at_cell[i])))
-                places, d = places[new], d[new]
-                if not len(places):
-                    continue
-                first = np.lexsort((b["number"][places], d))[:most]
-                rows.append(np.full(len(first), i))
-                cells.append(b["number"][places[first]])
-                bounds.append(np.full(len(first), d[first[-1]]))
-                ends.append(np.full(len(first), cells[-1][-1]))
-                more.append(np.full(len(first), len(places) > most))
-            if rows:
-                at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([batch.column(j).take(at) for j in range(n + 2)] + [pa.array(np.concatenate(c)) for c in (cells, bounds, ends, more)],
+            rows, cells, bounds, more = _next_of(_numbers(batch, 1, n), reach, at_bound, at_cell, b, most)
+            last = np.searchsorted(rows, rows, "right") - 1
+            if len(rows):
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column(j).take(at) for j in range(n + 2)] + [pa.array(c) for c in (cells, bounds[last], cells[last], more[rows])],
                                                  names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -283,10 +330,10 @@ def _near(visits: DataFrame, donors: DataFrame, others: list[str], k: int, colum
     return asked.groupBy("cell", "chunk").cogroup(held.groupBy("cell", "chunk")).applyInArrow(run, schema)
 
 
-def _search(recipients: DataFrame, donors: DataFrame, cells: list, others: list[str], k: int, columns: int) -> DataFrame:
+def _search(recipients: DataFrame, donors: DataFrame, boxes: dict, others: list[str], k: int, columns: int) -> DataFrame:
     """``(rid, best)``: the k nearest donors ``(d, id, v)`` of each recipient; ``donors`` have their ``cell``."""
     spark = recipients.sparkSession
-    shared = spark.sparkContext.broadcast(_boxes(cells, others, columns))
+    shared = spark.sparkContext.broadcast(boxes)
     none = F.array().cast(f"array<struct<d:double,id:{donors.schema['id'].dataType.simpleString()},v:double>>")
     state = recipients.select("rid", *others, F.lit(float("inf")).alias("reach"), F.lit(-1.0).alias("at_bound"), F.lit(-1).cast("long").alias("at_cell"), none.alias("best"))
     finished, step = [], 0
@@ -314,16 +361,16 @@ def _impute_column(base: DataFrame, c: str, others: list[str], k: int, donors_n:
     """``(key, value)``: the value for each different point ``key`` of the rows that lack ``c``."""
     columns = len(others) + 1
     donors = base.filter(F.col(c).isNotNull()).select(F.col("id"), F.col(c).alias("v"), *others)
-    near = top_k_per_group(donors, others, [F.col("id")], k).drop("rank")
     million = 1_000_000
     keep = max(1, min(million, -(-million * sample_rows // max(donors_n, 1))))
     sample = donors.filter(F.pmod(F.xxhash64(F.lit(c), "id"), F.lit(million)) < keep).select(*others).toPandas().to_numpy(dtype=float)
     tree = _fit_tree(sample, min(max_cells, max(1, donors_n // leaf_rows))) if len(sample) else (np.array([-1]), np.zeros(1), np.zeros(1, np.int64))
-    placed = _stored(_with_cells(near, others, tree), "donors")
-    cells = placed.groupBy("cell").agg(*[f(o).alias(f"{p}_{o}") for o in others for f, p in ((F.min, "lo"), (F.max, "hi"))]).collect()
+    placed = _stored(_with_cells(donors, others, tree), "donors")
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(o).alias(f"{p}_{o}") for o in others for f, p in ((F.min, "lo"), (F.max, "hi"))]).collect()
+    placed = _thinned(placed, [c["cell"] for c in cells if c["n"] > CROWDED * leaf_rows], others, k)
     lacking = base.filter(F.col(c).isNull())
     recipients = _stored(lacking.groupBy(*others).agg(F.min("id").alias("rid")), "recipients")
-    best = _search(recipients, placed, cells, others, k, columns) if cells else recipients.select("rid", F.lit(None).cast("array<struct<v:double>>").alias("best"))
+    best = _search(recipients, placed, _boxes(cells, others, columns, tree), others, k, columns) if cells else recipients.select("rid", F.lit(None).cast("array<struct<v:double>>").alias("best"))
     mean = donors.agg(F.avg("v")).first()[0]
     value = F.when(F.size("best") > 0, F.aggregate("best", F.lit(0.0), lambda s, y: s + y["v"]) / F.size("best")).otherwise(F.lit(mean).cast("double"))
     return recipients.join(best, "rid").select(F.struct(*others).alias("key"), value.alias("value"))
@@ -335,12 +382,20 @@ def knn_impute(df: DataFrame, id_col: str, cols, k: int = 5, leaf_rows: int = 81
     present = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     base = _stored(df.select(F.col(id_col).alias("id"), *[present(c).alias(c) for c in cols]), "base")
     have = base.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in cols]).first()
-    filled = base
+    found = None
     for c in cols:
         if have[c] == have["n"]:
             continue
         others = [o for o in cols if o != c]
         values = _impute_column(base, c, others, k, have[c], leaf_rows, max_cells, sample_rows)
-        found = base.filter(F.col(c).isNull()).select(F.col("id").alias("fid"), F.struct(*others).alias("key")).join(values, "key").select("fid", F.col("value").alias(f"new_{c}"))
-        filled = filled.join(found, F.col("id") == F.col("fid"), "left").drop("fid").withColumn(c, F.coalesce(F.col(c), F.col(f"new_{c}"))).drop(f"new_{c}")
-    return df.drop(*cols).join(filled.withColumnRenamed("id", id_col), id_col)
+        one = base.filter(F.col(c).isNull()).select("id", F.struct(*others).alias("key")).join(values, "key").select(
+            "id", *[(F.col("value") if o == c else F.lit(None).cast("double")).alias(f"new_{o}") for o in cols])
+        found = one if found is None else found.union(one)
+    rest = [F.col(c) for c in df.columns if c not in (id_col, *cols)]
+    kept = df.filter(F.col(id_col).isNotNull())
+    if found is None:
+        return kept.select(id_col, *rest, *[present(c).alias(c) for c in cols])
+    # only rows with gaps are joined: the others keep what they have
+    found = found.groupBy(F.col("id").alias("found_id")).agg(*[F.max(f"new_{c}").alias(f"new_{c}") for c in cols])
+    return kept.join(found, F.col(id_col) == F.col("found_id"), "left").select(
+        id_col, *rest, *[F.coalesce(present(c), F.col(f"new_{c}")).alias(c) for c in cols])

@@ -200,9 +200,10 @@ def _knn_sql(k: int = 5) -> str:
 @register("x04_knn_impute", with_views(_knn_sql(), "samples_dirty"))
 def x04_knn_impute(spark, sf):
     """Every gap of samples_dirty with the mean of its 5 nearest donors."""
-    from ..operators.impute import knn_impute
+    from ..operators.impute import knn_impute, stored
     d = P.samples_dirty(spark, sf).dropDuplicates(["sample_id"])
     gap = F.when(F.col("N").isNull(), "N").when(F.col("ph").isNull(), "ph").when(F.col("rainfall").isNull(), "rainfall")
-    out = knn_impute(d.withColumn("gap", gap), "sample_id", FEATURES, k=5).filter("gap is not null")
+    d = stored(d.select("sample_id", *FEATURES, gap.alias("gap")), "rows")     # read twice
+    out = knn_impute(d, "sample_id", FEATURES, k=5).filter("gap is not null")
     value = F.when(F.col("gap") == "N", F.col("N")).when(F.col("gap") == "ph", F.col("ph")).otherwise(F.col("rainfall"))
     return out.select("sample_id", "gap", R6(value).alias("value"))
