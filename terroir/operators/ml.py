@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluate as EV
+from . import forest as FO
 from . import transform as X
 from ..session import shared_path
 from .scan import ranked
@@ -92,29 +93,39 @@ def random_forest(num_trees: int = 300, max_depth: int = 20, weighted: bool = Tr
 
 
 class StoredForest:
-    """M2: a forest stored in parts of some of its trees; the driver reads one part at a time."""
+    """M2: a forest stored in parts of some of its trees; the driver reads one part at a time, and none if they are scored in tasks."""
 
-    def __init__(self, parts: list[str]):
-        self.parts = parts
+    def __init__(self, parts: list[str], features: str | None = None):
+        self.parts, self.features = parts, features
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with ``rawPrediction``, ``probability`` and ``prediction`` from the votes of all parts."""
+        if self.features:
+            rows = _stored(df.withColumn("_row", F.monotonically_increasing_id()), "forest-rows")
+            out = rows.join(FO.votes(self.parts, rows, self.features, "_row", shared_path(df.sparkSession, f"forest-votes-{uuid.uuid4().hex}")), "_row").select(*df.columns, "_votes")
+            out = _stored(out, "forest-votes")
+        else:
+            out = self._by_part(df)
+        total = F.aggregate("_votes", F.lit(0.0), lambda t, v: t + v)
+        return (out.withColumn("rawPrediction", array_to_vector("_votes"))
+                .withColumn("probability", array_to_vector(F.transform("_votes", lambda v: v / F.when(total > 0, total).otherwise(1.0))))
+                .withColumn("prediction", (F.array_position("_votes", F.array_max("_votes")) - 1).cast("double")).drop("_votes"))
+
+    def _by_part(self, df: DataFrame) -> DataFrame:
         out = df.withColumn("_votes", F.lit(None).cast("array<double>"))
         for path in self.parts:
             raw = vector_to_array("rawPrediction")
             votes = F.when(F.col("_votes").isNull(), raw).otherwise(F.zip_with("_votes", raw, lambda a, b: a + b))
             out = _stored(RandomForestClassificationModel.load(path).transform(out).select(*df.columns, votes.alias("_votes")), "forest-votes")
-        total = F.aggregate("_votes", F.lit(0.0), lambda t, v: t + v)
-        return (out.withColumn("rawPrediction", array_to_vector("_votes"))
-                .withColumn("probability", array_to_vector(F.transform("_votes", lambda v: v / F.when(total > 0, total).otherwise(1.0))))
-                .withColumn("prediction", (F.array_position("_votes", F.array_max("_votes")) - 1).cast("double")).drop("_votes"))
+        return out
 
 
 class ForestInParts:
-    """M2: ``estimator``'s trees fitted some at a time and stored, so that the driver never holds a large forest whole.
+    """M2: ``estimator``'s trees stored in parts, so that the driver never holds a large forest whole.
 
-    A tree of n training rows has less than 2 n nodes, and at most 2^(depth + 1); parts have about ``part_nodes``.  Part i
-    draws with the estimator's seed + i.  Parts are fitted side by side: a fit over few partitions leaves cores idle."""
+    A tree of n training rows has less than 2 n nodes, and at most 2^(depth + 1); parts have about ``part_nodes``.  The trees of more
+    than one part are grown whole in tasks, each with a draw of its own (``forest``).  Where a task may not hold the binned training
+    rows, Spark ML fits the parts, some side by side; part i draws with the estimator's seed + i."""
 
     def __init__(self, estimator: RandomForestClassifier, path: str | None = None, part_nodes: int = PART_NODES):
         self.estimator, self.path, self.part_nodes = estimator, path, part_nodes
@@ -122,9 +133,12 @@ class ForestInParts:
     def fit(self, train: DataFrame) -> StoredForest:
         spark, e = train.sparkSession, self.estimator
         path = self.path or shared_path(spark, f"forest-{uuid.uuid4().hex}")
-        nodes = max(1, min(2 * train.count(), 2 ** (e.getMaxDepth() + 1)))
+        rows = train.count()
+        nodes = max(1, min(2 * rows, 2 ** (e.getMaxDepth() + 1)))
         n = math.ceil(e.getNumTrees() / max(1, self.part_nodes // nodes))
         sizes = [e.getNumTrees() // n + (i < e.getNumTrees() % n) for i in range(n)]
+        if n > 1 and FO.fits(e, train, rows, len(train.select(vector_to_array(e.getFeaturesCol())).first()[0])):
+            return StoredForest(FO.grow(e, train, rows, path, sizes), e.getFeaturesCol())
 
         def fit_part(i: int) -> str:
             part = e.copy({e.numTrees: sizes[i], e.seed: e.getSeed() + i})
