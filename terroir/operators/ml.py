@@ -123,9 +123,9 @@ class StoredForest:
 class ForestInParts:
     """M2: ``estimator``'s trees stored in parts, so that the driver never holds a large forest whole.
 
-    A tree of n training rows has less than 2 n nodes, and at most 2^(depth + 1); parts have about ``part_nodes``.  The trees of more
-    than one part are grown whole in tasks, each with a draw of its own (``forest``).  Where a task may not hold the binned training
-    rows, Spark ML fits the parts, some side by side; part i draws with the estimator's seed + i."""
+    A tree of n training rows has less than 2 n nodes, and at most 2^(depth + 1); parts have about ``part_nodes``.  Spark ML fits
+    up to PARTS_AT_ONCE parts side by side; part i draws with the estimator's seed + i.  The trees of more parts are grown whole in tasks,
+    each with a draw of its own (``forest``), unless a task may not hold the binned training rows: then Spark ML fits these parts too."""
 
     def __init__(self, estimator: RandomForestClassifier, path: str | None = None, part_nodes: int = PART_NODES):
         self.estimator, self.path, self.part_nodes = estimator, path, part_nodes
@@ -137,7 +137,7 @@ class ForestInParts:
         nodes = max(1, min(2 * rows, 2 ** (e.getMaxDepth() + 1)))
         n = math.ceil(e.getNumTrees() / max(1, self.part_nodes // nodes))
         sizes = [e.getNumTrees() // n + (i < e.getNumTrees() % n) for i in range(n)]
-        if n > 1 and FO.fits(e, train, rows, len(train.select(vector_to_array(e.getFeaturesCol())).first()[0])):
+        if n > PARTS_AT_ONCE and FO.fits(e, train, rows, len(train.select(vector_to_array(e.getFeaturesCol())).first()[0])):
             return StoredForest(FO.grow(e, train, rows, path, sizes), e.getFeaturesCol())
 
         def fit_part(i: int) -> str:

@@ -52,9 +52,9 @@ def _random_rows(spark, n=400):
 def test_grown_trees_split_as_spark_ml_does(spark):
     """Without random draws a grown tree is that of Spark ML: thresholds, weights, counts, merged siblings."""
     d = _random_rows(spark)
-    e = ML.RandomForestClassifier(numTrees=2, maxDepth=4, bootstrap=False, featureSubsetStrategy="all", weightCol="weight", minInstancesPerNode=3, seed=1)
+    e = ML.RandomForestClassifier(numTrees=5, maxDepth=4, bootstrap=False, featureSubsetStrategy="all", weightCol="weight", minInstancesPerNode=3, seed=1)
     stored = ML.ForestInParts(e, part_nodes=1).fit(d)
-    assert stored.features and len(stored.parts) == 2
+    assert stored.features and len(stored.parts) == 5
     want = e.fit(d)
     lines = lambda tree: tree.toDebugString.split("\n")[1:]
     for path, tree in zip(stored.parts, want.trees):
@@ -81,12 +81,33 @@ def test_a_forest_in_parts_is_neither_fitted_nor_read_by_the_driver(spark, monke
     assert sum(r["label"] == r["prediction"] for r in rows) > 380
 
 
+def test_few_parts_are_spark_mls(spark):
+    d = _random_rows(spark)
+    e = ML.random_forest(4, 5)
+    stored = ML.ForestInParts(e, part_nodes=64).fit(d)
+    assert len(stored.parts) == 4 and stored.features is None
+    for i, path in enumerate(stored.parts):
+        assert ML.RandomForestClassificationModel.load(path).toDebugString.split("\n")[1:] == e.copy({e.numTrees: 1, e.seed: 42 + i}).fit(d).toDebugString.split("\n")[1:]
+
+
+def test_grown_parts_hold_all_trees_and_their_votes_add_up(spark):
+    d = _random_rows(spark)
+    stored = ML.ForestInParts(ML.random_forest(11, 4), part_nodes=64).fit(d)       # at most 32 nodes a tree
+    models = [ML.RandomForestClassificationModel.load(p) for p in stored.parts]
+    assert stored.features and [m.getNumTrees for m in models] == [2, 2, 2, 2, 2, 1]
+    each = [_raw(m.transform(d)) for m in models]
+    for i, (raw, prediction) in _raw(stored.transform(d)).items():
+        total = [sum(p[i][0][c] for p in each) for c in range(4)]
+        assert max(abs(a - b) for a, b in zip(raw, total)) < 1e-9
+        assert prediction == raw.index(max(raw))
+
+
 def test_rows_that_a_task_may_not_hold_are_left_to_spark_ml(spark, monkeypatch):
     from terroir.operators import forest
     d = _random_rows(spark)
     monkeypatch.setattr(forest, "LOCAL_BYTES", 1000)
-    stored = ML.ForestInParts(ML.random_forest(4, 3), part_nodes=16).fit(d)
-    assert len(stored.parts) == 4 and stored.features is None
+    stored = ML.ForestInParts(ML.random_forest(5, 3), part_nodes=16).fit(d)
+    assert len(stored.parts) == 5 and stored.features is None
     assert stored.transform(d).count() == 400
 
 
@@ -94,6 +115,7 @@ def test_scored_rows_go_out_in_blocks(spark, monkeypatch):
     from terroir.operators import forest
     d = _random_rows(spark)
     stored = ML.ForestInParts(ML.random_forest(6, 5), part_nodes=64).fit(d)
+    assert stored.features and len(stored.parts) == 6
     whole = _raw(stored.transform(d))
     monkeypatch.setattr(forest, "LOCAL_BYTES", 6000)
     assert {i: p for i, (_, p) in _raw(stored.transform(d)).items()} == {i: p for i, (_, p) in whole.items()}
